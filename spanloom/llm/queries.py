@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from spanloom.llm import quality, simhash, topk
+from spanloom.llm import packing, quality, sharding, simhash, token_files, topk
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
+    "op5_token_counts": token_files.op5_token_counts,
+    "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op10_topk_search": topk.op10_topk_search,
 }
