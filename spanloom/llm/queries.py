@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.llm import packing, quality, sharding, simhash, token_files, topk
+from spanloom.llm import licenses, packing, quality, sharding, simhash, token_files, topk
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_token_counts": token_files.op5_token_counts,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_licenses": licenses.OP1_SQL,
     "op10_topk_search": topk.OP10_SQL,
 }
