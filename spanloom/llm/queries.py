@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spanloom.llm import licenses, packing, quality, sharding, simhash, token_files, topk
+from spanloom.llm import contamination, licenses, packing, paragraphs, quality, sharding, simhash, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_token_counts": token_files.op5_token_counts,
+    "op6_decontamination": contamination.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
+    "op9_substrings": paragraphs.op9_substrings,
     "op10_topk_search": topk.op10_topk_search,
 }
 
