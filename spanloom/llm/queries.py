@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import contamination, licenses, packing, paragraphs, quality, sharding, simhash, token_files, topk
+from spanloom.llm import contamination, licenses, packing, paragraphs, quality, sharding, simhash, suffixes, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_token_counts": token_files.op5_token_counts,
