@@ -1,15 +1,16 @@
-"""The corpus pipeline: each stage takes documents and gives documents."""
+"""The corpus pipeline: each stage takes documents and gives documents, the last gives packed pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import quality, simhash
+from spanloom.llm import contamination, packing, paragraphs, quality, simhash
 from spanloom.llm._base import materialize, table
+from spanloom.llm.tokens import default_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -18,9 +19,30 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality", quality_stage), ("simhash", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and sentences are cut from all documents but the first; no document goes."""
+    return paragraphs.cut_repeats(docs)
 
-#: Iterative steps and trained scores have no SQL form; tests compare with plain Python.
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that copy a benchmark item go."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, in sequences of 2048 tokens."""
+    return packing.packed_documents(docs, default_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash", simhash_stage),
+    ("substrings", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained scores, components and packing have no SQL form; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
