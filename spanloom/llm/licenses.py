@@ -3,13 +3,15 @@
 Everything is Column expressions. A text is brought to a line of lower-case words, two blanks
 between words and one at either end, so that every pattern owns one blank on each side and
 neighbouring matches never share a character. A rule's regular expression runs only where its
-keyword occurs. Each match is a detection with an interval of words; a detection that lies in the
+keyword, a stem that all its matches hold, occurs. Each match is a detection with an interval of words; a detection that lies in the
 interval of one of higher priority is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,115 +27,154 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 
+#: Starts of words that tell a license text from other prose, most telling first.
+_TELLING = (
+    "spdx", "creativecommons", "unlicense", "licen", "copyright", "redistribut", "unauthorized", "endorse", "reproduced", "proprietary", "warrant",
+    "permission", "reserved", "domain", "creative", "gpl", "cddl", "wtfpl", "cc0", "bsd", "lppl", "cc  by",
+)
+
+
+def _anchors(pattern: str) -> list[str]:
+    """Starts of words that every match of `pattern` holds, most telling first; groups count as unknown."""
+    if pattern.startswith("(?:") and pattern.index(")") == len(pattern) - 1:
+        first, *rest = (_anchors(x) for x in pattern[3:-1].split("|"))
+        return [a for a in first if all(a in r for r in rest)]
+    plain = pattern
+    while (inner := re.sub(r"\(\?:[^()]*\)[?*]?", " @ ", plain)) != plain:
+        plain = inner
+    words = [w for w in (re.split(r"[\[\].{?*]", w)[0] for w in plain.split()) if w != "@"]
+    text = " " + "  ".join(words)
+    return [a for a in _TELLING if " " + a in text] + sorted((w for w in words if len(w) > 5), key=len, reverse=True)
+
+
+def _literal_run(pattern: str) -> str:
+    """Longest run of plain words that every match of `pattern` holds, as in a normalized text; empty for alternatives."""
+    plain = pattern
+    while (inner := re.sub(r"\(\?:[^()]*\)[?*]?", " @ ", plain)) != plain:
+        plain = inner
+    runs = [[]]
+    for w in plain.split():
+        start = re.split(r"[\[\].{?*@]", w)[0]
+        if start:
+            runs[-1].append(start)
+        if start != w:
+            runs.append([])
+    return max(("  ".join(r) for r in runs), key=len)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` is written with one blank between words; higher `priority` suppresses lower."""
+    """`pattern` is written with one blank between words; higher `priority` suppresses lower.
+
+    A rule is tried on texts that hold a word starting with `anchor`, and the words `literal`.
+    """
 
     label: str
-    keyword: str
     pattern: str
     priority: int
     weight: float
+    anchor: str
+    literal: str
 
     @property
     def regex(self) -> str:
         return " " + self.pattern.replace(" ", "  ") + " "
 
 
-# Label, keyword, name, short identifier, address; all in words as the scan sees them.
+# Label, name, short identifier, address; all in words as the scan sees them.
 _LICENSES = """
-mit | mit | mit license | mit | opensource org licenses mit
-mit-0 | mit | mit no attribution(?: license)? | mit 0 | opensource org licenses mit 0
-apache-1.1 | apache | apache(?: software)? license(?: version)? 1 1 | apache 1 1 | apache org licenses license 1 1
-apache-2.0 | apache | apache(?: software)? license(?: version| v)? 2(?: 0)? | apache 2 0 | apache org licenses license 2 0
-gpl-1.0 | gpl | gpl(?: version)? 1 | gpl 1 0(?: only| or later)? | gnu org licenses old licenses gpl 1 0
-gpl-2.0 | general | (?:gnu )?general public license(?: version| v)? 2(?: 0)? | gpl 2 0(?: only| or later)? | gnu org licenses old licenses gpl 2 0
-gpl-3.0 | general | (?:gnu )?general public license(?: version| v)? 3(?: 0)? | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
-lgpl-2.0 | library | (?:gnu )?library general public license(?: version)?(?: 2(?: 0)?)? | lgpl 2 0(?: only| or later)? | gnu org licenses old licenses lgpl 2 0
-lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version| v)? 2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses old licenses lgpl 2 1
-lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: version| v)? 3(?: 0)? | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
-agpl-3.0 | affero | (?:gnu )?affero general public license(?: version| v)?(?: 3(?: 0)?)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl 3 0
-gfdl-1.1 | documentation | (?:gnu )?free documentation license version 1 1 | gfdl 1 1(?: only| or later)? | gnu org licenses old licenses fdl 1 1
-gfdl-1.2 | documentation | (?:gnu )?free documentation license version 1 2 | gfdl 1 2(?: only| or later)? | gnu org licenses old licenses fdl 1 2
-gfdl-1.3 | documentation | (?:gnu )?free documentation license(?: version 1 3)? | gfdl 1 3(?: only| or later)? | gnu org licenses fdl 1 3
-bsd-1-clause | bsd | bsd 1 clause license | bsd 1 clause | spdx org licenses bsd 1 clause
-bsd-2-clause | bsd | (?:simplified bsd license|bsd 2 clause license|freebsd license) | bsd 2 clause | opensource org licenses bsd 2 clause
-bsd-3-clause | bsd | (?:modified bsd license|new bsd license|bsd 3 clause license|revised bsd license) | bsd 3 clause | opensource org licenses bsd 3 clause
-bsd-4-clause | bsd | (?:original bsd license|bsd 4 clause license) | bsd 4 clause | spdx org licenses bsd 4 clause
-isc | isc | isc license | isc | opensource org licenses isc
-zlib | zlib | zlib(?: libpng)? license | zlib | opensource org licenses zlib
-bsl-1.0 | boost | boost software license(?: version)?(?: 1 0)? | bsl 1 0 | boost org license 1 0
-mpl-1.1 | mozilla | mozilla public license(?: version| v)? 1 1 | mpl 1 1 | mozilla org mpl 1 1
-mpl-2.0 | mozilla | mozilla public license(?: version| v)?(?: 2(?: 0)?)? | mpl 2 0 | mozilla org mpl 2 0
-epl-1.0 | eclipse | eclipse public license(?: version| v)? 1(?: 0)? | epl 1 0 | eclipse org legal epl v10
-epl-2.0 | eclipse | eclipse public license(?: version| v)?(?: 2(?: 0)?)? | epl 2 0 | eclipse org legal epl 2 0
-cddl-1.0 | cddl | cddl(?: version)? 1 0 | cddl 1 0 | opensource org licenses cddl 1 0
-cddl-1.1 | development | common development and distribution license(?: version)?(?: 1 [01])? | cddl 1 1 | spdx org licenses cddl 1 1
-cpl-1.0 | common | common public license(?: version)?(?: 1 0)? | cpl 1 0 | opensource org licenses cpl 1 0
-eupl-1.1 | eupl | european union public licen[cs]e(?: version| v)? 1 1 | eupl 1 1 | spdx org licenses eupl 1 1
-eupl-1.2 | european | european union public licen[cs]e(?: version| v)?(?: 1 2)? | eupl 1 2 | spdx org licenses eupl 1 2
-artistic-1.0 | artistic | artistic license 1 0 | artistic 1 0 | opensource org licenses artistic 1 0
-artistic-2.0 | artistic | artistic license(?: 2 0)? | artistic 2 0 | opensource org licenses artistic 2 0
-python-2.0 | python | python software foundation license(?: version 2)? | psf 2 0 | docs python org license
-php-3.01 | php | php license(?: version)?(?: 3 01?)? | php 3 01 | php net license 3 01
-ruby | ruby | ruby license | ruby | ruby lang org license
-openssl | openssl | openssl license | openssl | openssl org source license
-postgresql | postgresql | postgresql licen[cs]e | postgresql | opensource org licenses postgresql
-ncsa | illinois | university of illinois(?: ncsa)? open source license | ncsa | opensource org licenses ncsa
-ofl-1.1 | sil | sil open font license(?: version)?(?: 1 1)? | ofl 1 1 | scripts sil org ofl
-unlicense | unlicense | (?:the )?unlicense | unlicense | unlicense org
-wtfpl | wtfpl | wtfpl(?: version)?(?: 2)? | wtfpl | wtfpl net
-0bsd | bsd | (?:zero clause bsd|bsd zero clause license) | 0bsd | opensource org licenses 0bsd
-ms-pl | microsoft | microsoft public license | ms pl | opensource org licenses ms pl
-ms-rl | microsoft | microsoft reciprocal license | ms rl | opensource org licenses ms rl
-cc0-1.0 | cc0 | cc0(?: version)?(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
-odbl-1.0 | database | open (?:data commons open )?database license(?: odbl)?(?: 1 0)? | odbl 1 0 | opendatacommons org licenses odbl
-pddl-1.0 | pddl | open data commons public domain dedication(?: and)? license | pddl 1 0 | opendatacommons org licenses pddl
-lppl-1.3c | latex | latex project public license(?: version)?(?: 1 3c)? | lppl 1 3c | latex project org lppl
-osl-3.0 | osl | open software license(?: version)?(?: 3 0)? | osl 3 0 | opensource org licenses osl 3 0
-busl-1.1 | business | business source license(?: 1 1)? | busl 1 1 | mariadb com bsl11
-sspl-1.0 | server | server side public license(?: version)?(?: 1)? | sspl 1 0 | mongodb com licensing server side public license
-elastic-2.0 | elastic | elastic license(?: 2 0)? | elastic 2 0 | elastic co licensing elastic license
+mit | mit license | mit | opensource org licenses mit
+mit-0 | mit no attribution(?: license)? | mit 0 | opensource org licenses mit 0
+apache-1.1 | apache(?: software)? license(?: version)? 1 1 | apache 1 1 | apache org licenses license 1 1
+apache-2.0 | apache(?: software)? license(?: version| v)? 2(?: 0)? | apache 2 0 | apache org licenses license 2 0
+gpl-1.0 | gpl(?: version)? 1 | gpl 1 0(?: only| or later)? | gnu org licenses old licenses gpl 1 0
+gpl-2.0 | (?:gnu )?general public license(?: version| v)? 2(?: 0)? | gpl 2 0(?: only| or later)? | gnu org licenses old licenses gpl 2 0
+gpl-3.0 | (?:gnu )?general public license(?: version| v)? 3(?: 0)? | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
+lgpl-2.0 | (?:gnu )?library general public license(?: version)?(?: 2(?: 0)?)? | lgpl 2 0(?: only| or later)? | gnu org licenses old licenses lgpl 2 0
+lgpl-2.1 | (?:gnu )?lesser general public license(?: version| v)? 2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses old licenses lgpl 2 1
+lgpl-3.0 | (?:gnu )?lesser general public license(?: version| v)? 3(?: 0)? | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
+agpl-3.0 | (?:gnu )?affero general public license(?: version| v)?(?: 3(?: 0)?)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl 3 0
+gfdl-1.1 | (?:gnu )?free documentation license version 1 1 | gfdl 1 1(?: only| or later)? | gnu org licenses old licenses fdl 1 1
+gfdl-1.2 | (?:gnu )?free documentation license version 1 2 | gfdl 1 2(?: only| or later)? | gnu org licenses old licenses fdl 1 2
+gfdl-1.3 | (?:gnu )?free documentation license(?: version 1 3)? | gfdl 1 3(?: only| or later)? | gnu org licenses fdl 1 3
+bsd-1-clause | bsd 1 clause license | bsd 1 clause | spdx org licenses bsd 1 clause
+bsd-2-clause | (?:simplified bsd license|bsd 2 clause license|freebsd license) | bsd 2 clause | opensource org licenses bsd 2 clause
+bsd-3-clause | (?:modified bsd license|new bsd license|bsd 3 clause license|revised bsd license) | bsd 3 clause | opensource org licenses bsd 3 clause
+bsd-4-clause | (?:original bsd license|bsd 4 clause license) | bsd 4 clause | spdx org licenses bsd 4 clause
+isc | isc license | isc | opensource org licenses isc
+zlib | zlib(?: libpng)? license | zlib | opensource org licenses zlib
+bsl-1.0 | boost software license(?: version)?(?: 1 0)? | bsl 1 0 | boost org license 1 0
+mpl-1.1 | mozilla public license(?: version| v)? 1 1 | mpl 1 1 | mozilla org mpl 1 1
+mpl-2.0 | mozilla public license(?: version| v)?(?: 2(?: 0)?)? | mpl 2 0 | mozilla org mpl 2 0
+epl-1.0 | eclipse public license(?: version| v)? 1(?: 0)? | epl 1 0 | eclipse org legal epl v10
+epl-2.0 | eclipse public license(?: version| v)?(?: 2(?: 0)?)? | epl 2 0 | eclipse org legal epl 2 0
+cddl-1.0 | cddl(?: version)? 1 0 | cddl 1 0 | opensource org licenses cddl 1 0
+cddl-1.1 | common development and distribution license(?: version)?(?: 1 [01])? | cddl 1 1 | spdx org licenses cddl 1 1
+cpl-1.0 | common public license(?: version)?(?: 1 0)? | cpl 1 0 | opensource org licenses cpl 1 0
+eupl-1.1 | european union public licen[cs]e(?: version| v)? 1 1 | eupl 1 1 | spdx org licenses eupl 1 1
+eupl-1.2 | european union public licen[cs]e(?: version| v)?(?: 1 2)? | eupl 1 2 | spdx org licenses eupl 1 2
+artistic-1.0 | artistic license 1 0 | artistic 1 0 | opensource org licenses artistic 1 0
+artistic-2.0 | artistic license(?: 2 0)? | artistic 2 0 | opensource org licenses artistic 2 0
+python-2.0 | python software foundation license(?: version 2)? | psf 2 0 | docs python org license
+php-3.01 | php license(?: version)?(?: 3 01?)? | php 3 01 | php net license 3 01
+ruby | ruby license | ruby | ruby lang org license
+openssl | openssl license | openssl | openssl org source license
+postgresql | postgresql licen[cs]e | postgresql | opensource org licenses postgresql
+ncsa | university of illinois(?: ncsa)? open source license | ncsa | opensource org licenses ncsa
+ofl-1.1 | sil open font license(?: version)?(?: 1 1)? | ofl 1 1 | scripts sil org ofl
+unlicense | (?:the )?unlicense | unlicense | unlicense org
+wtfpl | wtfpl(?: version)?(?: 2)? | wtfpl | wtfpl net
+0bsd | (?:zero clause bsd|bsd zero clause license) | 0bsd | opensource org licenses 0bsd
+ms-pl | microsoft public license | ms pl | opensource org licenses ms pl
+ms-rl | microsoft reciprocal license | ms rl | opensource org licenses ms rl
+cc0-1.0 | cc0(?: version)?(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
+odbl-1.0 | open (?:data commons open )?database license(?: odbl)?(?: 1 0)? | odbl 1 0 | opendatacommons org licenses odbl
+pddl-1.0 | open data commons public domain dedication(?: and)? license | pddl 1 0 | opendatacommons org licenses pddl
+lppl-1.3c | latex project public license(?: version)?(?: 1 3c)? | lppl 1 3c | latex project org lppl
+osl-3.0 | open software license(?: version)?(?: 3 0)? | osl 3 0 | opensource org licenses osl 3 0
+busl-1.1 | business source license(?: 1 1)? | busl 1 1 | mariadb com bsl11
+sspl-1.0 | server side public license(?: version)?(?: 1)? | sspl 1 0 | mongodb com licensing server side public license
+elastic-2.0 | elastic license(?: 2 0)? | elastic 2 0 | elastic co licensing elastic license
 """
 
-# Label, keyword, pattern, priority, weight of signatures that are phrases of license texts.
+# Label, pattern, priority, weight of signatures that are phrases of license texts.
 _PHRASES = """
-mit | permission | permission is hereby granted free of charge to any person obtaining a copy | 5 | 1
-isc | permission | permission to use copy modify and or distribute this software for any purpose | 5 | 1
-bsd | redistribution | redistribution and use in source and binary forms with or without modification | 5 | 0.9
-bsd | redistributions | redistributions of source code must retain the above copyright notice | 4 | 0.8
-bsd-3-clause | endorse | may be used to endorse or promote products derived from this software | 4 | 0.8
-gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license | 5 | 1
-gpl | general | (?:gnu )?general public license | 2 | 0.8
-gpl-2.0 | gpl | (?:gnu )?gplv2 | 3 | 0.8
-gpl-3.0 | gpl | (?:gnu )?gplv3 | 3 | 0.8
-lgpl | lesser | (?:gnu )?lesser general public license | 3 | 0.8
-mit | mit | mit license | 2 | 0.9
-apache | apache | apache license | 2 | 0.8
-bsd | bsd | bsd(?: style)? license | 2 | 0.7
-unlicense | free | this is free and unencumbered software released into the public domain | 5 | 1
-public-domain | domain | (?:released|dedicated|placed) (?:in|into|to) the public domain | 4 | 0.9
-public-domain | domain | (?:is|are|work in) (?:in )?the public domain | 3 | 0.8
-public-domain | domain | public domain | 2 | 0.5
-proprietary | reserved | all rights reserved | 3 | 0.7
-proprietary | proprietary | proprietary and confidential | 4 | 0.9
-proprietary | proprietary | proprietary license | 3 | 0.8
-proprietary | confidential | unauthorized (?:copying|use|distribution) of this (?:file|document|work).{0,40} confidential | 4 | 0.8
-proprietary | reproduced | no part of this (?:publication|work|book|document) may be reproduced | 4 | 0.8
-proprietary | permission | may not be (?:copied|reproduced|distributed) without (?:prior |written |express )*permission | 4 | 0.8
-copyright | copyright | copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])* | 1 | 0.3
-copyright | copyright | copyright(?: c)? by | 1 | 0.3
-cc | creative | creative commons(?: license)? | 1 | 0.5
-cc | commons | licensed under a creative commons license | 3 | 0.7
-disclaimer | warranty | without warranty of any kind express or implied | 1 | 0.4
-disclaimer | warranties | without warranties or conditions of any kind | 1 | 0.4
-disclaimer | warranty | provided as is without (?:any )?warranty | 1 | 0.4
-commercial | commercial | commercial license(?: agreement)? | 2 | 0.5
-commercial | noncommercial | for noncommercial (?:use|purposes) only | 2 | 0.6
-commercial | commercial | for non commercial (?:use|purposes) only | 2 | 0.6
-eula | user | end user license agreement | 3 | 0.8
-freeware | freeware | this (?:software|program) is freeware | 3 | 0.7
-shareware | shareware | this (?:software|program) is shareware | 3 | 0.7
+mit | permission is hereby granted free of charge to any person obtaining a copy | 5 | 1
+isc | permission to use copy modify and or distribute this software for any purpose | 5 | 1
+bsd | redistribution and use in source and binary forms with or without modification | 5 | 0.9
+bsd | redistributions of source code must retain the above copyright notice | 4 | 0.8
+bsd-3-clause | may be used to endorse or promote products derived from this software | 4 | 0.8
+gpl | you can redistribute it and or modify it under the terms of the gnu general public license | 5 | 1
+gpl | (?:gnu )?general public license | 2 | 0.8
+gpl-2.0 | (?:gnu )?gplv2 | 3 | 0.8
+gpl-3.0 | (?:gnu )?gplv3 | 3 | 0.8
+lgpl | (?:gnu )?lesser general public license | 3 | 0.8
+mit | mit license | 2 | 0.9
+apache | apache license | 2 | 0.8
+bsd | bsd(?: style)? license | 2 | 0.7
+unlicense | this is free and unencumbered software released into the public domain | 5 | 1
+public-domain | (?:released|dedicated|placed) (?:in|into|to) the public domain | 4 | 0.9
+public-domain | (?:is|are|work in) (?:in )?the public domain | 3 | 0.8
+public-domain | public domain | 2 | 0.5
+proprietary | all rights reserved | 3 | 0.7
+proprietary | proprietary and confidential | 4 | 0.9
+proprietary | proprietary license | 3 | 0.8
+proprietary | unauthorized (?:copying|use|distribution) of this (?:file|document|work).{0,40} confidential | 4 | 0.8
+proprietary | no part of this (?:publication|work|book|document) may be reproduced | 4 | 0.8
+proprietary | may not be (?:copied|reproduced|distributed) without (?:prior |written |express )*permission | 4 | 0.8
+copyright | copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])* | 1 | 0.3
+copyright | copyright(?: c)? by | 1 | 0.3
+cc | creative commons(?: license)? | 1 | 0.5
+cc | licensed under a creative commons license | 3 | 0.7
+disclaimer | without warranty of any kind express or implied | 1 | 0.4
+disclaimer | without warranties or conditions of any kind | 1 | 0.4
+disclaimer | provided as is without (?:any )?warranty | 1 | 0.4
+commercial | commercial license(?: agreement)? | 2 | 0.5
+commercial | for noncommercial (?:use|purposes) only | 2 | 0.6
+commercial | for non commercial (?:use|purposes) only | 2 | 0.6
+eula | end user license agreement | 3 | 0.8
+freeware | this (?:software|program) is freeware | 3 | 0.7
+shareware | this (?:software|program) is shareware | 3 | 0.7
 """
 
 _GRANT = "(?:licensed|released|distributed|available|published|provided|offered|covered|shared)(?: for use| by us)? under(?: the)?(?: terms of)?(?: the)?"
@@ -147,32 +188,34 @@ def _rows(text: str) -> list[list[str]]:
 
 def _built() -> list[Rule]:
     out = []
-    for label, keyword, name, short, address in _rows(_LICENSES):
-        first = short.split(" ")[0]
-        out += [
-            Rule(label, keyword, f"{_GRANT} {name}", 4, 1.0),
-            Rule(label, keyword, name, 3, 0.9),
-            Rule(label, "spdx", f"spdx license identifier {short}", 5, 1.0),
-            Rule(label, address.split(" ")[0], address, 4, 0.95),
-            Rule(label, first, f"licen[cs]e {short}", 3, 0.8),
-            Rule(label, first, f"{short} licen[cs]e", 3, 0.8),
-        ]
+
+    def add(label: str, pattern: str, priority: int, weight: float, held: str = "") -> None:
+        out.append(Rule(label, pattern, priority, weight, _anchors(held or pattern)[0], _literal_run(held or pattern)))
+
+    for label, name, short, address in _rows(_LICENSES):
+        add(label, f"{_GRANT} {name}", 4, 1.0, name)
+        add(label, name, 3, 0.9)
+        add(label, f"spdx license identifier {short}", 5, 1.0)
+        add(label, address, 4, 0.95)
+        add(label, f"licen[cs]e {short}", 3, 0.8)
+        add(label, f"{short} licen[cs]e", 3, 0.8)
     for parts in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"):
         long = " ".join(_CC_PARTS[p] for p in parts.split(" "))
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{parts.replace(' ', '-')}-{version.replace(' ', '.')}"
-            out += [
-                Rule(label, "cc", f"{_GRANT} cc {parts} {version}", 5, 1.0),
-                Rule(label, "cc", f"cc {parts} {version}", 4, 0.9),
-                Rule(label, "commons", f"creative commons {long} {version}", 4, 0.95),
-                Rule(label, "creativecommons", f"creativecommons org licenses {parts} {version}", 5, 1.0),
-            ]
-    out += [Rule(label, keyword, pattern, int(priority), float(weight)) for label, keyword, pattern, priority, weight in _rows(_PHRASES)]
+            add(label, f"{_GRANT} cc {parts} {version}", 5, 1.0, f"cc {parts}")
+            add(label, f"cc {parts} {version}", 4, 0.9)
+            add(label, f"creative commons {long} {version}", 4, 0.95)
+            add(label, f"creativecommons org licenses {parts} {version}", 5, 1.0)
+    for label, pattern, priority, weight in _rows(_PHRASES):
+        add(label, pattern, int(priority), float(weight))
     return out
 
 
 RULES = _built()
-KEYWORDS = sorted({r.keyword for r in RULES} | {"license"})
+ANCHORS = sorted({r.anchor for r in RULES})
+#: Rules by the keyword that gates them.
+GATED = {a: list(x) for a, x in groupby(sorted(enumerate(RULES), key=lambda r: (r[1].anchor, r[0])), lambda r: r[1].anchor)}
 PRIORITIES = sorted({r.priority for r in RULES})
 
 
@@ -181,8 +224,20 @@ def _literal(x: str) -> str:
 
 
 def _rules_sql() -> str:
-    rows = ", ".join(f"struct({i}, {_literal(r.label)}, {_literal(' ' + r.keyword)}, {_literal(r.regex)}, {r.priority}, {r.weight}D)" for i, r in enumerate(RULES))
-    return f"cast(array({rows}) AS array<struct<rule:int, label:string, keyword:string, regex:string, priority:int, weight:double>>)"
+    """Array of (anchor, its rules): keywords are tried once each, not once a rule."""
+    one = lambda i, r: f"struct({i}, {_literal(r.label)}, {_literal(r.literal)}, {_literal(r.regex)}, {r.priority}, {r.weight}D)"
+    rows = ", ".join(f"struct({_literal(' ' + a)}, array({', '.join(one(i, r) for i, r in rules)}))" for a, rules in GATED.items())
+    return f"cast(array({rows}) AS array<struct<anchor:string, rules:array<struct<rule:int, label:string, literal:string, regex:string, priority:int, weight:double>>>>)"
+
+
+def gate(lower: Column) -> Column:
+    """Whether a text in lower case holds a keyword. Plain searches, each stopping at its first hit; a pair of words takes an expression."""
+    out = F.lit(False)
+    for a in ANCHORS:
+        first, _, second = a.partition("  ")
+        found = F.contains(lower, F.lit(first))
+        out |= found & lower.rlike(first + SEPARATORS + second) if second else found
+    return out
 
 
 def normalized(text: Column) -> Column:
@@ -204,7 +259,7 @@ aggregate(
   s -> s.out)
 """
 
-_DETECTIONS = "flatten(transform(filter(filter({rules}, r -> contains(norm, r.keyword)), r -> norm RLIKE r.regex), r -> " + _SPANS + "))"
+_DETECTIONS = "flatten(transform(filter(flatten(transform(filter({rules}, g -> contains(norm, g.anchor)), g -> g.rules)), r -> contains(norm, r.literal) AND norm RLIKE r.regex), r -> " + _SPANS + "))"
 
 
 def _surviving() -> str:
@@ -231,9 +286,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     null and repeated ids are rows like others; an empty table gives no rows; other columns are
     ignored. Whole texts of any length are scanned.
     """
-    gate = "(?i)" + "|".join(sorted({k[:5] for k in KEYWORDS}))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.select("id", F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(gate), normalized(F.col("text"))).alias("norm"))
+    # Full lower case can only add keywords to a text, never hide one.
+    d = d.withColumn("lower", F.lower("text"))
+    d = d.select("id", F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words"), F.when(gate(F.col("lower")), normalized(F.col("text"))).alias("norm"))
     none = "cast(array() AS array<struct<first:int, last:int, priority:int, rule:int, label:string, weight:double>>)"
     d = d.withColumn("detections", F.expr(f"coalesce({_DETECTIONS.format(rules=_rules_sql())}, {none})"))
     d = d.withColumn("spans", F.expr(f"IF(size(detections) = 0, detections, {_surviving()})"))
@@ -268,7 +324,7 @@ def _duck_words(x: str) -> str:
 
 
 def op1_sql() -> str:
-    rules = ",\n".join(f"({i}, {_duck(r.label)}, {_duck(' ' + r.keyword)}, {_duck(r.regex)}, {r.priority}, CAST({r.weight} AS DOUBLE))" for i, r in enumerate(RULES))
+    rules = ",\n".join(f"({i}, {_duck(r.label)}, {_duck(' ' + r.anchor)}, {_duck(r.regex)}, {r.priority}, CAST({r.weight} AS DOUBLE))" for i, r in enumerate(RULES))
     phrases = ", ".join(f"({_duck(label)}, {_duck(' ' + p.replace(' ', '  ') + ' ')}, {len(p.split(' '))})" for p, label in BASE)
     return f"""
 WITH rules(rule, label, keyword, regex, priority, weight) AS (VALUES {rules}),
