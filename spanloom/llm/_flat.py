@@ -49,7 +49,7 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def blocks(buf: np.ndarray, off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(buf: np.ndarray, off: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of whole rows of about `limit` bytes: (first row, end row, bytes, offsets)."""
     i, rows = 0, len(off) - 1
     while i < rows:
@@ -60,7 +60,7 @@ def blocks(buf: np.ndarray, off: np.ndarray, limit: int = 1 << 21) -> Iterator[t
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
             x = np.full(size, U64(base))
             x[0] = 1

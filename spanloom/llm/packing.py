@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", te
         enc = encoder(path)
         for batch in batches:
             buf, off = _flat.buffer_of(batch.column(1))
-            for i, j, b, o in _flat.blocks(buf, off):
+            for i, j, b, o in _flat.blocks(buf, off, 1 << 21):
                 ids, counts = enc.encode(b, o)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, 0).astype("<u4")

@@ -44,7 +44,7 @@ def token_files(docs: DataFrame, path: str, separator: int = SEPARATOR, block: i
             yield out("d", row, ids.astype("<i8"))
             row += len(ids)
             buf, off = _flat.buffer_of(batch.column(1))
-            for _, _, b, o in _flat.blocks(buf, off):
+            for _, _, b, o in _flat.blocks(buf, off, 1 << 21):
                 tokens, counts = enc.encode(b, o)
                 held.append(np.insert(tokens, np.cumsum(counts), separator).astype(_WIDTH[width]))
                 size += len(held[-1])
