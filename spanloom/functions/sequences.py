@@ -102,23 +102,26 @@ def resolved_codons(code: int = 1) -> dict[str, str]:
     return out
 
 
-def translate_dna(x: C, frame: int = 0, code: int = 1, unknown: str = "X") -> Column:
+def translate_dna(x: C, frame: int | Column = 0, code: int = 1, unknown: str = "X") -> Column:
     """Amino acids of a frame (0, 1, 2); incomplete last codons are left out, ambiguous ones are `unknown`.
 
-    A codon's index in a 64-letter string replaces a map lookup: three base digits in TCAG order.
+    One pass cuts the sequence into codons of base digits; a codon's number picks its letter from
+    a string of 64. Nothing in the loop over codons looks at the whole sequence again.
     """
-    letters = "".join(codon_map(code)[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG")
-    seq = F.translate(F.translate(ascii_upper(x), "U", "T"), "TCAG", "0123")
-    n = F.floor((F.length(_c(x)) - frame) / 3).cast("int")
-    digits = lambda i: F.substring(seq, i * 3 + 1 + frame, F.lit(3))
-    one = lambda i: F.when(digits(i).rlike("^[0-3]{3}$"), F.substring(F.lit(letters), F.conv(digits(i), 4, 10).cast("int") + 1, F.lit(1))).otherwise(F.lit(unknown))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), "")).otherwise(F.lit(""))
+    letters = F.lit("".join(codon_map(code)[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG"))
+    digits = F.translate(ascii_upper(x), "TUCAG", "00123")
+    codons = F.regexp_extract_all(F.substring(digits, F.lit(frame) + 1, F.length(_c(x))), F.lit("(?s)(.{3})"), F.lit(1))
+
+    def one(d: Column) -> Column:
+        at = F.ascii(d) * 16 + F.ascii(F.substring(d, 2, 1)) * 4 + F.ascii(F.substring(d, 3, 1)) - 48 * 21
+        return F.when(d.rlike("^[0-3]{3}$"), F.substring(letters, at + 1, F.lit(1))).otherwise(F.lit(unknown))
+
+    return F.array_join(F.transform(codons, one), "")
 
 
 def kmers(x: C, k: int) -> Column:
-    """Array of all k-long substrings, in order; empty for shorter sequences."""
-    n = F.length(_c(x)) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(_c(x), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of all k-long substrings, in order; empty for shorter sequences. A lookahead finds them in one pass."""
+    return F.regexp_extract_all(_c(x), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def positions(x: C, pattern: C) -> Column:

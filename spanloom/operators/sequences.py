@@ -125,9 +125,9 @@ def extract_by_keys(seqs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def six_frames(seqs: DataFrame, code: int = 1) -> DataFrame:
     """(seqnum, frame, protein): frames 1 to 3 forward, -1 to -3 on the reverse complement."""
-    rc = S.reverse_complement("seq")
-    frames = [F.struct(F.lit(sign * (f + 1)).alias("frame"), S.translate_dna(x, f, code).alias("protein")) for sign, x in ((1, F.col("seq")), (-1, rc)) for f in range(3)]
-    return seqs.select("seqnum", F.explode(F.array(*frames)).alias("x")).select("seqnum", "x.frame", "x.protein")
+    strands = F.array(F.struct(F.lit(1).alias("sign"), F.col("seq").alias("s")), F.struct(F.lit(-1).alias("sign"), S.reverse_complement("seq").alias("s")))
+    rows = seqs.select("seqnum", F.explode(strands).alias("x")).select("seqnum", "x.sign", "x.s", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("f"))
+    return rows.select("seqnum", (F.col("sign") * (F.col("f") + 1)).alias("frame"), S.translate_dna("s", F.col("f"), code).alias("protein"))
 
 
 def open_frames(seqs: DataFrame, min_codons: int = 30, longest: bool = False, code: int = 1, both: bool = True) -> DataFrame:
@@ -183,7 +183,7 @@ def splice_sites(introns: DataFrame, seqs: DataFrame) -> DataFrame:
     i = introns.join(seqs, "seqnum").where((F.col("end") - F.col("start") + 1 >= 4) & F.col("strand").isin("+", "-"))
     ends = F.concat(F.substring("seq", F.col("start").cast("int"), F.lit(2)), F.substring("seq", (F.col("end") - 1).cast("int"), F.lit(2)))
     four = F.when(F.col("strand") == "-", S.reverse_complement(ends)).otherwise(ends)
-    kinds = F.array(F.struct(F.lit("splicesite").alias("kind"), F.col("s").alias("site")), F.struct(F.lit("donor"), F.substring("s", 1, 2)), F.struct(F.lit("acceptor"), F.substring("s", 3, 2)))
+    kinds = F.array(F.struct(F.lit("splicesite").alias("kind"), F.col("s").alias("site")), F.struct(F.lit("donor").alias("kind"), F.substring("s", 1, 2).alias("site")), F.struct(F.lit("acceptor").alias("kind"), F.substring("s", 3, 2).alias("site")))
     return i.select(four.alias("s")).where(F.length("s") == 4).select(F.explode(kinds).alias("x")).groupBy("x.kind", "x.site").agg(F.count("*").alias("n"))
 
 
