@@ -19,7 +19,7 @@ def align_pair(u: str, v: str, match: int = 2, mismatch: int = -1, gap_open: int
     """
     n, m = len(u), len(v)
     low = -(1 << 40)
-    a, b = np.frombuffer(u.encode(), np.uint8), np.frombuffer(v.encode(), np.uint8)
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (u, v))
     h = np.zeros((n + 1, m + 1), np.int64)
     e, f = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
     if not local:
