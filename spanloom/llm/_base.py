@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DEFAULT = "/tmp/checkpoints"
 _written: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +30,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     if not _written:
-        atexit.register(_clean, spark)
+        atexit.register(_delete, spark, _written)
     _written.append(path)
+    for scope in _scopes:
+        scope.append(path)
+    # Shuffle files of the finished write go when the driver's JVM collects what is no longer referenced.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean(spark: SparkSession) -> None:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     if spark.sparkContext._jsc is None:
         return
-    jvm = spark._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+    paths.clear()
+
+
+@contextmanager
+def temporary(spark: SparkSession, paths: list[str]) -> Iterator[None]:
+    """Delete the tables of an earlier scope listed in `paths`, whose results have been written, and list those of this one."""
+    _delete(spark, paths)
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
 
 
 def text_key(text: Column) -> Column:

@@ -163,15 +163,16 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _line_links(units: DataFrame) -> DataFrame:
     """(a, b): links between different lines at least SIMILARITY alike, enough to span their components."""
     lines = units.where(F.size("bands") > 0)
-    keyed = lines.select("u", "h", F.explode("bands").alias("key"))
+    # Only two numbers a band are dealt out; the first eight bytes stand for a line until the shared bands are known.
+    keyed = lines.select("h", F.explode("bands").alias("key"))
     # Partial aggregation first: a line's copies meet as one, however many there are.
     shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
     shared = materialize(shared, "bands")
-    members = materialize(keyed.join(shared, "key", "left_semi").select("key", "u").distinct(), "members")
-    sets = lines.join(members.select("u").distinct(), "u", "left_semi").groupBy("u").agg(F.first("shingles").alias("shingles"))
+    members = materialize(keyed.join(shared, "key", "left_semi").distinct(), "members")
+    sets = lines.join(members.select("h").distinct(), "h", "left_semi").groupBy("u", "h").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    joined = members.join(sets, "u")
-    pieces = members.join(sets.select("u", F.octet_length("shingles").alias("n")), "u").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_BYTES)).cast("int").alias("pieces"))
+    joined = members.join(sets, "h")
+    pieces = members.join(sets.select("h", F.octet_length("shingles").alias("n")), "h").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_BYTES)).cast("int").alias("pieces"))
     joined = joined.join(pieces, "key").withColumn("p", F.pmod(F.xxhash64("u"), F.col("pieces")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda q: F.struct(F.least(q, "p").alias("i"), F.greatest(q, "p").alias("j"))))
     met = joined.select("key", pair.alias("x"), "u", "shingles").groupBy("key", "x").agg(F.collect_list(F.struct("u", "shingles")).alias("m"))
