@@ -33,13 +33,15 @@ def _majority(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     # Lanes hold up to 255, so long rows are added up in pieces of that length.
     pieces = -(-count // 255)
     owner = np.repeat(np.arange(rows), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.cumsum(pieces) - pieces
+    nth = np.arange(len(owner)) - np.repeat(begin, pieces)
     at = first[owner] + 255 * nth
+    some = pieces > 0
     byte = hashes.view(np.uint8).reshape(-1, 8)
     for k in range(8):
         lanes = np.add.reduceat(_LANES[byte[:, k]], at).view(np.uint8).reshape(-1, 8)
         sums = np.zeros((rows, 8), np.int64)
-        np.add.at(sums, owner, lanes) if len(owner) > rows else sums.__setitem__(owner, lanes)
+        sums[some] = np.add.reduceat(lanes, begin[some], axis=0, dtype=np.int64)
         bits = np.packbits(2 * sums > count[:, None], axis=1, bitorder="little")[:, 0]
         out |= bits.astype(np.uint64) << np.uint64(8 * k)
     return out

@@ -249,6 +249,20 @@ def test_majority_of_many_hashes():
         assert int(got[k]) == sum(1 << b for b in range(64) if int((mine >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(mine))
 
 
+def test_long_text_beside_texts_without_words():
+    import xxhash
+
+    rng = random.Random(21)
+    for size, short, none in ((303, 0, [None]), (303, 198, [""]), (603, 0, [None, " "])):
+        texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(size)), *(prose(rng, 8) for _ in range(short)), *none]
+        want = []
+        for t in texts:
+            w = (t or "").split()
+            h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+            want.append(sum(1 << b for b in range(64) if sum((v >> b) & 1 for v in h) * 2 > len(h)))
+        assert simhash.fingerprints(pa.array(texts)).tolist() == want
+
+
 def test_paragraphs(spark, odd, monkeypatch):
     rng = random.Random(13)
     line, other = prose(rng, 40), prose(rng, 60)
