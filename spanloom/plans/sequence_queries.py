@@ -204,6 +204,14 @@ def kmer_search(spark: SparkSession, d: str) -> DataFrame:
 _READS_SQL = f"{DNA_SQL}, reads AS (SELECT seqnum * 1000 + i // 60 AS seqnum, substring(seq, i + 1, 100) AS seq FROM (SELECT seqnum, seq, unnest(range(0, 181, 60)) AS i FROM dna WHERE length(seq) >= 280))"
 
 
+def whole_reads(spark: SparkSession, d: str) -> DataFrame:
+    """(seqnum, seq): reads of 100 bases every 60, up to the end of each sequence; the last may be shorter, an empty one has none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("seq") - 100) / 60), F.lit(0)).cast("int"))
+    s = dna(spark, d).where("seq <> ''").select("seqnum", "seq", F.explode(starts).alias("i"))
+    return s.select((F.col("seqnum") * 100_000_000 + F.col("i")).alias("seqnum"), F.substring("seq", F.col("i") * 60 + 1, F.lit(100)).alias("seq"))
+
+
+# The SQL of the queries on these reads takes the first 280 bases only, and so do they.
 def reads(spark: SparkSession, d: str) -> DataFrame:
     s = dna(spark, d).where(F.length("seq") >= 280).select("seqnum", "seq", F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(60))).alias("i"))
     return s.select((F.col("seqnum") * 1000 + F.floor(F.col("i") / 60)).alias("seqnum"), F.substring("seq", F.col("i") + 1, F.lit(100)).alias("seq"))
@@ -282,7 +290,7 @@ def simulated_reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mutated_reads(spark: SparkSession, d: str) -> DataFrame:
-    return Q.mutate(reads(spark, d), 2.0, 5)
+    return Q.mutate(whole_reads(spark, d), 2.0, 5)
 
 
 @query()

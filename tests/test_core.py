@@ -139,6 +139,31 @@ def test_single_linkage(spark):
     assert {tuple(r) for r in L.single_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (5, 5), (6, 5)}
 
 
+def test_reads_reach_the_end(spark, tmp_path):
+    from spanloom.plans import match_queries as M
+    from spanloom.plans import sequence_queries as P
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("acgt") for _ in range(n)) for n in (0, 40, 100, 101, 160, 161, 279, 1000)]
+    texts += [texts[7][:300] + texts[7][500:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    code = str.maketrans("abcdefghijklmnopqrstuvwxyz", ("acgt" * 7)[:26])
+    bases = [t.translate(code) for t in texts]
+    want = {}
+    for d, s in enumerate(bases):
+        at = 0
+        while s and (at == 0 or at + 40 < len(s)):
+            want[d * 10**8 + at // 60] = s[at : at + 100]
+            at += 60
+    assert {r.seqnum: r.seq for r in P.whole_reads(spark, str(tmp_path)).collect()} == want
+    assert P.mutated_reads(spark, str(tmp_path)).count() == len(want)
+    # Overlaps past letter 280 join all reads of the long text into one cluster.
+    long = {r.node: r.cluster for r in M.read_clusters(spark, str(tmp_path)).collect()}
+    assert {long[7 * 10**8 + k] for k in range(16)} == {7 * 10**8}
+    assert max(r.a % 10**8 for r in M.global_chains(spark, str(tmp_path)).collect()) > 4
+    assert {r.tag for r in M.mapped_tags(spark, str(tmp_path)).collect()} == {d * 10**8 for d, s in enumerate(bases) if len(s) >= 48}
+
+
 def test_karlin_altschul_lambda():
     import math
 
