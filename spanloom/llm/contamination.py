@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Seeds are the five-word n-grams of the test items. A passage of a text around shared seeds is a
-candidate for an item if it shares one rare seed (one that few texts hold) or two seeds of any
-kind, so a much-copied item loses no case to its own frequency. Candidates are aligned word by
-word; the score is the best local alignment's over that of a whole copy.
+candidate for each item it shares a seed with, however many texts hold that seed, so what a text
+copies depends on the text and the items alone. Candidates are aligned word by word; the score is
+the best local alignment's over that of a whole copy.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import _flat
-from spanloom.llm._base import materialize, table, text_key
+from spanloom.llm._base import table, text_key
 
 N = 5
-#: Share of all texts up to which a seed counts as rare.
-RARE = 0.001
 MIN_SCORE = 0.5
 #: Seeds that go to the executors at once (8 bytes each); larger benchmarks take several passes.
 SEEDS_AT_ONCE = 1_000_000
@@ -140,23 +138,16 @@ def _passages(items: Items, key_kinds: str):
     return run, f"{key_kinds}, first long, words binary, seeds array<long>"
 
 
-def _aligned(items: Items, rare: np.ndarray, min_score: float, key_kinds: str, width: int):
+def _aligned(items: Items, min_score: float, key_kinds: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_set = set(rare.tolist())
         for batch in batches:
             out = []
             for k, (first, words, seeds) in enumerate(zip(*(batch.column(width + c).to_pylist() for c in range(3)), strict=True)):
-                text, shared, strong = np.frombuffer(words, np.uint64), Counter(), set()
-                for s in seeds:
-                    for o in items.owners[s % (1 << 64)]:
-                        shared[o] += 1
-                        if s in rare_set:
-                            strong.add(o)
-                for o, n in sorted(shared.items()):
-                    if n > 1 or o in strong:
-                        score, a, b = align(items.words[o], text)
-                        if score >= min_score:
-                            out.append((k, items.ids[o], score, first + a, first + b))
+                text = np.frombuffer(words, np.uint64)
+                for o in sorted({o for s in seeds for o in items.owners[s % (1 << 64)]}):
+                    score, a, b = align(items.words[o], text)
+                    if score >= min_score:
+                        out.append((k, items.ids[o], score, first + a, first + b))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kept = batch.take(pa.array(cols[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=[*batch.schema.names[:width], "item_id", "score", "first_word", "last_word"])
@@ -164,7 +155,7 @@ def _aligned(items: Items, rare: np.ndarray, min_score: float, key_kinds: str, w
     return run, f"{key_kinds}, item_id long, score double, first_word long, last_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", min_score: float = MIN_SCORE, rare: float = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """(keys..., item_id, score, first_word, last_word) of each passage that copies a test item.
 
     Words are runs of ASCII letters and digits (any case) and other characters; places count
@@ -175,18 +166,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_co
     on every machine whatever the benchmark's.
     """
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    total = docs.count()
     found = None
     for items in load_items(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator()):
         if not len(items.seed):
             continue
         run, schema = _passages(items, kinds)
-        passages = materialize(docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(run, schema), "passages")
-        # At most SEEDS_AT_ONCE rows: in how many passages each seed is.
-        often = passages.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > max(1.0, rare * total))
-        common = np.array([r[0] for r in often.select("s").collect()], np.int64)
-        few = np.setdiff1d(items.seed.view(np.int64), common)
-        run, schema = _aligned(items, few, min_score, kinds, len(keys))
+        passages = docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+        run, schema = _aligned(items, min_score, kinds, len(keys))
         got = passages.mapInArrow(run, schema)
         found = got if found is None else found.unionByName(got)
     return docs.sparkSession.createDataFrame([], f"{kinds}, item_id long, score double, first_word long, last_word long") if found is None else found

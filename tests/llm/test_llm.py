@@ -198,6 +198,18 @@ def test_contaminated(spark, odd):
     assert contamination.contaminated(odd, bench.where("false"), ["doc_id"]).count() == 0
 
 
+def test_much_copied_single_seeds(spark):
+    rng = random.Random(13)
+    long = [f"w{k}" for k in range(15)]
+    edited = [*long[:4], "x", *long[5:10], "y", *long[11:]]
+    items = ["one two three", "red green blue white black", " ".join(long)]
+    texts = [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for t in (items[0], items[1], " ".join(edited)) for _ in range(5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contamination.contaminated(docs(spark, texts), bench, ["doc_id"]).collect()}
+    assert set(got) == {(k, k // 5) for k in range(15)}
+    assert all(s == 1 for (d, _), s in got.items() if d < 10) and got[12, 2] == pytest.approx(0.8)
+
+
 def test_sharding(spark, odd):
     rng = random.Random(10)
     texts = [prose(rng, rng.randrange(0, 40)) for _ in range(300)] + ["same"] * 50 + [None, ""]
