@@ -128,6 +128,36 @@ def test_alignment_scores():
         assert L.align_pair(u, v)[0] == h[len(u), len(v)]
 
 
+def test_alignments_of_whole_texts(spark, tmp_path):
+    import re
+
+    from spanloom.plans import match_queries as M
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (150, 0, 190, 170)]
+    texts.append(texts[3][:60] + "b" + texts[3][65:])
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def score(u, v, gap_open, gap, local):
+        low, edge = -(10**9), lambda k: 0 if local or not k else gap_open + gap * k
+        h, f, best = [edge(j) for j in range(len(v) + 1)], [low] * (len(v) + 1), 0
+        for i, x in enumerate(u, 1):
+            row, e = [edge(i)], low
+            for j, y in enumerate(v, 1):
+                f[j] = max(f[j], h[j] + gap_open) + gap
+                e = max(e, row[j - 1] + gap_open) + gap
+                row.append(max(h[j - 1] + (2 if x == y else -1), e, f[j], 0 if local else low))
+            h, best = row, max(best, *row)
+        return best if local else h[-1]
+
+    for query, how in ((M.global_alignments, (0, -2, False)), (M.local_alignments, (-3, -1, True))):
+        rows = query(spark, str(tmp_path)).collect()
+        assert {r.pair_id: r.score for r in rows} == {k: score(texts[k], texts[k + 1], *how) for k in range(4)}
+        for r in rows if not how[2] else []:
+            runs = re.findall(r"(\d+)(.)", r.cigar)
+            assert [sum(int(n) for n, o in runs if o in used) for used in ("=XD", "=XI")] == [len(texts[r.pair_id]), len(texts[r.pair_id + 1])]
+
+
 def test_chain_takes_the_colinear_fragments(spark):
     rows = [(0, 0, 1, 10, 1, 10, 50.0), (0, 0, 12, 20, 13, 21, 40.0), (0, 0, 5, 30, 40, 60, 30.0)]
     r = L.chain(spark.createDataFrame(rows, "a long, b long, a_start long, a_end long, b_start long, b_end long, weight double")).first()
