@@ -208,23 +208,30 @@ def best_of_overlapping(candidates: DataFrame, by: str = "similarity", none: boo
     return runs.withColumn("__rank", F.row_number().over(part.orderBy(F.desc(by), "start", "end"))).where("__rank = 1").drop("__new", "__run", "__rank")
 
 
-def single_linkage(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, cluster): smallest node reachable, by rounds of neighbour minima and pointer jumps until nothing changes."""
+def single_linkage(edges: DataFrame) -> DataFrame:
+    """(node, cluster): smallest node reachable, by alternating star contraction until nothing changes.
+
+    Large-star ties every larger neighbour to the smallest one, small-star contracts what is left;
+    the number of rounds is logarithmic in the nodes, however long the paths. Null ends are left out.
+    """
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    label = both.select(F.col("u").alias("node"), F.col("u").alias("cluster")).distinct()
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("m"))
-        new = label.join(near, label["node"] == near["u"], "left").select("node", F.least("cluster", "m").alias("cluster"))
-        up = new.select(F.col("node").alias("cluster"), F.col("cluster").alias("up"))
-        new = new.join(up, "cluster").select("node", F.col("up").alias("cluster")).checkpoint()
-        changed = new.join(label.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").limit(1).count()
-        label = new
+    ends = edges.select("a", "b").checkpoint()
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+    e = ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = small.unionByName(lows.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(new, ["u", "v"], "left_anti").limit(1).count()
+        e = new
         if not changed:
             break
-    return label
+    return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("cluster"))
 
 
 def unitigs(edges: DataFrame) -> DataFrame:

@@ -169,6 +169,12 @@ def test_single_linkage(spark):
     assert {tuple(r) for r in L.single_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (5, 5), (6, 5)}
 
 
+def test_single_linkage_of_a_long_path(spark):
+    path = [(k, k + 1) for k in range(1, 200)] + [(200, 0), (300, 300), (None, 301)]
+    got = {r.node: r.cluster for r in L.single_linkage(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(201), 0) | {300: 300, 301: 301}
+
+
 def test_reads_reach_the_end(spark, tmp_path):
     from spanloom.plans import match_queries as M
     from spanloom.plans import sequence_queries as P
