@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,14 +11,20 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DEFAULT = "/tmp/checkpoints"
+#: Shuffle files of a write go as soon as it has ended: the table it wrote stands for them.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 _scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a local default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT
+    """Folder that the driver and all executors see: spark.checkpoint.dir; unset, a local run has one of its own, a cluster none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,14 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before or "false")
     if not _written:
         atexit.register(_delete, spark, _written)
     _written.append(path)
     for scope in _scopes:
         scope.append(path)
-    # Shuffle files of the finished write go when the driver's JVM collects what is no longer referenced.
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import _flat
@@ -123,52 +123,95 @@ def connect(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_runs(keys: list[np.ndarray]) -> np.ndarray:
+    """First row of each run of equal rows of `keys`."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _sorted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each bucket of rows (key columns..., fp) that come sorted by key."""
+
+    def linked(cols: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+        fp, a, b = cols[-1], [], []
+        first, size = ends[:-1], np.diff(ends)
+        # Most buckets are pairs: one comparison for all of them.
+        two = first[size == 2]
+        x, y = fp[two], fp[two + 1]
+        near = (np.bitwise_count(x ^ y) <= DISTANCE) & (x != y)
+        a.append(x[near])
+        b.append(y[near])
+        for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            u, v = connect(fp[f : f + n])
+            a.append(u)
+            b.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        lists = batch.column(0)
-        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        pairs = [connect(flat[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _keys(fps: DataFrame, masks: list[int], more: list[str]) -> DataFrame:
-    made = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for c, m in enumerate(masks)]))
-    return fps.select(*more, "fp", made.alias("x")).select(*more, "fp", "x.c", "x.k")
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held and all(h[-1] == c[0] for h, c in zip(held[-1][:-1], cols[:-1], strict=True)):
+            # The bucket that was open goes on: its rows wait until another key begins.
+            stop = _key_runs(cols[:-1])
+            if len(stop) == 1:
+                held.append(cols)
+                continue
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held, cols, strict=True)]
+        start = _key_runs(cols[:-1])
+        if len(start) > 1:
+            yield linked(cols, start)
+        held = [[c[start[-1] :] for c in cols]]
+    if held:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield linked(cols, np.array([0, len(cols[0])]))
+
+
+def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (c, k, n): keys that several fingerprints of one batch share."""
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        for c, m in enumerate(MASKS):
+            k, n = np.unique(fp & m, return_counts=True)
+            some = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), c, np.int32)), pa.array(k[some]), pa.array(n[some].astype(np.int64))], names=["c", "k", "n"])
 
 
-def _links_in(keyed: DataFrame, by: list[str], pairs_and: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of each bucket; links of buckets of two; links of other buckets that `pairs_and` takes."""
-    sized = keyed.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sized = materialize(sized, "buckets")
-    two = sized.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
-    more = keyed.join(sized.where("n > 2").where(pairs_and).select(*by), by, "left_semi")
-    return sized, two, more.groupBy(*by).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_bucket_links, "a long, b long")
+def _inner_masks() -> list[list[int]]:
+    """For each mask: 8 parts of the bits it leaves free, 4 equal."""
+    out = []
+    for m in MASKS:
+        parts = [sum(1 << int(b) for b in x) for x in np.array_split(np.array([b for b in range(64) if not (m >> b) & 1]), 8)]
+        out.append([_signed(sum(x)) for x in combinations(parts, 4)])
+    return out
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that connect all of `fps` (distinct longs) that are linked by chains of near pairs.
 
     Fingerprints share a block key, and each bucket gives its spanning links: no pair list grows
-    with the square of a bucket. Buckets over BUCKET are cut by a second pigeonhole over the bits
-    that the first key leaves free: 8 parts of them, 4 equal. Such a cut bucket has at most 2**20
-    members by its bits, and is exact again.
+    with the square of a bucket. Every (key, fingerprint) is dealt out once, sorted by key, and
+    each task streams through its buckets. Keys that several rows of a batch share are counted
+    first; where that comes to more than BUCKET fingerprints the bucket is cut by a second
+    pigeonhole over the bits that the first key leaves free (8 parts of them, 4 equal), which
+    spreads it over many tasks and is exact again: what is left of it has 2**20 members at most.
     """
-    keyed = _keys(fps, MASKS, [])
-    sized, two, more = _links_in(keyed, ["c", "k"], F.col("n") <= BUCKET)
-    found = two.unionByName(more)
-    if sized.where(F.col("n") > BUCKET).limit(1).count():
-        hot = materialize(keyed.join(sized.where(F.col("n") > BUCKET).select("c", "k"), ["c", "k"], "left_semi"), "hot")
-        for c, m in enumerate(MASKS):
-            free = [b for b in range(64) if not (m >> b) & 1]
-            parts = [sum(1 << int(b) for b in x) for x in np.array_split(np.array(free), 8)]
-            inner = [_signed(sum(x)) for x in combinations(parts, 4)]
-            part = hot.where(F.col("c") == c).select("k", "fp").withColumnRenamed("k", "outer")
-            if not part.limit(1).count():
-                continue
-            _, two, more = _links_in(_keys(part, inner, ["outer"]), ["outer", "c", "k"], F.lit(True))
-            found = found.unionByName(two).unionByName(more)
-    return found
+    key = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for c, m in enumerate(MASKS)]))
+    keyed = fps.select("fp", key.alias("x")).select("x.c", "x.k", "fp")
+    hot = fps.mapInArrow(_local_counts, "c int, k long, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
+    hot = materialize(hot.select("c", "k", F.lit(True).alias("hot")), "hot")
+    by = ["c", "k"]
+    if not hot.isEmpty():
+        whole = F.array(F.struct(F.lit(-1).alias("d"), F.lit(0).cast("long").alias("j")))
+        inner = F.array(*[F.array(*map(F.lit, m)) for m in _inner_masks()])
+        cut = F.transform(F.element_at(inner, F.col("c") + 1), lambda m, d: F.struct(d.alias("d"), F.col("fp").bitwiseAND(m).alias("j")))
+        keyed = keyed.join(hot, by, "left").select(*by, F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("x"), "fp").select(*by, "x.d", "x.j", "fp")
+        by = [*by, "d", "j"]
+    return keyed.repartition(*by).sortWithinPartitions(*by).mapInArrow(_sorted_links, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,14 +223,17 @@ def near_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     component; other columns are ignored; an empty table gives no rows.
     """
     base = materialize(with_fingerprint(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(base.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    distinct = materialize(base.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
     joined = materialize(links(distinct.select("fp")), "links")
     root = components(joined, "a", "b").select(F.col("node").alias("fp"), "root")
-    named = distinct.join(root, "fp")
-    least = named.groupBy("root").agg(F.min("low").alias("least"))
-    named = named.join(least, "root").select("fp", "least")
-    named = materialize(named, "named")
-    return base.join(named.unionByName(distinct.join(named, "fp", "left_anti").select("fp", F.col("low").alias("least"))), "fp").select("id", "fp", F.col("least").alias("component_id"))
+    linked = distinct.join(root, "fp").select("fp", "root", "low")
+    least = linked.groupBy("root").agg(F.min("low").alias("least"))
+    linked = linked.join(least, "root").select("fp", "least")
+    # A fingerprint of one document without links names itself: only the others are looked up.
+    alone = distinct.where("n > 1").join(root, "fp", "left_anti").select("fp", F.col("low").alias("least"))
+    named = materialize(linked.unionByName(alone).withColumn("found", F.lit(True)), "named")
+    own = F.when(F.col("found"), F.col("least")).otherwise(F.col("id"))
+    return base.join(named, "fp", "left").select("id", "fp", own.alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
