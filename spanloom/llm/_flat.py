@@ -11,10 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Values that are summed up at once, and values of the longest span that has a polynomial.
+CHUNK, LONG = 1 << 20, 511
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Random odd 64-bit value of each byte.
@@ -58,14 +61,14 @@ def blocks(buf: np.ndarray, off: np.ndarray, limit: int = 1 << 18) -> Iterator[t
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse: one bounded table for every worker."""
+    if len(_POWERS[0]) < 2:
         for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, U64(base))
+            x = np.full(CHUNK + LONG + 1, U64(base))
             x[0] = 1
             _POWERS[k] = np.cumprod(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,11 +78,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of values[start:end] for each pair, mixed."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """64-bit hash of values[start:end] for each pair.
+
+    Spans of up to LONG values have a polynomial modulo 2**64, mixed; some regular strings of more
+    values have equal polynomials for every base, so longer spans are hashed byte by byte. The
+    values are taken CHUNK at a time, which bounds the tables whatever the length of the text.
+    """
+    size = end - start
+    out = np.zeros(len(start), U64)
+    short = np.flatnonzero(size <= LONG)
+    up, down = powers()
+    part = start[short] // CHUNK
+    if len(part) and part[0] != part[-1] and (part[1:] < part[:-1]).any():
+        order = np.argsort(part, kind="stable")
+        short, part = short[order], part[order]
+    cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        mine = short[i:j]
+        base = int(part[i]) * CHUNK
+        x = values[base : base + CHUNK + LONG]
+        total = np.zeros(len(x) + 1, U64)
+        np.cumsum(x * up[: len(x)], out=total[1:])
+        out[mine] = mix((total[end[mine] - base] - total[start[mine] - base]) * down[start[mine] - base])
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(values[start[k] : end[k]].tobytes())
+    return out
 
 
 def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
