@@ -49,11 +49,17 @@ def expected_shulen(d: float, p: float, length: int) -> float:
     or because one of its bases has changed.
     """
 
+    # Logarithms throughout: the binomials and powers leave the range of floating point from about 50 bases on.
+    gc, at = (math.log(y) if y > 0 else -math.inf for y in (p, 0.5 - p))
+
     def shorter(x: int) -> float:
         chance = 0.0
         for k in range(x + 1):
-            word = p**k * (0.5 - p) ** (x - k)
-            chance += math.comb(x, k) * 2**x * word * (1 - word) ** length
+            word = (k * gc if k else 0.0) + ((x - k) * at if x > k else 0.0)
+            if word == -math.inf:
+                continue
+            ways = math.lgamma(x + 1) - math.lgamma(k + 1) - math.lgamma(x - k + 1) + x * math.log(2)
+            chance += math.exp(ways + word + length * math.log1p(-min(math.exp(word), 1 - 1e-16)))
         return chance * (1 - (1 - d) ** x)
 
     total, before = 0.0, 0.0

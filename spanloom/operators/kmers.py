@@ -1,26 +1,73 @@
-"""K-mer tables: counts, ratios, search, seeds, matching statistics, overlaps and containment of reads."""
+"""K-mer tables: counts, ratios, search, seeds, matching statistics, overlaps and containment of reads.
+
+Windows are cut and counted in Arrow batches over the flat bases of many sequences; what is dealt
+out is a k-mer and its count in the batch. K-mers of up to 31 bases travel as two bits a base.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import bases
 from spanloom.functions import sequences as S
 
+#: Longest k-mer with a 64-bit code.
+CODED = 31
+
+
+def positions(seqs: DataFrame, k: int, coded: bool = False) -> DataFrame:
+    """(kmer, seqnum, pos): all k-mers of plain bases with their 0-based places; those with a wildcard are left out.
+
+    With `coded` the column `code` takes the place of `kmer`.
+    """
+    kind = seqs.schema["seqnum"].dataType.simpleString()
+    name = "code" if coded else "kmer"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = bases.letters(batch.column(1))
+            at = bases.plain_windows(flat, off, k)
+            # Windows of many bases at once would fill a worker: they leave in runs.
+            for part in np.array_split(at, max(1, len(at) * k >> 24)):
+                row = np.searchsorted(off, part, "right") - 1
+                made = pa.array(bases.codes(flat, part, k)) if coded else bases.strings(flat, part, k)
+                yield pa.RecordBatch.from_arrays([made, batch.column(0).take(pa.array(row)), pa.array((part - off[row]).astype(np.int32))], names=[name, "seqnum", "pos"])
+
+    return seqs.select("seqnum", "seq").mapInArrow(run, f"{name} {'long' if coded else 'string'}, seqnum {kind}, pos int")
+
 
-def positions(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, seqnum, pos): all k-mers of plain bases with their 0-based places; those with a wildcard are left out."""
-    s = seqs.select("seqnum", F.posexplode(S.kmers(S.ascii_lower("seq"), k)).alias("pos", "kmer"))
-    return s.where(~F.col("kmer").rlike("[^acgt]")).select("kmer", "seqnum", "pos")
+def spelled(code: Column | str, k: int) -> Column:
+    """The bases of a code: its digits in base 4, with leading zeros."""
+    return F.translate(F.lpad(F.conv(F.col(code) if isinstance(code, str) else code, 10, 4), k, "0"), "0123", "acgt")
+
+
+def code_counts(seqs: DataFrame, k: int) -> DataFrame:
+    """(code, n) of all k-mers, counted in each batch before anything is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = bases.letters(batch.column(0))
+            code, n = np.unique(bases.codes(flat, bases.plain_windows(flat, off, k), k), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return seqs.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def counts(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, n) of all k-mers."""
+    if k <= CODED:
+        return code_counts(seqs, k).select(spelled("code", k).alias("kmer"), "n")
     return positions(seqs, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def occurrence_distribution(seqs: DataFrame, k: int, at_least: int = 1, at_most: int | None = None) -> DataFrame:
     """occurrences, number of k-mers that occur so often."""
-    c = counts(seqs, k).where(F.col("n") >= at_least)
+    c = (code_counts if k <= CODED else counts)(seqs, k).where(F.col("n") >= at_least)
     return (c if at_most is None else c.where(F.col("n") <= at_most)).groupBy(F.col("n").alias("occurrences")).agg(F.count("*").alias("kmers"))
 
 
@@ -28,21 +75,26 @@ def occurrence_ratio(seqs: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Per k: k-mers that occur once, that occur more often (distinct, and with their number), all, and the share of once."""
     out = None
     for k in ks:
-        c = counts(seqs, k).agg(F.count_if(F.col("n") == 1).alias("uniq"), F.count_if(F.col("n") > 1).alias("nonunique"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("nonuniquemulti"), F.count("*").alias("total"))
+        c = (code_counts if k <= CODED else counts)(seqs, k).agg(F.count_if(F.col("n") == 1).alias("uniq"), F.count_if(F.col("n") > 1).alias("nonunique"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("nonuniquemulti"), F.count("*").alias("total"))
         c = c.select(F.lit(k).alias("k"), "*", F.when(F.col("total") > 0, F.col("uniq") / F.col("total")).alias("relative"))
         out = c if out is None else out.unionByName(c)
     return out
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, forward: bool = True, reverse: bool = True) -> DataFrame:
-    """(seqnum, strand, pos, n, kmer) of query windows whose k-mer, or its reverse complement, is in index (kmer, n)."""
+def search(seqs: DataFrame, queries: DataFrame, k: int, forward: bool = True, reverse: bool = True) -> DataFrame:
+    """(seqnum, strand, pos, n, kmer) of query windows whose k-mer, or its reverse complement, `seqs` holds, n times.
+
+    The k-mers of the queries come first: only those of `seqs` that a query asks for are counted.
+    """
     q = positions(queries, k)
-    out = None
-    for wanted, strand, key in ((forward, "+", F.col("kmer")), (reverse, "-", S.reverse_complement("kmer"))):
-        if wanted:
-            hit = q.select("seqnum", "pos", F.col("kmer").alias("window"), key.alias("kmer")).join(index, "kmer").select("seqnum", F.lit(strand).alias("strand"), "pos", "n", F.col("window").alias("kmer"))
-            out = hit if out is None else out.unionByName(hit)
-    return out
+    both = F.array(*[x for wanted, x in ((forward, F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("key"))), (reverse, F.struct(F.lit("-").alias("strand"), S.reverse_complement("kmer").alias("key")))) if wanted])
+    asked = q.select("seqnum", "pos", "kmer", F.explode(both).alias("x")).select("seqnum", "pos", "kmer", "x.strand", "x.key")
+    if k <= CODED:
+        code = F.conv(F.translate("key", "acgt", "0123"), 4, 10).cast("long")
+        index = code_counts(seqs, k).join(asked.select(code.alias("code")).distinct(), "code", "left_semi").select(spelled("code", k).alias("key"), "n")
+    else:
+        index = positions(seqs, k).join(asked.select(F.col("key").alias("kmer")).distinct(), "kmer", "left_semi").groupBy(F.col("kmer").alias("key")).agg(F.count("*").alias("n"))
+    return asked.join(index, "key").select("seqnum", "strand", "pos", "n", "kmer")
 
 
 def database(seqs: DataFrame, k: int, cutoff: int) -> DataFrame:

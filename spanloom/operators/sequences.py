@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import bases
 from spanloom.functions import sequences as S
 
 
@@ -86,6 +91,12 @@ def unique_sequences(seqs: DataFrame, reverse_complement: bool = False) -> DataF
     return seqs.join(first, "seqnum", "left_semi")
 
 
+def draw(seed: int, *keys: str | Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the keys only, however the rows are dealt out: MD5 of 'seed:key:...'."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def filter_sequences(seqs: DataFrame, step: int = 1, sample: float | None = None, seed: int = 0, min_length: int | None = None, max_length: int | None = None, no_wildcards: bool = False, max_count: int | None = None) -> DataFrame:
     """Every step-th record, sampled, of the given lengths, without wildcards, at most max_count of those that pass, in input order.
 
@@ -93,7 +104,7 @@ def filter_sequences(seqs: DataFrame, step: int = 1, sample: float | None = None
     """
     out = seqs.where(F.col("seqnum") % step == 0) if step > 1 else seqs
     if sample is not None:
-        out = out.where(F.rand(seed) < sample)
+        out = out.where(draw(seed, "seqnum") < sample)
     if min_length is not None:
         out = out.where(F.length("seq") >= min_length)
     if max_length is not None:
@@ -108,7 +119,7 @@ def order_sequences(seqs: DataFrame, by: str, seed: int = 0) -> DataFrame:
     keys = {
         "invert": [F.desc("seqnum")], "lexicographic": [F.asc("seq"), F.asc("seqnum")], "reverse": [F.desc("seq"), F.asc("seqnum")],
         "header": [F.asc("description"), F.asc("seqnum")], "numeric_header": [number.asc_nulls_first(), F.asc("seqnum")],
-        "length": [F.desc(F.length("seq")), F.asc("seqnum")], "shuffle": [F.rand(seed)],
+        "length": [F.desc(F.length("seq")), F.asc("seqnum")], "shuffle": [draw(seed, "seqnum"), F.asc("seqnum")],
     }
     return seqs.orderBy(*keys[by])
 
@@ -124,10 +135,30 @@ def extract_by_keys(seqs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def six_frames(seqs: DataFrame, code: int = 1) -> DataFrame:
-    """(seqnum, frame, protein): frames 1 to 3 forward, -1 to -3 on the reverse complement."""
-    strands = F.array(F.struct(F.lit(1).alias("sign"), F.col("seq").alias("s")), F.struct(F.lit(-1).alias("sign"), S.reverse_complement("seq").alias("s")))
-    rows = seqs.select("seqnum", F.explode(strands).alias("x")).select("seqnum", "x.sign", "x.s", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("f"))
-    return rows.select("seqnum", (F.col("sign") * (F.col("f") + 1)).alias("frame"), S.translate_dna("s", F.col("f"), code).alias("protein"))
+    """(seqnum, frame, protein): frames 1 to 3 forward, -1 to -3 on the reverse complement.
+
+    Codons of a whole batch are numbered at every place in one pass over its flat bases; a frame is
+    every third of them, forward from its start or backward from its end.
+    """
+    kind = seqs.schema["seqnum"].dataType.simpleString()
+    amino = np.frombuffer(("".join(S.codon_map(code)[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG") + "X").encode(), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = bases.letters(batch.column(1))
+            ahead, back = (amino[x] for x in bases.codon_numbers(flat)) if len(flat) > 2 else (flat[:0], flat[:0])
+            out = []
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                for f in range(3):
+                    out.append(ahead[s + f : max(e - 2, s + f) : 3].tobytes())
+                for f in range(3):
+                    out.append(back[s : max(e - 2 - f, s)][::-1][::3].tobytes())
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(np.repeat(np.arange(n), 6))), pa.array(np.tile(np.array([1, 2, 3, -1, -2, -3], np.int32), n)), pa.array(out, pa.binary()).cast(pa.string()),
+            ], names=["seqnum", "frame", "protein"])
+
+    return seqs.select("seqnum", "seq").mapInArrow(run, f"seqnum {kind}, frame int, protein string")
 
 
 def open_frames(seqs: DataFrame, min_codons: int = 30, longest: bool = False, code: int = 1, both: bool = True) -> DataFrame:
@@ -166,7 +197,7 @@ def variant_effects(snps: DataFrame, cds: DataFrame, code: int = 1) -> DataFrame
     """Effect of single-base changes on codons: snps (cds_id, pos 0-based in the coding sequence, alt), cds (cds_id, seq)."""
     j = snps.join(cds, "cds_id").where(F.col("pos") < 3 * F.floor(F.length("seq") / 3))
     at = (F.floor(F.col("pos") / 3) * 3 + 1).cast("int")
-    codon = F.substring(S.ascii_upper("seq"), at, F.lit(3))
+    codon = S.ascii_upper(F.substring("seq", at, F.lit(3)))
     k = F.col("pos") % 3
     new = F.concat(F.substring(codon, F.lit(1), k), S.ascii_upper("alt"), F.substring(codon, k + 2, F.lit(3)))
     j = j.withColumn("codon", codon).withColumn("new_codon", new)
@@ -194,9 +225,9 @@ def shred(seqs: DataFrame, length: int, step: int) -> DataFrame:
 
 
 def simulate_reads(seqs: DataFrame, length: int, per_sequence: int, seed: int) -> DataFrame:
-    """Reads at random places of random strands."""
+    """Reads at random places of random strands, the same for the same seed."""
     s = seqs.where(F.length("seq") >= length).select("seqnum", "seq", F.explode(F.sequence(F.lit(1), F.lit(per_sequence))).alias("read"))
-    s = s.withColumn("start", (F.floor(F.rand(seed) * (F.length("seq") - length + 1)) + 1).cast("int")).withColumn("strand", F.when(F.rand(seed + 1) < 0.5, "+").otherwise("-"))
+    s = s.withColumn("start", (F.floor(draw(seed, "seqnum", "read") * (F.length("seq") - length + 1)) + 1).cast("int")).withColumn("strand", F.when(draw(seed + 1, "seqnum", "read") < 0.5, "+").otherwise("-"))
     piece = F.substring("seq", F.col("start"), F.lit(length))
     return s.select("seqnum", "read", "start", "strand", F.when(F.col("strand") == "-", S.reverse_complement(piece)).otherwise(piece).alias("seq"))
 
@@ -210,16 +241,46 @@ def mutate(seqs: DataFrame, percent: float, seed: int) -> DataFrame:
     return seqs.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), one), ""))
 
 
-def sample_total_length(seqs: DataFrame, total: int, seed: int) -> DataFrame:
+def sample_total_length(seqs: DataFrame, total: int, seed: int, bins: int = 4096) -> DataFrame:
     """Random sequences until their lengths add up to `total`; the first that reaches it is the last.
 
-    The random key's range is cut so that only about twice the wanted amount is ever ordered.
+    Sequences are ordered by `draw`. The lengths of each of `bins` ranges of it are summed first,
+    so running totals need a window over the bins, and one over the sequences of each bin.
+    """
+    keyed = seqs.withColumn("__key", draw(seed, "seqnum")).withColumn("__bin", F.floor(F.col("__key") * bins))
+    sums = keyed.groupBy("__bin").agg(F.sum(F.length("seq")).alias("__n"))
+    begin = sums.select("__bin", F.coalesce(F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begin")).where(F.col("__begin") < total)
+    inside = Window.partitionBy("__bin").orderBy("__key", "seqnum").rowsBetween(Window.unboundedPreceding, -1)
+    near = keyed.join(begin, "__bin").withColumn("__before", F.col("__begin") + F.coalesce(F.sum(F.length("seq")).over(inside), F.lit(0)))
+    return near.where(F.col("__before") < total).drop("__key", "__bin", "__begin", "__before")
+
+
+def find_pattern(seqs: DataFrame, pattern: str) -> DataFrame:
+    """(seqnum, places): all 1-based places of a fixed pattern in each sequence, overlapping ones too.
+
+    Each byte of the pattern is compared over the flat bytes of a whole batch at once. Empty
+    patterns and null sequences have no places; places count characters.
     """
-    keyed = seqs.withColumn("__key", F.rand(seed))
-    all_length = seqs.agg(F.sum(F.length("seq"))).first()[0] or 0
-    near = keyed.where(F.col("__key") <= min(1.0, 2.0 * total / max(all_length, 1) + 0.01))
-    w = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
-    return near.withColumn("__before", F.coalesce(F.sum(F.length("seq")).over(w), F.lit(0))).where(F.col("__before") < total).drop("__key", "__before")
+    kind = seqs.schema["seqnum"].dataType.simpleString()
+    wanted = np.frombuffer(pattern.encode(), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            _, off, data = column.buffers()
+            off = np.frombuffer(off, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+            flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+            off = off - off[0]
+            at = bases.inside(off, len(wanted)) if len(wanted) else np.zeros(0, np.int64)
+            for k, byte in enumerate(wanted):
+                at = at[flat[at + k] == byte]
+            letter = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
+            row = np.searchsorted(off, at, "right") - 1
+            ends = np.searchsorted(at, off)
+            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((letter[at] - letter[off[row]] + 1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), places], names=["seqnum", "places"])
+
+    return seqs.select("seqnum", "seq").mapInArrow(run, f"seqnum {kind}, places array<int>")
 
 
 def guess_alphabet(seqs: DataFrame, letters: int = 5000) -> DataFrame:

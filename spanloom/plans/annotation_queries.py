@@ -46,10 +46,9 @@ islands AS (SELECT {keys}, min(start) AS start, max("end") AS "end", count(*) AS
 
 @query(f"""WITH {FEATURES_SQL}
 SELECT type, strand, count(*) AS n, CAST(sum("end" - start + 1) AS BIGINT) AS total_length, min(start) AS min_start, max("end") AS max_end
-FROM features WHERE seqid IN ('AF', 'NO') AND start <= 2000 AND "end" >= 500 GROUP BY type, strand""")
+FROM features GROUP BY type, strand""")
 def feature_stats(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).where(F.col("seqid").isin("AF", "NO") & R.overlap("start", "end", F.lit(500), F.lit(2000)))
-    return f.groupBy("type", "strand").agg(F.count("*").alias("n"), F.sum(R.length("start", "end")).alias("total_length"), F.min("start").alias("min_start"), F.max("end").alias("max_end"))
+    return features(spark, d).groupBy("type", "strand").agg(F.count("*").alias("n"), F.sum(R.length("start", "end")).alias("total_length"), F.min("start").alias("min_start"), F.max("end").alias("max_end"))
 
 
 @query(f"""WITH {FEATURES_SQL}, p AS (

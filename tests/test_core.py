@@ -191,7 +191,7 @@ def test_reads_reach_the_end(spark, tmp_path):
         while s and (at == 0 or at + 40 < len(s)):
             want[d * 10**8 + at // 60] = s[at : at + 100]
             at += 60
-    assert {r.seqnum: r.seq for r in P.whole_reads(spark, str(tmp_path)).collect()} == want
+    assert {r.seqnum: r.seq for r in P.reads(spark, str(tmp_path)).collect()} == want
     assert P.mutated_reads(spark, str(tmp_path)).count() == len(want)
     # Overlaps past letter 280 join all reads of the long text into one cluster.
     long = {r.node: r.cluster for r in M.read_clusters(spark, str(tmp_path)).collect()}
@@ -211,3 +211,84 @@ def test_queries_and_sql_have_the_same_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_irreducible_overlaps_equal_plain_loops(spark):
+    rng = random.Random(41)
+    edges = sorted({(rng.randrange(9), rng.randrange(9), rng.randrange(3, 9)) for _ in range(70)})
+    want = {
+        (a, b, n) for a, b, n in edges
+        if not any(x == a and c not in (a, b) and m > n and (c, b) in {(p, q) for p, q, k in edges if k > n} for x, c, m in edges)
+    }
+    got = K.irreducible(spark.createDataFrame(edges, "a long, b long, length int")).collect()
+    assert {(r.a, r.b, r.length) for r in got} == want
+
+
+def test_kmer_tables_equal_plain_python(spark):
+    rng = random.Random(42)
+    seqs = ["".join(rng.choice("acgtACGTn" if k % 2 else "acgt") for _ in range(rng.randrange(0, 60))) for k in range(20)] + ["", None, "é" * 3 + "acgtacgt"]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seqnum long, seq string")
+    for k in (1, 3, 31, 33):
+        want = [(s[i : i + k].lower(), n, i) for n, s in enumerate(seqs) if s for i in range(len(s) - k + 1) if set(s[i : i + k].lower()) <= set("acgt")]
+        assert sorted((r.kmer, r.seqnum, r.pos) for r in K.positions(df, k).collect()) == sorted(want)
+        tally = {}
+        for x, _, _ in want:
+            tally[x] = tally.get(x, 0) + 1
+        assert {r.kmer: r.n for r in K.counts(df, k).collect()} == tally
+    back = str.maketrans("acgt", "tgca")
+    asked = spark.createDataFrame([(7, "ACGTTGCAAC"), (8, "nnn")], "seqnum long, seq string")
+    three = {}
+    for s in seqs:
+        for i in range(len(s or "") - 2):
+            three[s[i : i + 3].lower()] = three.get(s[i : i + 3].lower(), 0) + 1
+    want = [(7, sign, i, three[w if sign == "+" else w[::-1].translate(back)], w) for sign in "+-" for i in range(8) for w in ["acgttgcaac"[i : i + 3]] if (w if sign == "+" else w[::-1].translate(back)) in three]
+    assert sorted(tuple(r) for r in K.search(df, asked, 3).collect()) == sorted(want)
+
+
+def test_six_frames_on_odd_sequences(spark):
+    seqs = ["", "a", "acg", "ACGUN", "atgaaatagccc", None]
+    rows = Q.six_frames(spark.createDataFrame(list(enumerate(seqs)), "seqnum long, seq string")).collect()
+    code, back = S.codon_map(1), str.maketrans("ACGTN", "TGCAN")
+    for r in rows:
+        s = (seqs[r.seqnum] or "").upper().replace("U", "T")
+        s = s if r.frame > 0 else s[::-1].translate(back)
+        f = abs(r.frame) - 1
+        assert r.protein == "".join(code.get(s[i : i + 3], "X") for i in range(f, len(s) - 2, 3))
+    assert len(rows) == 6 * len(seqs)
+
+
+def test_pattern_places(spark):
+    rows = Q.find_pattern(spark.createDataFrame([(1, "aaa é aaaa"), (2, ""), (3, None), (4, "xaa")], "seqnum long, seq string"), "aa").collect()
+    assert {r.seqnum: r.places for r in rows} == {1: [1, 2, 7, 8, 9], 2: [], 3: [], 4: [2]}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("id AS seqnum", "repeat('a', int(id % 7)) AS seq")
+    one, many = (sorted(r.seqnum for r in Q.sample_total_length(df.repartition(n), 100, 5).collect()) for n in (1, 9))
+    assert one == many
+    draws = sorted((r[0], r[1], r[2]) for r in df.select(Q.draw(5, "seqnum"), "seqnum", F.length("seq")).collect())
+    total, want = 0, []
+    for _, i, n in draws:
+        if total >= 100:
+            break
+        want.append(i)
+        total += n
+    assert one == sorted(want)
+
+
+def test_expected_shulen_of_long_sequences():
+    assert 8 < stats.expected_shulen(0.1, 0.25, 10_000) < 16
+    # Against whole numbers of a binomial sum where floating point still holds it.
+    import math
+
+    def plain(d, p, n):
+        total, before = 0.0, 0.0
+        for x in range(1, n + 1):
+            now = sum(math.comb(x, k) * 2**x * (w := p**k * (0.5 - p) ** (x - k)) * (1 - w) ** n for k in range(x + 1)) * (1 - (1 - d) ** x)
+            total, before = total + x * (now - before), now
+            if now > 1 - 1e-9:
+                break
+        return total
+
+    assert stats.expected_shulen(0.5, 0.2, 30) == pytest.approx(plain(0.5, 0.2, 30))
+    assert stats.divergence(50.0, 0.25, 10_000) > 0
