@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +33,63 @@ def fasta_lines(seqs: DataFrame, width: int = 60) -> DataFrame:
     return seqs.select(F.concat(F.lit(">"), "description", F.lit("\n"), S.wrap_fasta("seq", width)).alias("value"))
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """(description, seq, qual) of four-line records; records whose two strings differ in length are left out."""
-    t = spark.read.option("lineSep", "\n@").text(list(paths))
-    f = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\r", ""), "\n")
-    # A quality line may start with @ itself: such a cut has no + line, and the text before it lacks its last line.
-    rows = t.select(f.alias("f")).where((F.size("f") >= 4) & F.col("f")[2].startswith("+"))
-    return rows.select(F.col("f")[0].alias("description"), F.col("f")[1].alias("seq"), F.col("f")[3].alias("qual")).where(F.length("seq") == F.length("qual"))
+def fastq_records(text: str) -> list[tuple[str, str | None, str | None, str | None]]:
+    """(description, seq, qual, reason) of FASTQ text; sequence and qualities may run over several lines.
+
+    The qualities of a record are as long as its sequence, so a line of them that begins with @ or
+    + is told from a header by what is still missing.
+    """
+    out, lines, k = [], text.split("\n"), 0
+    lines = [x[:-1] if x.endswith("\r") else x for x in lines]
+    while k < len(lines):
+        if not lines[k]:
+            k += 1
+            continue
+        if not lines[k].startswith("@"):
+            out.append((lines[k], None, None, "record does not begin with @"))
+            # Go on at the next line that may be a header.
+            k += 1
+            while k < len(lines) and not lines[k].startswith("@"):
+                k += 1
+            continue
+        head, k, seq = lines[k][1:], k + 1, ""
+        while k < len(lines) and not lines[k].startswith("+"):
+            seq += lines[k]
+            k += 1
+        if k == len(lines):
+            out.append((head, seq, None, "record has no qualities"))
+            break
+        again, k, qual = lines[k][1:], k + 1, ""
+        while k < len(lines) and len(qual) < len(seq):
+            qual += lines[k]
+            k += 1
+        if again and again != head:
+            out.append((head, seq, qual, "header of the qualities differs"))
+        elif len(qual) != len(seq):
+            out.append((head, seq, qual, "qualities and sequence differ in length"))
+        else:
+            out.append((head, seq, qual, None))
+    return out
+
+
+def read_fastq(spark: SparkSession, *paths: str) -> dict[str, DataFrame]:
+    """records (file, description, seq, qual) and problems (file, description, reason) of FASTQ files.
+
+    What a line is depends on the lines before it, so a file is parsed by one task: give large
+    read sets as many files, as sequencers do.
+    """
+    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = fastq_records(value.as_py() or "")
+                for i in range(0, len(rows), 100_000):
+                    cols = list(zip(*rows[i : i + 100_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(cols[0])), *(pa.array(c, pa.string()) for c in cols)], names=["file", "description", "seq", "qual", "reason"])
+
+    rows = files.mapInArrow(run, "file string, description string, seq string, qual string, reason string")
+    return {"records": rows.where("reason IS NULL").drop("reason"), "problems": rows.where("reason IS NOT NULL").select("file", "description", "reason")}
 
 
 def read_genbank(spark: SparkSession, *paths: str) -> DataFrame:
