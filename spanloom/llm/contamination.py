@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import _flat
-from spanloom.llm._base import table, text_key
+from spanloom.llm._base import table
 
 N = 5
 MIN_SCORE = 0.5
@@ -99,62 +99,74 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - back, end - 1
 
 
+def passages(items: Items, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, first word, words, seeds) of each run of words around seeds of the texts of an Arrow column."""
+    for i, h, row in word_hashes(column):
+        at, seed = [], []
+        for n in items.lengths:
+            a, g = _flat.ngrams(h, row, n)
+            k = np.searchsorted(items.seed, g)
+            hit = np.flatnonzero(items.seed[np.minimum(k, len(items.seed) - 1)] == g)
+            at.append(a[hit])
+            seed.append(k[hit])
+        at, seed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, seed))
+        if not len(at):
+            continue
+        order = np.argsort(at, kind="stable")
+        at, seed = at[order], seed[order]
+        first = np.searchsorted(row, row[at], "left")
+        last = np.searchsorted(row, row[at], "right")
+        low, high = np.maximum(at - items.reach[seed], first), np.minimum(at + items.reach[seed], last)
+        # Overlapping surroundings are one passage.
+        far = np.maximum.accumulate(high)
+        new = np.ones(len(at), bool)
+        new[1:] = low[1:] >= far[:-1]
+        cut = np.append(np.flatnonzero(new), len(at))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            x, y = int(low[a:b].min()), int(far[b - 1])
+            yield i + int(row[at[a]]), x - int(first[a]), h[x:y], np.unique(items.seed[seed[a:b]])
+
+
 def _passages(items: Items, key_kinds: str):
-    """Rows (key..., first word, words, seeds) of runs of words around seeds."""
+    """Rows (key..., first word, words, seeds) of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, row in word_hashes(batch.column(batch.num_columns - 1)):
-                at, seed = [], []
-                for n in items.lengths:
-                    a, g = _flat.ngrams(h, row, n)
-                    k = np.searchsorted(items.seed, g)
-                    hit = np.flatnonzero(items.seed[np.minimum(k, len(items.seed) - 1)] == g)
-                    at.append(a[hit])
-                    seed.append(k[hit])
-                at, seed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, seed))
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, seed = at[order], seed[order]
-                first = np.searchsorted(row, row[at], "left")
-                last = np.searchsorted(row, row[at], "right")
-                low, high = np.maximum(at - items.reach[seed], first), np.minimum(at + items.reach[seed], last)
-                # Overlapping surroundings are one passage.
-                far = np.maximum.accumulate(high)
-                new = np.ones(len(at), bool)
-                new[1:] = low[1:] >= far[:-1]
-                cut = np.append(np.flatnonzero(new), len(at))
-                keys, start, words, seeds = [], [], [], []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    x, y = int(low[a:b].min()), int(far[b - 1])
-                    keys.append(i + int(row[at[a]]))
-                    start.append(x - int(first[a]))
-                    words.append(h[x:y].tobytes())
-                    seeds.append(np.unique(items.seed[seed[a:b]]).view(np.int64))
-                kept = batch.take(pa.array(keys))
-                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(start, pa.int64()), pa.array(words, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "first", "words", "seeds"])
+            found = list(passages(items, batch.column(batch.num_columns - 1)))
+            if found:
+                rows, start, words, seeds = zip(*found, strict=True)
+                kept = [c.take(pa.array(rows)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(start, pa.int64()), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([x.view(np.int64) for x in seeds], pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "first", "words", "seeds"])
 
     return run, f"{key_kinds}, first long, words binary, seeds array<long>"
 
 
+def copies(items: Items, words: np.ndarray, seeds: list[int], min_score: float) -> Iterator[tuple[int, float, int, int]]:
+    """(item, score, first word, last word) of the items of `seeds` that a passage copies."""
+    for o in sorted({o for s in seeds for o in items.owners[s % (1 << 64)]}):
+        score, a, b = align(items.words[o], words)
+        if score >= min_score:
+            yield o, score, a, b
+
+
 def _aligned(items: Items, min_score: float, key_kinds: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k, (first, words, seeds) in enumerate(zip(*(batch.column(width + c).to_pylist() for c in range(3)), strict=True)):
-                text = np.frombuffer(words, np.uint64)
-                for o in sorted({o for s in seeds for o in items.owners[s % (1 << 64)]}):
-                    score, a, b = align(items.words[o], text)
-                    if score >= min_score:
-                        out.append((k, items.ids[o], score, first + a, first + b))
+                out += [(k, items.ids[o], score, first + a, first + b) for o, score, a, b in copies(items, np.frombuffer(words, np.uint64), seeds, min_score)]
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            kept = batch.take(pa.array(cols[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=[*batch.schema.names[:width], "item_id", "score", "first_word", "last_word"])
+            rows = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:width]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=[*batch.schema.names[:width], "item_id", "score", "first_word", "last_word"])
 
     return run, f"{key_kinds}, item_id long, score double, first_word long, last_word long"
 
 
+def _runs_of_items(benchmark: DataFrame) -> Iterator[Items]:
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator()
+    return (items for items in load_items(rows) if len(items.seed))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """(keys..., item_id, score, first_word, last_word) of each passage that copies a test item.
 
@@ -167,9 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_co
     """
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     found = None
-    for items in load_items(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator()):
-        if not len(items.seed):
-            continue
+    for items in _runs_of_items(benchmark):
         run, schema = _passages(items, kinds)
         passages = docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(run, schema)
         run, schema = _aligned(items, min_score, kinds, len(keys))
@@ -183,8 +193,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without rows that copy a test item, all columns kept. What a text copies depends on the text alone."""
-    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    bad = contaminated(keyed, benchmark, ["__text_key"], text_col).select("__text_key").distinct()
-    return keyed.join(bad, "__text_key", "left_anti").drop("__text_key")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """`docs` without rows that copy a test item; all columns stay, whatever their names.
+
+    What a text copies depends on the text and the items alone, so each task filters its own rows
+    and nothing is moved. Null and empty texts stay, repeated rows stay or go together; an empty
+    benchmark takes nothing, an empty table stays empty.
+    """
+    at, left = docs.columns.index(text_col), docs
+    for items in _runs_of_items(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, _, words, seeds in passages(items, batch.column(at)):
+                    if keep[row] and any(copies(items, words, seeds.tolist(), min_score)):
+                        keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        left = left.mapInArrow(run, docs.schema)
+    return left

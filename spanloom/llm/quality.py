@@ -131,9 +131,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return m
 
 
-def _vectors(df: DataFrame) -> np.ndarray:
-    x = df.select("x").toPandas()["x"]
-    return np.stack(x.to_list()) if len(x) else np.zeros((0, len(FEATURES)))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """Share of the positive class in unlabelled text, from positives and unlabelled text alone.
+
+    Above any score, unlabelled text holds prior * (share of positives above) and whatever negatives
+    score as high, so the ratio of the two shares is never below the prior and comes down to it
+    where negatives run out. Each half is scored by a model of the other half; the smallest ratio
+    over scores that at least `least` of the positives reach is taken.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    shares = []
+    for k in (0, 1):
+        m = fit(positive[k::2], unlabelled[k::2], 0.5, steps=300)
+        p, u = np.sort(m.score(positive[1 - k :: 2])), np.sort(m.score(unlabelled[1 - k :: 2]))
+        cuts = np.quantile(p, np.linspace(0, 1 - least, 41))
+        shares.append([1 - np.searchsorted(z, cuts) / len(z) for z in (u, p)])
+    u, p = ((x * n + 1) / (n + 2) for x, n in zip(np.mean(shares, 0), (len(unlabelled), len(positive)), strict=True))
+    # Half a standard error on either side: the smallest of many noisy ratios would lie too low.
+    above = u + 0.5 * np.sqrt(u * (1 - u) / len(unlabelled))
+    below = p - 0.5 * np.sqrt(p * (1 - p) / len(positive))
+    return float(np.clip(np.min(above / below), 0.01, 0.99))
+
+
+def _sampled(x: DataFrame, rows: int, sample: int) -> np.ndarray:
+    """About `sample` of the `rows` feature vectors, by a threshold on a hash of id and vector; twice that at most."""
+    share = min(1.0, sample / max(rows, 1))
+    if share < 1:
+        x = x.where(F.pmod(F.xxhash64("id", "x", F.lit(4)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    v = x.select("x").limit(2 * sample).toPandas()["x"]
+    if not len(v):
+        return np.zeros((0, len(FEATURES)))
+    # In an order that does not depend on partitions; taking every other one then gives two alike halves.
+    v = np.stack(v.to_list()).astype(np.float64)
+    return v[np.lexsort(v.T)]
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,23 +186,23 @@ def held_out(id_col: str = "id"):
 
 
 def train(x: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` trusted positives and `sample` unlabelled texts, taken by hash order of their ids.
+    """Fit on about `sample` trusted positives and `sample` unlabelled texts, taken by a hash of id and statistics.
 
-    Positives are rows labelled 1 outside the held-out fold; the prior is the share of 1 among
-    the labelled rows outside it. Rows without a label, or labelled 0, are unlabelled text.
+    Positives are rows labelled 1 outside the held-out fold; all other rows, labelled 0 or not at
+    all, are unlabelled text. The class prior is estimated from these two. Without a positive all
+    scores are 0.5.
     """
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).where(~held_out("doc_id"))
-    share = known.agg(F.avg("q")).first()[0]
-    by_hash = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(sample)
-    positive = x.join(known.where("q = 1"), x["id"] == known["doc_id"], "left_semi")
-    rest = x.join(known.where("q = 1"), x["id"] == known["doc_id"], "left_anti")
-    p, u = _vectors(by_hash(positive)), _vectors(by_hash(rest))
-    if share is None:
-        return fit(p[:0], u, 0.5)
-    # U must be drawn from all text: put the positives back in their share of it.
-    total, known_n = x.count(), positive.count()
-    back = min(len(p), round(len(u) * known_n / max(total - known_n, 1)))
-    return fit(p, np.concatenate([u, p[:back]]), float(share))
+    trusted = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").where(~held_out("doc_id"))
+    positive = x.join(trusted, x["id"] == trusted["doc_id"], "left_semi")
+    rest = x.join(trusted, x["id"] == trusted["doc_id"], "left_anti")
+    known, other = positive.count(), rest.count()
+    p, u = _sampled(positive, known, sample), _sampled(rest, other, sample)
+    if not len(p):
+        return fit(p, u, 0.5)
+    # U must be drawn from all text: put the positives back in their share of it, once the prior of the rest is known.
+    back = min(len(p), round(len(u) * known / max(other, 1)))
+    prior = (estimate_prior(p, u) * len(u) + back) / max(len(u) + back, 1)
+    return fit(p, np.concatenate([u, p[:back]]), prior)
 
 
 def score(x: DataFrame, model: Model) -> DataFrame:
@@ -189,7 +220,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     """(id, held_out, score, predicted) of every row of `docs`.
 
     Null texts count as empty and are scored; null or repeated ids are scored as any row; labels
-    of ids that have several take the largest; with no usable label all scores are 0.5. Other
+    of ids that have several take the largest; with no positive label all scores are 0.5. Other
     columns are ignored, an empty table gives no rows.
     """
     x = text_features(docs, id_col, text_col)
@@ -201,17 +232,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """`docs` without the rows that the classifier rejects, all columns kept.
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that the classifier rejects; all columns stay, whatever their names.
 
     The model is fitted on texts taken by a hash of id and text, 4 * sample of them about, in
     which positives and other texts have their shares of the table; every row is then scored in
-    one pass that moves no text between machines.
+    one pass that moves no text between machines. Null and empty texts, null ids and repeated rows
+    are scored like any row; without a positive label all rows stay, an empty table stays empty.
     """
     share = min(1.0, 4 * sample / max(docs.count(), 1))
-    taken = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    model = train(text_features(taken, "doc_id", "text"), labels, sample)
-    at = docs.columns.index("text")
+    taken = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) < int(share * (1 << 40)))
+    model = train(text_features(taken, id_col, text_col), labels, sample)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
