@@ -84,3 +84,42 @@ def opposite_strand(start: C, end: C, total: C) -> tuple[Column, Column]:
 
 def consecutive(end: C, next_start: C) -> Column:
     return _c(end) + 1 == _c(next_start)
+
+
+# Arrays of ranges: array<struct<start, end>>.
+
+
+def sort_ranges(a: C) -> Column:
+    return F.array_sort(_c(a))
+
+
+def ranges_are_sorted(a: C) -> Column:
+    """True if no range is smaller, by start and end, than the one before it."""
+    return _c(a) == F.array_sort(_c(a))
+
+
+def ranges_do_not_overlap(a: C) -> Column:
+    """True if each range begins after the one before it has ended."""
+    x = _c(a)
+    pairs = F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: q["start"] > p["end"])
+    return F.forall(pairs, lambda ok: ok)
+
+
+def unique_ranges(a: C) -> Column:
+    return F.array_distinct(F.array_sort(_c(a)))
+
+
+def unique_range_counts(a: C) -> Column:
+    """How often each of `unique_ranges` occurs, in its order."""
+    x = _c(a)
+    return F.transform(unique_ranges(x), lambda r: F.size(F.filter(x, lambda q: q == r)))
+
+
+def total_range_length(a: C) -> Column:
+    return F.aggregate(_c(a), F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"] + 1)
+
+
+def spanned_range_length(a: C) -> Column:
+    """From the first start to the last end; 0 without ranges."""
+    x = _c(a)
+    return F.when(F.size(x) > 0, F.array_max(F.transform(x, lambda r: r["end"])) - F.array_min(F.transform(x, lambda r: r["start"])) + 1).otherwise(F.lit(0))

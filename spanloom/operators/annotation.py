@@ -292,10 +292,37 @@ def shift(features: DataFrame, offsets: DataFrame) -> DataFrame:
     return features.join(offsets, "seqid", "left").withColumn("start", F.col("start") + o).withColumn("end", F.col("end") + o).drop("offset")
 
 
-def add_ids(features: DataFrame, id_col: str = "id") -> DataFrame:
-    """An id of type and place in the type's input order where there is none."""
-    w = Window.partitionBy("type").orderBy("ord")
-    return features.withColumn(id_col, F.coalesce(id_col, F.concat("type", F.row_number().over(w).cast("string"))))
+def add_ids(features: DataFrame, id_col: str = "id", block: int = 1_000_000) -> DataFrame:
+    """An id of type and place in the type's input order where there is none.
+
+    Features are counted by blocks of `ord` first, so a window holds a block of one type, not the type.
+    """
+    cut = features.withColumn("__block", F.floor(F.col("ord") / block))
+    before = Window.partitionBy("type").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    begin = cut.groupBy("type", "__block").agg(F.count("*").alias("__n")).select("type", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
+    nth = F.row_number().over(Window.partitionBy("type", "__block").orderBy("ord"))
+    made = cut.withColumn("__nth", nth).join(begin, ["type", "__block"])
+    return made.withColumn(id_col, F.coalesce(id_col, F.concat("type", (F.col("__begin") + F.col("__nth")).cast("string")))).drop("__block", "__n", "__begin", "__nth")
+
+
+def select_target_strand(features: DataFrame, strand: str, target: str = "target") -> DataFrame:
+    """Features whose only Target ('id start end strand') names another strand go; none, several or an unstated strand stays."""
+    stated = F.get(F.split(F.trim(F.col(target)), " +"), F.lit(3))
+    single = F.col(target).isNotNull() & ~F.col(target).contains(",")
+    return features.where(~F.coalesce(single & stated.isin("+", "-") & (stated != strand), F.lit(False)))
+
+
+def split_by(features: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet a condition, and the dropped ones for a sink of their own; null counts as dropped."""
+    good = F.coalesce(keep, F.lit(False))
+    return features.where(good), features.where(~good)
+
+
+def name_parts(features: DataFrame, id_col: str = "id") -> DataFrame:
+    """part_no of features that share an id on one sequence: 1 for the representative, which has the smallest range; lone ones have null."""
+    w = Window.partitionBy("seqid", id_col)
+    several = F.col(id_col).isNotNull() & (F.count("*").over(w) > 1)
+    return features.withColumn("part_no", F.when(several, F.row_number().over(w.orderBy("start", "end", "ord"))))
 
 
 def check_rules(df: DataFrame, rules: dict[str, Column], by: Column | None = None) -> DataFrame:

@@ -301,3 +301,10 @@ def split_parts(seqs: DataFrame, parts: int) -> DataFrame:
 def contract_wildcards(seqs: DataFrame) -> DataFrame:
     """Runs of wildcards as one n."""
     return seqs.withColumn("seq", F.regexp_replace("seq", "[^ACGTUacgtu]+", "n"))
+
+
+def homopolymers(seqs: DataFrame, min_length: int = 3) -> DataFrame:
+    """(base, length, n): maximal runs of one base, any case, of min_length or more."""
+    runs = "|".join(f"{b}{{{min_length},}}" for b in "acgt")
+    r = seqs.select(F.explode(F.regexp_extract_all(S.ascii_lower("seq"), F.lit(f"({runs})"), F.lit(1))).alias("r"))
+    return r.groupBy(F.substring("r", 1, 1).alias("base"), F.length("r").alias("length")).agg(F.count("*").alias("n"))
