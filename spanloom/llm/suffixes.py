@@ -29,6 +29,8 @@ GRAM = 32
 SHARD_BYTES = 3 << 20
 HOT_BYTES = 1 << 20
 
+#: Windows of a long text that are looked at together, and bits of a place among them.
+WINDOWS = 1 << 22
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -228,21 +230,40 @@ def anchor_spans(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int
     return np.searchsorted(off, first, "right") - 1, grams[pick[cut]], first, count
 
 
+def _stretches(buf: np.ndarray, off: np.ndarray, width: int):
+    """(first row, bytes, offsets, first byte) of runs of rows; a long row comes in stretches that share width - 1 bytes.
+
+    A window's anchor depends on its own bytes, so it is the same wherever its stretch begins.
+    """
+    for i, j, b, o in _flat.blocks(buf, off):
+        if j - i > 1 or len(b) <= WINDOWS + width:
+            yield i, b, o, 0
+        else:
+            for k in range(0, len(b) - width + 1, WINDOWS):
+                part = b[k : k + WINDOWS + width - 1]
+                yield i, part, np.array([0, len(part)]), k
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Copies go here and not in a step of its own, which would be one more process beside this one.
+        for batch in _once(batches):
             buf, off = _flat.buffer_of(batch.column(1))
-            for i, _, b, o in _flat.blocks(buf, off):
+            for i, b, o, begin in _stretches(buf, off, width):
                 row, h, first, count = anchor_spans(b, o, width)
                 data = b.tobytes()
                 digest = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(first.tolist(), (first + count + width - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array((first - o[row]).astype(np.int64)), pa.array(count.astype(np.int32))], names=["t", "h", "sh", "first", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array((begin + first - o[row]).astype(np.int64)), pa.array(count.astype(np.int32))], names=["t", "h", "sh", "first", "n"])
 
     return run
 
 
+#: Texts that a task remembers having passed on; it may pass on a text again, which changes no result.
+REMEMBERED = 100_000
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key this partition has not passed on before."""
+    """Rows whose key this task has not passed on lately."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -250,6 +271,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if t not in seen:
                 seen.add(t)
                 keep.append(k)
+        if len(seen) > REMEMBERED:
+            seen.clear()
         yield batch.take(pa.array(keep, pa.int64()))
 
 
@@ -300,18 +323,23 @@ def _by_window(width: int):
 
 def repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(t, first, n): for each text (by text_key) runs of n windows, from byte `first` on, that repeat in the table."""
-    spark = docs.sparkSession
-    texts = docs.select(text_key(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
-    spans = materialize(texts.mapInArrow(_scan(width), "t binary, h long, sh long, first long, n int"), "spans")
-    kinds = materialize(spans.groupBy("h", "sh").agg(F.count("*").alias("c")), "span-kinds")
-    twice = spans.join(kinds.where("c > 1").select("h", "sh"), ["h", "sh"], "left_semi").select("t", "first", "n").distinct()
+    every = docs.select(text_key(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
+    # Copies of a whole text are counted by key; from here on a text stands for all of them.
+    size = F.octet_length("text")
+    copied = every.where(size >= width).groupBy("t").agg(F.count("*").alias("c"), F.first(size).alias("size")).where("c > 1")
+    copied = copied.select("t", F.lit(0).cast("long").alias("first"), (F.col("size") - width + 1).cast("int").alias("n"))
+    texts = every.mapInArrow(_once, "t binary, text string")
+    spans = materialize(every.mapInArrow(_scan(width), "t binary, h long, sh long, first long, n int"), "spans")
+    # Partial minima and maxima bring each task's rows of a kind down to one before any are dealt out.
+    here = F.struct("t", "first", "n")
+    kinds = spans.groupBy("h", "sh").agg(F.min(here).alias("x"), F.max(here).alias("y")).select("h", "sh", "x", (F.col("x") == F.col("y")).alias("alone"))
+    kinds = materialize(kinds, "span-kinds")
+    twice = spans.join(kinds.where("NOT alone").select("h", "sh"), ["h", "sh"], "left_semi").select("t", "first", "n").distinct()
     # Anchors with spans that occur once, beside others.
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("alone")).where("kinds > 1 AND alone > 0").select("h")
-    some = kinds.join(mixed, "h", "left_semi")
-    shown = F.min(F.struct("t", "first", "n"))
-    wanted = materialize(spans.join(some, ["h", "sh"]).groupBy("h", "sh", "c").agg(shown.alias("x")).select("h", "sh", "x.*", (F.col("c") == 1).alias("alone")), "wanted")
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if("alone").alias("single")).where("kinds > 1 AND single > 0").select("h")
+    wanted = materialize(kinds.join(mixed, "h", "left_semi").select("h", "sh", "x.*", "alone"), "wanted")
     lists = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "sh", "first", "n", "alone")).alias("spans"))
-    fetched = texts.mapInArrow(_once, "t binary, text string").join(lists, "t").select("t", "text", "spans").mapInArrow(_fetch(width), "t binary, h long, sh long, first long, n int, alone boolean, span binary")
+    fetched = texts.join(lists, "t").select("t", "text", "spans").mapInArrow(_fetch(width), "t binary, h long, sh long, first long, n int, alone boolean, span binary")
     weight = wanted.groupBy("h").agg(F.sum(F.col("n") + width - 1).alias("bytes"))
     total = weight.agg(F.sum("bytes")).first()[0] or 0
     fetched = materialize(fetched.join(weight, "h"), "fetched")
@@ -324,7 +352,7 @@ def repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> Data
         windows = materialize(windows, "windows")
         again = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
         found = found.unionByName(windows.where("alone").join(again, ["h", "w"], "left_semi").select("t", "first", F.lit(1).alias("n")))
-    return twice.unionByName(found)
+    return twice.unionByName(found).unionByName(copied)
 
 
 def _cut(width: int, at: int):
@@ -363,12 +391,15 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     like others; an empty table gives no rows; other columns are ignored.
     """
     gone = repeats(docs, text_col, width).groupBy("t").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-    return keyed.join(gone, "t", "left").select("id", "text", "runs").mapInArrow(_cut(width, 1), schema)
+    keyed = docs.select(text_key(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
+    schema = "t binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
+    done = keyed.mapInArrow(_once, "t binary, text string").join(gone, "t", "left").select("t", "text", "runs").mapInArrow(_cut(width, 1), schema)
+    # One result for each text goes to its documents: the texts of copies are not moved again.
+    done = materialize(done.groupBy("t").agg(*[F.first(c).alias(c) for c in done.columns[1:]]), "results")
+    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t")).join(done, "t").drop("t")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of documents outside all repeated 400-byte strings."""
-    return removed_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+    """Bytes of documents outside all repeated 400-byte strings; `removed` says whether any went, `spans` which."""
+    r = removed_spans(table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), "spans")
