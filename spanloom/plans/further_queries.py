@@ -9,9 +9,11 @@ from spanloom.functions import ranges as R
 from spanloom.operators import annotation as A
 from spanloom.operators import genomes as G
 from spanloom.operators import joins as J
+from spanloom.operators import kmers as K
+from spanloom.operators import predictions as P
 from spanloom.operators import sequences as Q
 from spanloom.plans.adapters import _ALPHABET, _BASES, DNA_SQL, FEATURES_SQL, PREDICTIONS_SQL, dna, features, predictions, table
-from spanloom.plans.sequence_queries import _kmers_sql
+from spanloom.plans.sequence_queries import _kmers_sql, reads
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -151,3 +153,52 @@ def unique_matches(spark: SparkSession, d: str) -> DataFrame:
     s = items(spark, d)
     m = G.unique_matches(s.where("seqnum % 2 = 0"), s.where("seqnum % 2 = 1"), 12)
     return m.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("a_start", "b_start", "length")])
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """(parent, seqnum, start, end, strand): an exon of 60 bases every 100 of each document's bases, the strand by parity."""
+    s = dna(spark, d).where("length(seq) >= 60")
+    e = s.select("seqnum", F.explode(F.expr("sequence(0, int((length(seq) - 60) / 100))")).alias("k"))
+    return e.select(F.col("seqnum").alias("parent"), "seqnum", (F.col("k") * 100 + 1).cast("long").alias("start"), (F.col("k") * 100 + 60).cast("long").alias("end"), F.when(F.col("seqnum") % 2 == 0, "+").otherwise("-").alias("strand"))
+
+
+@query(f"""WITH {DNA_SQL}, e AS (SELECT seqnum, substring(seq, k * 100 + 1, 60) AS s, k FROM dna, LATERAL (SELECT unnest(range(0, (length(seq) - 60) // 100 + 1)) AS k) WHERE length(seq) >= 60),
+t AS (SELECT seqnum, string_agg(s, '' ORDER BY k) AS seq FROM e GROUP BY 1)
+SELECT seqnum AS parent, md5(CASE WHEN seqnum % 2 = 0 THEN seq ELSE reverse(translate(seq, 'acgt', 'tgca')) END) AS md5 FROM t""")
+def spliced_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    return Q.spliced(transcripts(spark, d), dna(spark, d)).select("parent", F.md5("seq").alias("md5"))
+
+
+@query()
+def coding_parts(spark: SparkSession, d: str) -> DataFrame:
+    e = transcripts(spark, d)
+    return P.cds_parts(e.drop("seqnum"), Q.spliced(e, dna(spark, d)).select("parent", "seq"), 30)
+
+
+@query()
+def seed_extensions(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d)
+    return P.seed_extensions(r.where("seqnum % 2 = 0"), r.where("seqnum % 2 = 1"), 20, 8, 30, 80.0)
+
+
+@query()
+def terminal_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return P.repeated_ends(dna(spark, d), seed=20, min_arm=25, max_arm=500, min_distance=100, max_distance=5000)
+
+
+@query()
+def inverted_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return P.repeated_ends(dna(spark, d), seed=10, min_arm=12, max_arm=500, min_distance=50, max_distance=5000, inverted=True)
+
+
+@query()
+def consensus_alignments(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d).where("type = 'exon'").withColumn("seqid", F.concat_ws(":", "seqid", (F.floor(F.col("ord") / 10000000) % 997).cast("string")))
+    apart = A.islands(f, 0, ("root_id", "seqid", "strand"))
+    return P.consensus_alignments(apart.select("root_id", "seqid", "strand", "start", "end"))
+
+
+@query()
+def assembled_contigs(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d)
+    return P.contigs(r, K.suffix_prefix_matches(r, 30)).select("contig", "n_reads", F.md5("seq").alias("md5"))
