@@ -1,20 +1,28 @@
 """Sharding: indivisible groups go to fixed-capacity shards by best-fit decreasing through a balanced tree.
 
-Groups of any number are brought down to a bounded number of units first: each group of at least
-a `fine`-th of a shard is a unit of its own, all others are gathered by hash into `fine * shards`
-units. Groups stay whole, the driver packs at most 2 * fine * shards units, and the capacity is
-the smallest (to a byte) at which best-fit decreasing needs no more than the shards there are.
+Groups of one size are interchangeable, so best fit runs over the histogram of sizes: each size
+takes the shard with the least room that still holds it, found in a balanced tree, for as many of
+its groups as fit there. That is what taking them one by one gives, but the driver's work depends
+on the number of sizes. Sizes up to EXACT bytes are classes of their own; larger ones share a
+class with sizes at most 0.1 % smaller, so there are about 100,000 classes at any size of input. The
+capacity is the smallest found at which no more shards are needed than there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm._base import materialize, table, text_key
 
-#: Parts in which the rows of one shard are numbered.
-PARTS = 512
+#: Rows of a shard, or groups of a class, that are numbered together, about.
+PART_ROWS = 100_000
+#: Sizes up to this are classes of their own; of larger ones the leading BITS bits count.
+EXACT, BITS = 1 << 16, 10
 
 
 class Treap:
@@ -67,69 +75,108 @@ class Treap:
         return high
 
 
-def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Bin of each size, taken in the order given (decreasing); a size over the capacity has a bin of its own."""
+def best_fit(classes: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best-fit decreasing of (size, count) classes, taken in the order given (decreasing sizes).
+
+    Returns ((class, first rank, count, bin) rows, bins). A size over the capacity has a bin of its own.
+    """
     tree, bins, out = Treap(), 0, []
-    for s in sizes:
-        found = tree.take_tightest(s)
-        if found is None:
-            found, bins = (max(capacity, s), bins), bins + 1
-        out.append(found[1])
-        tree.insert((found[0] - s, found[1]))
+    for k, (size, count) in enumerate(classes):
+        rank = 0
+        while rank < count:
+            found = tree.take_tightest(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            n = min(count - rank, found[0] // size)
+            out.append((k, rank, n, found[1]))
+            rank += n
+            tree.insert((found[0] - n * size, found[1]))
     return out, bins
 
 
-def fit_into(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0..shards-1 of decreasing `sizes` at the smallest capacity found for which best fit needs no more bins."""
-    total = sum(sizes)
-    low, high = max([-(-total // shards), *sizes[:1]]), max(total, 1)
-    best = best_fit(sizes, high)[0]
+def fit_into(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """(class, first rank, count, bin) rows with bins 0..shards-1, at the smallest capacity found for which best fit needs no more.
+
+    A size of at least an even share of what is left has a bin of its own, and the others share the rest of the bins.
+    """
+    total, alone, begin = sum(s * n for s, n in classes), [], []
+    for k, (size, count) in enumerate(classes):
+        n = 0
+        while n < count and len(alone) < shards - 1 and size * (shards - len(alone)) >= total:
+            alone.append((k, n, 1, len(alone)))
+            total -= size
+            n += 1
+        begin.append(n)
+    rest, bins = [(s, c - n) for (s, c), n in zip(classes, begin, strict=True)], shards - len(alone)
+    low = max([-(-total // bins), *(s for s, n in rest if n)], default=1)
+    # Small sizes fill what large ones leave, so a little over the mean is enough: look there first, then close in.
+    high, step = low, 1
+    while (got := best_fit(rest, high))[1] > bins:
+        low, high, step = high + 1, high + step, 4 * step
+    best = got[0]
     while low < high:
         mid = (low + high) // 2
-        got, bins = best_fit(sizes, mid)
-        if bins <= shards:
-            best, high = got, mid
+        rows, needed = best_fit(rest, mid)
+        if needed <= bins:
+            best, high = rows, mid
         else:
             low = mid + 1
-    return best
+    return sorted([*alone, *((k, first + begin[k], n, len(alone) + b) for k, first, n, b in best)])
+
+
+def size_class(size: str) -> Column:
+    """The size itself up to EXACT; above, the size rounded up to BITS leading bits."""
+    unit = F.expr(f"shiftleft(1L, greatest(length(bin({size})) - {BITS}, 0))")
+    return F.when(F.col(size) <= EXACT, F.col(size)).otherwise(((F.col(size) + unit - 1) / unit).cast("long") * unit)
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], parts: int, name: str) -> DataFrame:
+    """`rows` (a written table) with `name`: 0, 1, 2, ... within each value of `by`, counted in `parts` parts by hash of `order`."""
+    part = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = part.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select(by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    nth = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order))
+    return part.withColumn("nth", nth).join(begin, [by, "part"]).withColumn(name, F.col("begin") + F.col("nth") - 1).drop("part", "nth", "begin")
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", fine: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row; equal texts share a shard, sizes of shards are near equal.
 
     A size is the UTF-8 length of the text plus 8. A null text counts as empty, and as equal to
-    an empty one. slot numbers a shard's rows from 0 without gaps. Null and repeated ids are rows
-    like others; an empty table gives no rows; other columns are ignored. A group larger than an
-    even share of all bytes makes its shard that much larger, as groups are never cut.
+    an empty one. Groups of equal size are told apart by the MD5 of their text; slot numbers a
+    shard's rows from 0 without gaps. Null and repeated ids are rows like others; an empty table
+    gives no rows; other columns are ignored. A group of more than an even share of all bytes has
+    a shard of its own that is that much larger, as groups are never cut.
     """
-    units = fine * shards
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         text_key(F.col(text_col)).alias("group"),
     )
-    rows = materialize(rows.withColumn("unit", F.pmod(F.xxhash64("group"), F.lit(units)).cast("int")), "sizes")
-    groups = materialize(rows.groupBy("group", "unit").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    # At most `units` groups can reach this size.
-    large = groups.where(F.col("bytes") >= max(total // units, 1)).select("group", "unit", "bytes")
-    alone = [(bytes(r[0]), r[1], r[2]) for r in large.collect()] if total else []
-    gathered = {r[0]: r[1] for r in groups.groupBy("unit").agg(F.sum("bytes")).collect()}
-    for _, unit, size in alone:
-        gathered[unit] -= size
-    order = sorted([(s, None, g) for g, _, s in alone] + [(s, u, b"") for u, s in gathered.items() if s], key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
-    bins = fit_into([s for s, _, _ in order], shards)
-    spark = docs.sparkSession
-    by_unit = spark.createDataFrame([(u, b) for (_, u, _), b in zip(order, bins, strict=True) if u is not None], "unit int, unit_shard int")
-    by_group = spark.createDataFrame([(bytearray(g), b) for (_, u, g), b in zip(order, bins, strict=True) if u is None], "group binary, group_shard int")
-    # Both tables have at most fine * shards rows, whatever the input.
-    placed = rows.join(F.broadcast(by_group), "group", "left").join(F.broadcast(by_unit), "unit", "left")
-    placed = placed.select("id", "size", "text_crc32", "group", F.coalesce("group_shard", "unit_shard").alias("shard"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "group"), F.lit(PARTS)).cast("int"))
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    begin = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "group"))
-    return placed.withColumn("nth", nth).join(begin, ["shard", "part"]).select("id", "size", "text_crc32", "shard", (F.col("begin") + F.col("nth") - 1).alias("slot"))
+    rows = materialize(rows, "sizes")
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).select("group", size_class("bytes").alias("class"))
+    groups = materialize(groups, "groups")
+    # At most EXACT + 2**(BITS - 1) * 47 classes, whatever the input.
+    histogram = {r[0]: r[1] for r in groups.groupBy("class").agg(F.count("*")).collect()}
+    classes = sorted(histogram.items(), reverse=True)
+    plan = np.array(fit_into(classes, shards) if classes else [], np.int64).reshape(-1, 4)
+    sizes = np.array([s for s, _ in classes], np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = int(plan[:, 1].max(initial=0)) + 1 << 1
+        key = plan[:, 0] * stride + plan[:, 1]
+        for b in batches:
+            k = np.searchsorted(-sizes, -b.column(1).to_numpy())
+            at = np.searchsorted(key, k * stride + np.minimum(b.column(2).to_numpy(), stride - 1), "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plan[at, 3].astype(np.int32))], names=["group", "shard"])
+
+    n, most = rows.count(), max(histogram.values(), default=0)
+    ranked = numbered(groups, "class", ["group"], -(-most // PART_ROWS) or 1, "rank")
+    placed = materialize(ranked.select("group", "class", "rank").mapInArrow(place, "group binary, shard int"), "placed")
+    # A group may hold a third of all rows; the join is on its key alone, which adaptive execution splits.
+    out = materialize(rows.join(placed, "group"), "shards")
+    return numbered(out, "shard", ["id", "group"], -(-n // (shards * PART_ROWS)) or 1, "slot").select("id", "size", "text_crc32", "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
