@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm._base import materialize, table
@@ -40,22 +40,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def top_pairs(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, rows: int = 64):
-    """(query index, candidate index, score) of each query's k best candidates with another id; ties to the smaller id."""
-    order = np.argsort(x_id, kind="stable")
-    x, x_id = x[order], x_id[order]
+def top_pairs(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int, known: np.ndarray, rows: int = 64):
+    """(query index, candidate index, score) of each query's k best candidates but its own row; ties to the smaller id, then row.
+
+    `known` is a score that k other candidates of a query reach (or -inf): what cannot reach it is left out.
+    """
+    order = np.lexsort((x_row, x_id))
+    x, x_row = x[order], x_row[order]
     qs, xs = [_segments(q, n) for n in RESOLUTIONS], [_segments(x, n) for n in RESOLUTIONS]
     out = []
     for a in range(0, len(q), rows):
         part = slice(a, a + rows)
-        own = q_id[part, None] == x_id[None, :]
+        own = q_row[part, None] == x_row[None, :]
         bound = qs[0][part] @ xs[0].T
         bound[own] = -np.inf
         m = min(k, len(x))
         lead = np.argpartition(-bound, m - 1, axis=1)[:, :m] if m else np.zeros((len(bound), 0), int)
         exact = np.einsum("qd,qmd->qm", q[part], x[lead])
         exact[np.take_along_axis(own, lead, 1)] = -np.inf
-        low = exact.min(1) if m == k else np.full(len(bound), -np.inf)
+        low = np.maximum(exact.min(1), known[part]) if m == k else known[part]
         slack = 1e-9 * (1 + np.abs(bound[np.isfinite(bound)]).max(initial=0))
         live = np.flatnonzero((bound >= low[:, None] - slack).any(0))
         for s, t in zip(qs[1:], xs[1:], strict=True):
@@ -71,44 +74,53 @@ def top_pairs(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray,
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, block: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest inner product for each query.
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, block: int = 32768) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k other rows with the largest inner product for each row where `is_query` holds.
 
-    Both sides are cut into blocks of at most about `block` rows; a task holds one block of
-    candidates and one of queries, so memory is bounded at any size, and returns at most k rows a
-    query. Shorter vectors count as padded with zeros. A row never answers a query with its own
-    id; repeated ids are one query. Null ids, null vectors and vectors with null or non-finite
-    components take no part; empty tables give no rows; other columns are ignored.
+    Rows are cut into blocks of about `block`; a task holds one block of candidates and one of
+    queries, so memory is bounded at any size, and returns at most k rows a query. One block of
+    candidates goes first: the k-th best score found there spares most of the others their exact
+    scores. Shorter vectors count as padded with zeros. A query is a row: it never answers itself,
+    but rows that share its id or its vector do, and each of several query rows with one id has its
+    own ranks. Null ids, null vectors and vectors with null or non-finite components take no part;
+    empty tables give no rows; other columns are ignored.
     """
     whole = "{i} IS NOT NULL AND {v} IS NOT NULL AND NOT exists({v}, c -> c IS NULL OR isnan(c) OR abs(c) = double('Infinity'))"
-
-    def clean(df: DataFrame) -> DataFrame:
-        return df.where(whole.format(i=f"`{id_col}`", v=f"`{vec_col}`")).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda c: c.cast("double")).alias("v"))
-
-    x, q = materialize(clean(vectors), "vectors"), clean(queries).dropDuplicates(["id"])
-    q = materialize(q, "queries")
-    (n, dim), (m, q_dim) = (df.agg(F.count("*"), F.max(F.size("v"))).first() for df in (x, q))
-    dim = max(dim or 1, q_dim or 1)
+    x = vectors.where(whole.format(i=f"`{id_col}`", v=f"`{vec_col}`"))
+    x = x.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda c: c.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # The number of a row is fixed by writing it.
+    x = materialize(x.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n, m, dim = x.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    dim = dim or 1
     xb, qb = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
-    mine = lambda df, blocks: F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = x.withColumn("xb", mine(x, xb)).withColumn("qb", every(qb))
-    q = q.withColumn("qb", mine(q, qb)).withColumn("xb", every(xb))
+    mine = lambda blocks, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).cast("int")
+    x = x.withColumn("xb", mine(xb, 0))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
+        cols = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
         if left.num_rows and right.num_rows:
             xv, qv = (_matrix(t["v"].chunk(0), dim) for t in (left, right))
-            xi, qi = (t["id"].to_numpy() for t in (left, right))
-            r, c, s = top_pairs(qv, qi, xv, xi, k)
-            cols = [qi[r], xi[c], s.astype(np.int64) if np.all(s == np.floor(s)) else s]
-        else:
-            cols = [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2]).cast(pa.float64())})
-
-    found = x.groupBy("xb", "qb").cogroup(q.groupBy("xb", "qb")).applyInArrow(search, "query_id long, vec_id long, score double")
+            xr, qr, xi, qi = left["row"].to_numpy(), right["row"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+            r, c, s = top_pairs(qv, qr, xv, xr, xi, k, right["known"].to_numpy())
+            cols = [qr[r], qi[r], xi[c], s]
+        return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), cols, strict=True)))
+
+    def met(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+        left = candidates.select("id", "v", "row", "xb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+        return left.groupBy("xb", "qb").cogroup(queries.groupBy("xb", "qb")).applyInArrow(search, "row long, query_id long, vec_id long, score double")
+
+    # Names of its own keep the two sides of the self-join apart.
+    asked = x.where("asks").select(*[F.col(c).alias(c) for c in ("id", "v", "row")], mine(qb, 1).alias("qb"))
+    found = met(x.where("xb = 0"), asked.select("*", F.lit(0).alias("xb"), F.lit(float("-inf")).alias("known")))
+    if xb > 1:
+        found = materialize(found, "first-block")
+        lows = found.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("low"))
+        others = asked.join(lows, "row", "left").select("id", "v", "row", "qb", F.coalesce("low", F.lit(float("-inf"))).alias("known"))
+        others = others.select("*", F.explode(F.sequence(F.lit(1), F.lit(xb - 1))).alias("xb"))
+        found = found.unionByName(met(x.where("xb > 0"), others))
     # Spark limits each task's rows of a query to k before the shuffle.
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -117,7 +129,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     # Null and non-finite components stay as they are, for the operator to leave those vectors out.
     scaled = e.select("vec_id", F.transform("embedding", lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("double")).otherwise(F.floor(c.cast("double") * 256).cast("double"))).alias("v"))
-    r = exact_top_k(scaled, scaled.where("vec_id % 50 = 0"), 5, "vec_id", "v")
+    r = exact_top_k(scaled, F.col("vec_id") % 50 == 0, 5, "vec_id", "v")
     return r.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
