@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import _flat
-from spanloom.llm._base import materialize, table
+from spanloom.llm._base import free_names, materialize, table
 from spanloom.llm.tokens import default_path, encoder
 
 #: Parts of a size class that are ranked apart, so that no task ranks a whole class.
@@ -159,15 +159,17 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     dropped; equal rows get places of their own; no items give no rows.
     """
     names = items.columns
-    items = items.withColumn("__part", F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int"))
-    sizes = materialize(items.groupBy("length", "__part").agg(F.count("*").alias("n")), "sizes")
-    plan = best_fit_plan({r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}, capacity)
+    part, n, begin, nth, rank = free_names(items, "part", "n", "begin", "nth", "rank")
+    quoted = [f"`{c}`" for c in names]
+    items = items.withColumn(part, F.pmod(F.xxhash64(*quoted), F.lit(PARTS)).cast("int"))
+    sizes = materialize(items.groupBy("length", part).agg(F.count("*").alias(n)), "sizes")
+    plan = best_fit_plan({r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum(n)).collect()}, capacity)
     # At most capacity * PARTS rows: where each part's ranks begin.
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    begin = sizes.select("length", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
-    nth = Window.partitionBy("length", "__part").orderBy(*names)
-    ranked = items.withColumn("__nth", F.row_number().over(nth)).join(begin, ["length", "__part"])
-    ranked = ranked.select(*names, (F.col("__begin") + F.col("__nth") - 1).alias("__rank"))
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(begin))
+    inside = Window.partitionBy("length", part).orderBy(*quoted)
+    ranked = items.withColumn(nth, F.row_number().over(inside)).join(starts, ["length", part])
+    ranked = ranked.select(*quoted, (F.col(begin) + F.col(nth) - 1).alias(rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +177,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             where, offset = plan.place(size, rank)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(where), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*names).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*quoted).schema)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 

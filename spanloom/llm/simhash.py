@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import _flat
-from spanloom.llm._base import materialize, table
+from spanloom.llm._base import materialize, table, text_key
 from spanloom.llm._components import components
 
 #: A bucket of more distinct fingerprints than this is cut further, by a second pigeonhole.
@@ -242,13 +242,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group left, all its columns kept.
+    """`docs` with one row of each near-duplicate group left; all its columns stay, whatever their names.
 
     The one with the smallest id stays (null ids last), of several such rows the one whose text has
-    the smallest MD5, of equal rows one.
+    the smallest MD5, of rows equal in both any one. Null texts count as empty, and texts without words
+    are one group; an empty table stays empty.
     """
-    rows = materialize(docs.withColumn("__row", F.expr("uuid()")), "rows")
-    near = near_components(rows, "__row", text_col).select(F.col("id").alias("__row"), "component_id")
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.md5(F.coalesce(text_col, F.lit(""))), F.col("__row").alias("row"))
-    first = near.join(rows.select("__row", rank.alias("rank")), "__row").groupBy("component_id").agg(F.min("rank").alias("rank"))
-    return rows.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").drop("__row")
+    named = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
+    near = near_components(named, "k", "text").groupBy("id").agg(F.first("component_id").alias("group")).select(F.col("id").alias("k"), "group")
+    # Copies of a row meet as one, with their number, before any group is formed.
+    pairs = named.groupBy("id", "k").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")
+    chosen = pairs.join(near, "k").groupBy("group").agg(F.min(rank).alias("x")).select("x.id", "x.k", "x.n")
+    chosen = materialize(chosen, "chosen")
+    # The row travels as one column, so that no name of its own meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"))
+    found = lambda part: rows.alias("r").join(part.alias("c"), F.expr("r.k = c.k AND r.id <=> c.id"), "left_semi")
+    once, copied = found(chosen.where("n = 1")), found(chosen.where("n > 1")).dropDuplicates(["id", "k"])
+    return once.unionByName(copied).select("row.*")

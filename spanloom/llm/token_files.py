@@ -29,23 +29,28 @@ def token_files(docs: DataFrame, path: str, separator: int = SEPARATOR, block: i
     """Write every document's ids and a separator to flat files: rows (file, kind, no, payload).
 
     Kind 't' holds blocks of `block` ids of `width` bytes; kind 'd' holds the doc_ids in file
-    order (a null as the smallest long), kept beside the files and never read by the scan.
+    order and which of them are null, kept beside the files and never read by the scan. A separator
+    written out in a text is text like any other, so ids of texts never hold one by that name. Ids that
+    do not fit `width` bytes are refused.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, name = encoder(path), TaskContext.get().partitionId()
+        enc, name = encoder(path, False), TaskContext.get().partitionId()
         held, size, at, row = [], 0, 0, 0
 
         def out(kind: str, no: int, data: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([kind]), pa.array([no], pa.int64()), pa.array([data.tobytes()], pa.binary())], names=["file", "kind", "no", "payload"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield out("d", row, ids.astype("<i8"))
+            ids = batch.column(0)
+            # An id and a flag for each document.
+            yield out("d", row, np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)], 1).astype("<i8"))
             row += len(ids)
             buf, off = _flat.buffer_of(batch.column(1))
             for _, _, b, o in _flat.blocks(buf, off, 1 << 21):
                 tokens, counts = enc.encode(b, o)
+                if len(tokens) and int(tokens.max()) >> (8 * width) or separator >> (8 * width):
+                    raise ValueError(f"an id does not fit {width} bytes")
                 held.append(np.insert(tokens, np.cumsum(counts), separator).astype(_WIDTH[width]))
                 size += len(held[-1])
                 if size >= block:
@@ -115,8 +120,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, no, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = np.frombuffer(payload.as_buffer(), "<i8")
-                keep = pa.array(ids, mask=ids == np.iinfo(np.int64).min)
+                pairs = np.frombuffer(payload.as_buffer(), "<i8").reshape(-1, 2)
+                ids = pairs[:, 0]
+                keep = pa.array(ids, mask=pairs[:, 1] == 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), file)), pa.array(no + np.arange(len(ids))), keep], names=["file", "ordinal", "doc_id"])
 
     ids = files.where("kind = 'd'").select("file", "no", "payload").mapInArrow(named, "file long, ordinal long, doc_id long")

@@ -9,6 +9,7 @@ parameter; tests compare all ids with that library's own.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import cache
 
@@ -61,38 +62,70 @@ def pieces(chars: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
+def _same(buf: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each piece has the bytes of piece like[k]."""
+    size = end - start
+    if (size != size[like]).any():
+        return False
+    within = np.arange(len(buf)) - np.repeat(start, size)
+    return bool((buf == buf[np.repeat(start[like], size) + within]).all())
+
+
 class Encoder:
     """Ids of texts by the vocabulary of a tokenizers JSON file of kind byte-level BPE."""
 
     LIMIT = 300_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
+        """With `added` false, added tokens written out in a text are text like any other."""
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        every = spec.get("added_tokens", [])
+        if any(x.get(k) for x in every for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens that take in what is beside them are not known here")
+        special = {x["content"] for x in every}
+        self._added = {x["content"].encode(): [x["id"]] for x in every} if added else {}
+        self._find = re.compile(b"|".join(re.escape(x) for x in sorted(self._added, key=len, reverse=True))) if self._added else None
         # Byte-level vocabularies write a byte as itself if printable, else as the next free character from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self._bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self._known: dict[bytes, list[int]] = {}
+        self._known: dict[bytes, list[int]] = dict(self._added)
+
+    def _occurrences(self, data: bytes, off: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the added tokens written out in the texts: each is one id, whatever stands beside it."""
+        if self._find is None or not self._find.search(data):
+            return []
+        return [m.span() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for m in self._find.finditer(data, a, z)]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block one after another, number of ids of each text)."""
         rows = len(off) - 1
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        chars = np.frombuffer(buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = buf.tobytes()
+        chars = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.flatnonzero((buf & 0xC0) != 0x80)
-        heads = np.unique(off[:-1][off[:-1] < len(buf)])
+        heads = off[:-1]
+        apart = np.array(self._occurrences(data, off), np.int64).reshape(-1, 2)
+        heads = np.unique(np.concatenate([heads, apart.ravel()]))
+        heads = heads[heads < len(buf)]
         start = at[pieces(chars, np.searchsorted(at, heads))]
+        if len(apart):
+            k = np.searchsorted(apart[:, 0], start, "right") - 1
+            start = start[(k < 0) | (start == apart[k, 0]) | (start >= apart[k, 1])]
         end = np.append(start[1:], len(buf))
         _, first, which = np.unique(_flat.span_hashes(_flat.BYTE_VALUES[buf], start, end), return_index=True, return_inverse=True)
+        if not _same(buf, start, end, first[which]):
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(data[s:e], len(number)) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+            first = np.unique(which, return_index=True)[1]
         if len(self._known) > self.LIMIT:
-            self._known.clear()
-        known, data, lists = self._known, buf.tobytes(), []
+            self._known = dict(self._added)
+        known, lists = self._known, []
         for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True):
             piece = data[s:e]
             ids = known.get(piece)
@@ -110,9 +143,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     """One encoder for each vocabulary in each worker process."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def default_path() -> str:

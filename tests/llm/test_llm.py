@@ -110,10 +110,13 @@ def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokens.default_path())
-    lib.encode_special_tokens = True
     rng = random.Random(1)
     parts = ["a", "'", "'s", "'re", "'ll", "n't", "’", " ", "  ", "\n", "\t", "\r\n", "1", "23", "!", "..", "é", "ß", " ", "　", "中", "😀", "́", "x", "<|endoftext|>", "\x00", "\x1c", "\x85", "½"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(800)]
+    word = "a"
+    while len(word) < 2048:  # pieces of equal polynomials
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts += [f"{word[:n]} x {word[:n].translate(str.maketrans('ab', 'ba'))}" for n in (512, 1024, 2048)] + ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>'s", "<|endof", "text|>", " \n<|endoftext|>\n "]
     ids, counts = tokens.encoder(tokens.default_path()).encode(*_flat.buffer_of(pa.array(texts)))
     at = 0
     for t, n in zip(texts, counts, strict=True):
@@ -158,19 +161,29 @@ def test_packed_documents(spark, odd):
 
 def test_quality_held_out_accuracy(spark, odd):
     rng = random.Random(8)
-    good = [prose(rng, 60).capitalize() + ". " for _ in range(300)]
-    bad = [" ".join([rng.choice(WORDS)] * 60) if k % 2 else prose(rng, 60).upper().replace(" ", "!! ") for k in range(100)]
+    good = [prose(rng, 60).capitalize() + ". " for _ in range(900)]
+    bad = [" ".join([rng.choice(WORDS)] * 60) if k % 2 else prose(rng, 60).upper().replace(" ", "!! ") for k in range(300)]
     d = docs(spark, good + bad)
-    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 400, 2)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 900), 0) for i in range(0, 1200, 2)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(d, labels).collect()
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
-    pos, neg = [r.score for r in held if r.id < 300], [r.score for r in held if r.id >= 300]
+    pos, neg = [r.score for r in held if r.id < 900], [r.score for r in held if r.id >= 900]
     assert np.mean([p > n for p in pos for n in neg]) > 0.95
     s = quality.classify(odd, labels.where("false")).collect()
     assert len(s) == odd.count() and all(0 <= r.score <= 1 for r in s)
     kept = quality.keep_good(d, labels)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} >= set(range(290))
+    # The prior comes from 360 positives and 840 unlabelled texts: a few good ones may fall to the other side.
+    assert kept.columns == d.columns and len({r.doc_id for r in kept.collect()} & set(range(900))) >= 0.98 * 900
+
+
+def test_prior_from_positives_and_unlabelled_text():
+    rng = np.random.default_rng(3)
+    width = len(quality.FEATURES)
+    for prior in (0.3, 0.6, 0.85):
+        good, n = rng.normal(1.5, 1, (4000, width)), int(4000 * prior)
+        u = np.concatenate([rng.normal(1.5, 1, (n, width)), rng.normal(-1.5, 1, (4000 - n, width))])
+        assert abs(quality.estimate_prior(good, rng.permutation(u)) - prior) < 0.05
 
 
 def test_token_files(spark, odd):
@@ -305,15 +318,173 @@ def test_connect_is_exact():
     assert got == root
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [32, 1000])
+def test_top_k(spark, block):
     rng = np.random.default_rng(15)
     x = rng.integers(-5, 5, (200, 12)).astype(float)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 12), (900, None), (901, [float("nan")] * 12), (902, [None] * 12)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in topk.exact_top_k(v, v.where("vec_id % 20 = 0"), 5, "vec_id", "embedding", block=32).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    for q in range(0, 200, 20):
-        want = sorted(((-float(x[q] @ x[j]), j) for j in range(200) if j != q))[:5]
-        assert got[q] == [(j, -s) for s, j in want]
-    assert topk.exact_top_k(v.where("false"), v.where("false"), 5, "vec_id", "embedding").count() == 0
+    x[140:150] = x[0:10]  # equal vectors
+    ids = [*range(195), 0, 0, 20, 7, 7]  # repeated ids, of queries too
+    rows = [(i, v.tolist(), "a", 1) for i, v in zip(ids, x, strict=True)]
+    rows += [(None, [1.0] * 12, "a", 1), (900, None, "a", 1), (901, [float("nan")] * 12, "a", 1), (902, [None] * 12, "a", 1), (940, [float("inf")] * 12, "a", 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, row int")
+    got = collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(v, v.vec_id % 20 == 0, 5, "vec_id", "embedding", block=block).collect())
+    want = collections.Counter()
+    for a, i in enumerate(ids):
+        if i % 20 == 0:
+            best = sorted((-float(x[a] @ x[b]), j) for b, j in enumerate(ids) if b != a)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert got == want
+    assert topk.exact_top_k(v.where("false"), v.vec_id % 20 == 0, 5, "vec_id", "embedding").count() == 0
+
+
+def test_long_text_in_stretches(monkeypatch):
+    rng = random.Random(31)
+    x = np.frombuffer(prose(rng, 400).encode(), np.uint8)
+    whole = suffixes.anchor_spans(x, np.array([0, len(x)]), 100)
+    want = {int(f) + k: int(h) for h, f, n in zip(*whole[1:], strict=True) for k in range(n)}
+    monkeypatch.setattr(suffixes, "WINDOWS", 150)
+    got = {}
+    for _, b, o, begin in suffixes._stretches(x, np.array([0, len(x)]), 100):
+        _, h, f, n = suffixes.anchor_spans(b, o, 100)
+        got |= {begin + int(y) + k: int(z) for z, y, m in zip(h, f, n, strict=True) for k in range(m)}
+    assert got == want
+
+
+def test_hashes_of_regular_strings_differ():
+    """The word of Thue and Morse and its complement have equal polynomials modulo 2**64 for every odd base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (256, 512, 1024, 2048):
+        x = np.frombuffer((word[:n] + word[:n].translate(str.maketrans("ab", "ba"))).encode(), np.uint8)
+        h = _flat.span_hashes(_flat.BYTE_VALUES[x], np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+
+
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, 5000).astype(np.uint8)
+    values = _flat.BYTE_VALUES[np.concatenate([x, x])]
+    start = rng.integers(0, 4000, 300)
+    end = start + rng.integers(0, 900, 300)
+    want = _flat.span_hashes(values, start, end)
+    monkeypatch.setattr(_flat, "CHUNK", 700)
+    assert (_flat.span_hashes(values, start, end) == want).all() and (_flat.span_hashes(values, start + 5000, end + 5000) == want).all()
+
+
+def test_pieces_of_equal_hashes(monkeypatch):
+    """Were all hashes equal, the ids would still be right."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(_flat, "span_hashes", lambda v, s, e: np.zeros(len(s), np.uint64))
+    text = "one two <|endoftext|> three one"
+    ids, _ = tokens.Encoder(tokens.default_path()).encode(*_flat.buffer_of(pa.array([text])))
+    assert ids.tolist() == Tokenizer.from_file(tokens.default_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_into_shards_is_piece_by_piece():
+    rng = random.Random(17)
+
+    def plain(sizes, cap):
+        bins, used = [], []
+        for s in sizes:
+            fits = [i for i, r in enumerate(bins) if r >= s]
+            if fits:
+                i = min(fits, key=lambda i: bins[i])
+            else:
+                bins.append(max(cap, s))
+                used.append(0)
+                i = len(bins) - 1
+            bins[i] -= s
+            used[i] += s
+        return bins, used
+
+    def left_of(sizes, cap):
+        return plain(sizes, cap)[1]
+
+    for _ in range(200):
+        h = collections.Counter(rng.randrange(1, rng.choice([6, 40])) for _ in range(rng.randrange(1, 60)))
+        classes, cap = sorted(h.items(), reverse=True), rng.randrange(1, 80)
+        rows, bins = sharding.best_fit(classes, cap)
+        got = collections.Counter()
+        for k, first, n, b in rows:
+            got[b] += n * classes[k][0]
+        left, _ = plain(sorted(h.elements(), reverse=True), cap)
+        assert bins == len(left) == len(got) and sorted(got.values()) == sorted(left_of(sorted(h.elements(), reverse=True), cap))
+        ranks = collections.defaultdict(list)
+        for k, first, n, _b in rows:
+            ranks[k] += range(first, first + n)
+        assert all(ranks[k] == list(range(n)) for k, (_, n) in enumerate(classes))
+        shards, filled = rng.randrange(1, 7), collections.Counter()
+        seen = collections.defaultdict(list)
+        for k, first, n, b in sharding.fit_into(classes, shards):
+            filled[b] += n * classes[k][0]
+            seen[k] += range(first, first + n)
+        assert all(sorted(seen[k]) == list(range(n)) for k, (_, n) in enumerate(classes)) and max(filled) < shards
+        # Never more than the mean and one more group, but for groups over the mean.
+        assert max(filled.values()) <= max(sum(h.elements()) / shards + max(h), max(h))
+
+
+def test_sharding_many_small_groups(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(0, 12)) for _ in range(3000)] + [None, "", "q" * 70_000, "q" * 70_000, "r" * 70_001]
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    rows = sharding.shard(docs(spark, texts), 5).collect()
+    size, group, slots = collections.Counter(), collections.defaultdict(set), collections.defaultdict(list)
+    for r in rows:
+        size[r.shard] += r.size
+        group[texts[r.id] or ""].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(len(x) == 1 for x in group.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    small = sorted(size.values())[:-2]  # the long texts have shards of their own
+    assert len(rows) == len(texts) and max(small) - min(small) < 0.01 * sum(small)
+
+
+def test_contaminated_against_brute_force(spark):
+    """Every text with a whole seed of an item is aligned with it by the plain table of Smith and Waterman."""
+    rng = random.Random(23)
+    words = lambda n: [rng.choice(WORDS[:20]) for _ in range(n)]
+    items = [words(rng.randrange(1, 14)) for _ in range(12)]
+    texts = []
+    for _ in range(40):
+        w = words(rng.randrange(0, 25))
+        for k in rng.sample(range(12), 2):
+            part = [x for x in items[k] if rng.random() > 0.1]
+            w[rng.randrange(len(w) + 1) : 0] = part
+        texts.append(w)
+
+    def best(a, b):
+        table, top = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = max(0.0, table[i][j] + (1.0 if x == y else -0.5), table[i][j + 1] - 0.5, table[i + 1][j] - 0.5)
+                top = max(top, table[i + 1][j + 1])
+        return top / len(a)
+
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, t in enumerate(texts):
+        for k, a in enumerate(items):
+            n = min(5, len(a))
+            if grams(a, n) & grams(t, n) and (s := best(a, t)) >= 0.5:
+                want[d, k] = s
+    bench = spark.createDataFrame([(k, " ".join(a)) for k, a in enumerate(items)], "item_id long, text string")
+    d = docs(spark, [" ".join(t) for t in texts])
+    got = collections.defaultdict(float)
+    for r in contamination.contaminated(d, bench, ["doc_id"]).collect():
+        got[r.doc_id, r.item_id] = max(got[r.doc_id, r.item_id], r.score)
+    assert len(want) > 10 and got == pytest.approx(want)
+    assert {r.doc_id for r in contamination.drop_contaminated(d, bench).collect()} == set(range(40)) - {x for x, _ in want}
+
+
+def test_recall_of_edited_copies():
+    """Of copies of 40-word items with every tenth word changed, all are found."""
+    rng = random.Random(29)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(40)] for _ in range(60)]
+    loaded = next(contamination.load_items([(k, " ".join(w)) for k, w in enumerate(items)]))
+    found = 0
+    for k, w in enumerate(items):
+        edited = [f"x{rng.randrange(5000)}" if rng.random() < 0.1 else x for x in w]
+        text = " ".join([*(f"y{rng.randrange(5000)}" for _ in range(50)), *edited])
+        found += any(o == k for _, _, h, seeds in contamination.passages(loaded, pa.array([text])) for o, *_ in contamination.copies(loaded, h, seeds.tolist(), 0.5))
+    assert found >= 0.95 * len(items)
