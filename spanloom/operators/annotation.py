@@ -192,11 +192,15 @@ def distribution(df: DataFrame, value: Column) -> DataFrame:
     return counts.select("value", "n", (F.col("n") / total).alias("prob"), (F.sum("n").over(w) / total).alias("cumulative"))
 
 
-def tree_signature(features: DataFrame) -> DataFrame:
-    """(root_id, seqid, signature, score, ord): all nodes of a tree in depth-first order as one text."""
+def tree_signature(features: DataFrame, digest: bool = False) -> DataFrame:
+    """(root_id, seqid, signature, score, ord): all nodes of a tree in depth-first order as one text, or its MD5.
+
+    What compares trees only needs the digest: then no sort or join moves the texts.
+    """
     node = F.concat_ws(":", "type", "start", "end", "strand")
     parts = F.array_sort(F.collect_list(F.struct("start", "end", "ord", node.alias("node"))))
-    return features.groupBy("root_id", "seqid").agg(F.array_join(F.transform(parts, lambda x: x["node"]), "|").alias("signature"), F.max("score").alias("score"), F.min("ord").alias("ord"), F.min("start").alias("start"), F.max("end").alias("end"))
+    text = F.array_join(F.transform(parts, lambda x: x["node"]), "|")
+    return features.groupBy("root_id", "seqid").agg((F.unhex(F.md5(text.cast("binary"))) if digest else text).alias("signature"), F.max("score").alias("score"), F.min("ord").alias("ord"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def unique_trees(trees: DataFrame) -> DataFrame:

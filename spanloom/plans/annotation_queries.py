@@ -235,7 +235,7 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY seqid, start, "end", run ORDER BY score DESC, ord) AS k FROM r)
 SELECT root_id, seqid, start, "end", score FROM k WHERE k = 1""")
 def unique_trees(spark: SparkSession, d: str) -> DataFrame:
-    return A.unique_trees(A.tree_signature(_both(spark, d))).select("root_id", "seqid", "start", "end", "score")
+    return A.unique_trees(A.tree_signature(_both(spark, d), digest=True)).select("root_id", "seqid", "start", "end", "score")
 
 
 @query(f"""WITH {PREDICTIONS_SQL}, u AS (
@@ -387,7 +387,7 @@ n AS (SELECT (SELECT count(DISTINCT b) FROM s) AS t, (SELECT count(DISTINCT a) F
 def gene_accuracy(spark: SparkSession, d: str) -> DataFrame:
     def trees(df: DataFrame) -> DataFrame:
         df = df.withColumn("seqid", F.concat_ws(":", "seqid", (F.floor(F.col("ord") / 10000000) % 97).cast("string")))
-        t = A.tree_signature(df).drop("score", "ord")
+        t = A.tree_signature(df, digest=True).drop("score", "ord")
         return t.join(df.select("root_id", "strand").distinct(), "root_id")
 
     return J.gene_accuracy(trees(features(spark, d)), trees(predictions(spark, d)))
