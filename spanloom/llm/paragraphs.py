@@ -385,6 +385,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = places.join(named, ["u", "v"]).select("id", "t", "first", "end", "words", "cluster", "low")
     # The unit that stays is found by partial minima, so that no cluster is gathered in one place.
     kept = found.where(F.col("id").eqNullSafe(F.col("low"))).groupBy("cluster").agg(F.min(F.struct("t", "first")).alias("here"))
+    kept = materialize(kept, "stays")  # a join of two plain shuffles, whose hot clusters can be split
     found = found.join(kept.withColumnRenamed("cluster", "c"), F.col("cluster") == F.col("c"))
     stays = F.col("id").eqNullSafe(F.col("low")) & (F.struct("t", "first") == F.col("here"))
     return found.select("id", "t", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), "words", "cluster", (~stays).alias("removed"))
