@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as S
+from spanloom.session import with_checkpoints
 
 
 def align_pair(u: str, v: str, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2, local: bool = False) -> tuple[int, str]:
@@ -214,9 +215,7 @@ def single_linkage(edges: DataFrame) -> DataFrame:
     Large-star ties every larger neighbour to the smallest one, small-star contracts what is left;
     the number of rounds is logarithmic in the nodes, however long the paths. Null ends are left out.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    with_checkpoints(edges.sparkSession)
     ends = edges.select("a", "b").checkpoint()
     nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
     e = ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()

@@ -308,3 +308,108 @@ def homopolymers(seqs: DataFrame, min_length: int = 3) -> DataFrame:
     runs = "|".join(f"{b}{{{min_length},}}" for b in "acgt")
     r = seqs.select(F.explode(F.regexp_extract_all(S.ascii_lower("seq"), F.lit(f"({runs})"), F.lit(1))).alias("r"))
     return r.groupBy(F.substring("r", 1, 1).alias("base"), F.length("r").alias("length")).agg(F.count("*").alias("n"))
+
+
+def dust_mask(seqs: DataFrame, window: int = 64, threshold: float = 2.0, linker: int = 1) -> DataFrame:
+    """(seqnum, seq): stretches of low complexity in lower case, all else in upper case.
+
+    The score of a stretch of n triplets is the number of pairs of equal triplets in it over n - 1. In each
+    window the stretch with the highest score is masked if it exceeds `threshold` (first start, then
+    shortest, of equal ones); masked stretches at most `linker` apart become one. Triplets with
+    a wildcard count for nothing. Null sequences stay null.
+    """
+    kind = seqs.schema["seqnum"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None if s is None else _masked(s, window, threshold, linker) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["seqnum", "seq"])
+
+    return seqs.select("seqnum", "seq").mapInArrow(run, f"seqnum {kind}, seq string")
+
+
+def _masked(seq: str, window: int, threshold: float, linker: int) -> str:
+    upper = "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in seq)
+    digit = {c: k for k, c in enumerate("ACGT")} | {"U": 3}
+    triplet = [16 * digit[a] + 4 * digit[b] + digit[c] if a in digit and b in digit and c in digit else -1 for a, b, c in zip(upper, upper[1:], upper[2:], strict=False)]
+    spans: list[list[int]] = []
+    # Windows go by half their length, so any stretch of up to half a window lies in one of them whole.
+    for begin in range(0, max(len(triplet), 1), max(window // 2, 1)):
+        part = triplet[begin : begin + window - 2]
+        best, span = threshold, None
+        for i in range(len(part)):
+            seen, pairs = [0] * 64, 0
+            for j in range(i, len(part)):
+                if part[j] >= 0:
+                    pairs += seen[part[j]]
+                    seen[part[j]] += 1
+                if j > i and pairs > best * (j - i):
+                    best, span = pairs / (j - i), (begin + i, begin + j + 3)
+        if span:
+            spans.append(list(span))
+    merged: list[list[int]] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1][1] + linker:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    out = list(upper)
+    for s, e in merged:
+        out[s:e] = [chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in out[s:e]]
+    return "".join(out)
+
+
+def correct_homopolymers(reads: DataFrame, reference: DataFrame, max_change: int = 2, max_quality: float = 30.0, min_length: int = 3) -> DataFrame:
+    """(seqnum, seq, qual, edits): homopolymer runs of aligned reads set to the length that the reference has.
+
+    reads (seqnum, ref, ref_start 0-based, seq, qual) are aligned without gaps but for homopolymer
+    lengths. A run of min_length or more in the reference changes a read's run of the same base
+    if the lengths differ by at most max_change and the mean quality of the read's run is max_quality or less;
+    added bases take the mean quality of the run.
+    """
+    kind = reads.schema["seqnum"].dataType.simpleString()
+    rows = reads.join(reference.select(F.col("seqnum").alias("ref"), F.col("seq").alias("ref_seq")), "ref")
+    piece = F.expr("substring(ref_seq, int(ref_start) + 1, 2 * length(seq))")
+    rows = rows.select("seqnum", "seq", "qual", piece.alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_corrected(*x, max_change, max_quality, min_length) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            seq, qual, edits = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.string()), pa.array(qual, pa.string()), pa.array(edits, pa.int32())], names=["seqnum", "seq", "qual", "edits"])
+
+    return rows.mapInArrow(run, f"seqnum {kind}, seq string, qual string, edits int")
+
+
+def _base_runs(s: str) -> list[tuple[str, int]]:
+    out: list[tuple[str, int]] = []
+    for c in s.lower():
+        if out and out[-1][0] == c:
+            out[-1] = (c, out[-1][1] + 1)
+        else:
+            out.append((c, 1))
+    return out
+
+
+def _corrected(seq: str, qual: str, near: str, max_change: int, max_quality: float, min_length: int) -> tuple[str, str, int]:
+    """Runs of read and reference pair off while their bases agree; from the first that do not, the read stays as it is."""
+    at, out, marks, edits = 0, [], [], 0
+    wanted = _base_runs(near)
+    runs = _base_runs(seq)
+    for k, (base, n) in enumerate(runs):
+        letters, scores = seq[at : at + n], qual[at : at + n]
+        at += n
+        if k >= len(wanted) or wanted[k][0] != base:
+            out.append(letters + seq[at:])
+            marks.append(scores + qual[at:])
+            break
+        size = wanted[k][1]
+        mean = sum(ord(c) - 33 for c in scores) / n
+        # The last run of a read may go on in the reference: its length says nothing.
+        if k + 1 < len(runs) and size != n and size >= min_length and abs(size - n) <= max_change and mean <= max_quality:
+            edits += 1
+            letters = letters[:size] + letters[-1] * max(0, size - n)
+            scores = scores[:size] + chr(33 + round(mean)) * max(0, size - n)
+        out.append(letters)
+        marks.append(scores)
+    return "".join(out), "".join(marks), edits

@@ -202,3 +202,18 @@ def consensus_alignments(spark: SparkSession, d: str) -> DataFrame:
 def assembled_contigs(spark: SparkSession, d: str) -> DataFrame:
     r = reads(spark, d)
     return P.contigs(r, K.suffix_prefix_matches(r, 30)).select("contig", "n_reads", F.md5("seq").alias("md5"))
+
+
+@query()
+def masked_sequences(spark: SparkSession, d: str) -> DataFrame:
+    m = Q.dust_mask(items(spark, d), 32, 2.0)
+    return m.select("seqnum", F.length(F.regexp_replace("seq", "[A-Z]", "")).alias("masked"), F.md5("seq").alias("md5"))
+
+
+@query()
+def corrected_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads whose homopolymers lost or gained a base, corrected against the bases they come from."""
+    s = dna(spark, d)
+    r = reads(spark, d).select("seqnum", F.floor(F.col("seqnum") / 100_000_000).alias("ref"), (F.col("seqnum") % 100_000_000 * 60).alias("ref_start"), F.regexp_replace("seq", "(a{3,})", "$1a").alias("seq"))
+    r = r.withColumn("qual", F.expr("repeat('+', length(seq))"))
+    return Q.correct_homopolymers(r, s).groupBy("edits").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as S
+from spanloom.session import with_checkpoints
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -109,6 +110,7 @@ def cyclic_features(features: DataFrame) -> DataFrame:
 
     One join for each level of the deepest tree.
     """
+    with_checkpoints(features.sparkSession)
     edges = features.select("file", "block", "ord", F.col("feature_id").alias("id"), F.explode("parent_ids").alias("parent")).checkpoint()
     while True:
         held = edges.select("file", "block", F.col("id").alias("parent")).where("parent IS NOT NULL").distinct()
