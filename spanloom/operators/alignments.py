@@ -175,6 +175,49 @@ def map_tags(tags: DataFrame, target: DataFrame, errors: int, k: int) -> DataFra
     return found.select("tag", "strand", "seqnum", F.col("at").alias("pos"), differ.alias("distance")).where(F.col("distance") <= errors)
 
 
+def ends_within(tag: str, text: str, errors: int) -> list[tuple[int, int, int]]:
+    """(start, end, distance) of stretches of `text` within `errors` edits of the tag: for each end the smallest distance, and its latest start."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (tag, text))
+    # Distance and start travel as one number, so a minimum takes the smaller distance first and then the later start.
+    one, k = 1 << 32, np.arange(len(b) + 1, dtype=np.int64)
+    row = -k
+    for i, x in enumerate(a, 1):
+        new = row + one
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == x, 0, one))
+        new[0] = i * one
+        row = np.minimum.accumulate(new - k * one) + k * one
+    distance = -(-row // one)
+    good = np.flatnonzero(distance <= errors)
+    return [(int(distance[j] * one - row[j]), int(j), int(distance[j])) for j in good]
+
+
+def map_tags_with_gaps(tags: DataFrame, target: DataFrame, errors: int, k: int) -> DataFrame:
+    """(tag, strand, seqnum, pos, end, distance): stretches of the target within `errors` substitutions, insertions and deletions of a tag.
+
+    One of errors + 1 disjoint parts of a tag is exact and lies at most `errors` places off (pigeonhole);
+    stretches around such parts that overlap are searched together, once, by a table with free ends. Of
+    stretches with one end the nearest is given; places are 0-based and half-open.
+    """
+    from spanloom.operators.kmers import positions
+
+    both = tags.select("tag", F.explode(F.array(F.struct(F.lit("+").alias("strand"), S.ascii_lower("seq").alias("s")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(S.ascii_lower("seq")).alias("s")))).alias("x")).select("tag", "x.strand", "x.s")
+    parts = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(errors)))).withColumn("kmer", F.substring("s", F.col("part") * k + 1, F.lit(k)))
+    hits = parts.join(positions(target, k), "kmer").select("tag", "strand", "s", "seqnum", (F.col("pos") - F.col("part") * k).alias("at")).distinct()
+    w = Window.partitionBy("tag", "strand", "seqnum").orderBy("at")
+    near = F.col("at") - F.lag("at").over(w) <= F.length("s") + 2 * errors
+    runs = hits.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(w)).groupBy("tag", "strand", "s", "seqnum", "run").agg(F.greatest(F.min("at") - errors, F.lit(0)).alias("low"), F.max("at").alias("high"))
+    rows = runs.join(target.select("seqnum", S.ascii_lower("seq").alias("t")), "seqnum")
+    piece = F.expr(f"substring(t, int(low) + 1, int(high - low) + length(s) + {errors})")
+    kinds = f"tag {tags.schema['tag'].dataType.simpleString()}, strand string, seqnum {target.schema['seqnum'].dataType.simpleString()}, pos long, end long, distance int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(tag, strand, n, low + x, low + y, d) for tag, strand, n, low, s, text in batch.itertuples(index=False) for x, y, d in ends_within(s, text, errors)]
+            yield pd.DataFrame(out, columns=["tag", "strand", "seqnum", "pos", "end", "distance"])
+
+    return rows.select("tag", "strand", "seqnum", "low", "s", piece.alias("text")).mapInPandas(run, kinds)
+
+
 def best_maps(maps: DataFrame) -> DataFrame:
     """Of each tag's places those of its smallest distance."""
     least = maps.groupBy("tag").agg(F.min("distance").alias("distance"))

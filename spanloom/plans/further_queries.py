@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import ranges as R
+from spanloom.operators import alignments as L
 from spanloom.operators import annotation as A
 from spanloom.operators import genomes as G
 from spanloom.operators import joins as J
@@ -217,3 +218,10 @@ def corrected_reads(spark: SparkSession, d: str) -> DataFrame:
     r = reads(spark, d).select("seqnum", F.floor(F.col("seqnum") / 100_000_000).alias("ref"), (F.col("seqnum") % 100_000_000 * 60).alias("ref_start"), F.regexp_replace("seq", "(a{3,})", "$1a").alias("seq"))
     r = r.withColumn("qual", F.expr("repeat('+', length(seq))"))
     return Q.correct_homopolymers(r, s).groupBy("edits").agg(F.count("*").alias("n"))
+
+
+@query()
+def tags_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of 36 bases from every benchmark text, mapped onto all documents with up to two edits."""
+    t = items(spark, d).where("length(seq) >= 36").select(F.col("seqnum").alias("tag"), F.substring("seq", 1, 36).alias("seq"))
+    return L.best_maps(L.map_tags_with_gaps(t, dna(spark, d), 2, 12))

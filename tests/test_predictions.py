@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as S
+from spanloom.operators import alignments as L
 from spanloom.operators import annotation as A
 from spanloom.operators import genomes as G
 from spanloom.operators import joins as J
@@ -195,3 +196,21 @@ def test_parts_targets_and_dropped_rows(spark):
     assert sorted(r.ord for r in A.select_target_strand(df, "+").collect()) == [2, 3, 4]
     kept, gone = A.split_by(df, F.col("id") == "x")
     assert (kept.count(), gone.count()) == (2, 2)
+
+
+def test_tags_with_gaps_equal_a_full_search(spark):
+    rng = random.Random(73)
+    target = [bases(rng, 150) for _ in range(3)]
+    tags = [mutated(rng, target[k % 3][20 * k : 20 * k + 24], 0.08)[:24].ljust(24, "a") for k in range(6)]
+    t = spark.createDataFrame(list(enumerate(tags)), "tag long, seq string")
+    got = {tuple(r) for r in L.map_tags_with_gaps(t, spark.createDataFrame(list(enumerate(target)), "seqnum long, seq string"), 2, 8).collect()}
+    back = str.maketrans("acgt", "tgca")
+    want = set()
+    for k, tag in enumerate(tags):
+        for strand, s in (("+", tag), ("-", tag[::-1].translate(back))):
+            for n, text in enumerate(target):
+                for end in range(1, len(text) + 1):
+                    d, start = min((P.edits(s, text[x:end]), -x) for x in range(max(0, end - 27), end + 1))
+                    if d <= 2:
+                        want.add((k, strand, n, -start, end, d))
+    assert got == want and len(want) > 3
