@@ -83,27 +83,35 @@ def edit_distance(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.levenshtein("u", "v").alias("distance"))
 
 
-def chain_fragments(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, weight: np.ndarray, gap_cost: bool = True, max_gap: int | None = None, local: bool = False) -> list[tuple[float, list[int]]]:
+def chain_fragments(
+    s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, weight: np.ndarray, gap_cost: bool = True, max_gap: int | None = None, local: bool = False, overlaps: bool = False, factor: float = 1.0
+) -> list[tuple[float, list[int]]]:
     """Best global chain, or the best chain of each starting fragment, of colinear fragments.
 
     i goes before j if it ends before j starts in both sequences; a link costs the gaps in both
-    (L1), and none may be longer than max_gap. Among equal predecessors the first wins.
+    (L1), and none may be longer than max_gap. With `overlaps` it is enough that starts and ends grow in both
+    sequences, and a link costs the letters that both fragments cover as well. Weights count `factor` times.
+    Among equal predecessors the first wins.
     """
     order = np.lexsort((s2, s1))
-    score, before = weight.astype(float).copy(), np.full(len(order), -1)
+    own = weight * factor
+    score, before = own.astype(float).copy(), np.full(len(order), -1)
     for place, j in enumerate(order):
         prev = order[:place]
-        prev = prev[(e1[prev] < s1[j]) & (e2[prev] < s2[j])]
+        if overlaps:
+            prev = prev[(s1[prev] < s1[j]) & (s2[prev] < s2[j]) & (e1[prev] < e1[j]) & (e2[prev] < e2[j])]
+        else:
+            prev = prev[(e1[prev] < s1[j]) & (e2[prev] < s2[j])]
         if max_gap is not None:
             prev = prev[(s1[j] - e1[prev] <= max_gap) & (s2[j] - e2[prev] <= max_gap)]
         if not len(prev):
             continue
-        cost = (s1[j] - e1[prev] + s2[j] - e2[prev]) if gap_cost else 0
+        g1, g2 = s1[j] - e1[prev], s2[j] - e2[prev]
+        cost = (np.maximum(g1, 0) + np.maximum(g2, 0) if gap_cost else 0) + (np.maximum(1 - g1, 0) + np.maximum(1 - g2, 0) if overlaps else 0)
         value = score[prev] - cost
         k = int(value.argmax())
-        if value[k] > 0 or not local:
-            if value[k] > 0 or (not local and value[k] + weight[j] > score[j]):
-                score[j], before[j] = weight[j] + value[k], prev[k]
+        if value[k] > 0:
+            score[j], before[j] = own[j] + value[k], prev[k]
     if not len(order):
         return []
 
@@ -125,15 +133,28 @@ def chain_fragments(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarr
     return sorted(((s, trace(j)) for s, j in best.values()), key=lambda x: (-x[0], x[1]))
 
 
-def chain(matches: DataFrame, gap_cost: bool = True, max_gap: int | None = None, local: bool = False, min_score: float | None = None) -> DataFrame:
+def select_chains(chains: list[tuple[float, list[int]]], min_score: float | None = None, best: int | None = None, percent: float | None = None) -> list[tuple[float, list[int]]]:
+    """Of chains in order of score those of min_score or more, of the `best` highest different scores, within `percent` of the highest."""
+    if min_score is not None:
+        chains = [x for x in chains if x[0] >= min_score]
+    if best is not None:
+        classes = sorted({s for s, _ in chains}, reverse=True)[:best]
+        chains = [x for x in chains if x[0] in classes]
+    if percent is not None and chains:
+        top = max(s for s, _ in chains)
+        chains = [x for x in chains if x[0] >= top * (1 - percent / 100)]
+    return chains
+
+
+def chain(
+    matches: DataFrame, gap_cost: bool = True, max_gap: int | None = None, local: bool = False, min_score: float | None = None, overlaps: bool = False, factor: float = 1.0, best: int | None = None, percent: float | None = None
+) -> DataFrame:
     """matches (a, b, a_start, a_end, b_start, b_end, weight): (a, b, chain, score, n, a_start, a_end, b_start, b_end)."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         cols = [g[c].to_numpy() for c in ("a_start", "a_end", "b_start", "b_end", "weight")]
-        rows = []
-        for k, (s, members) in enumerate(chain_fragments(*cols, gap_cost, max_gap, local)):
-            if min_score is None or s >= min_score:
-                rows.append((g["a"].iloc[0], g["b"].iloc[0], k, s, len(members), *(int(f(c[members])) for c, f in zip(cols, (np.min, np.max, np.min, np.max), strict=False))))
+        found = select_chains(chain_fragments(*cols, gap_cost, max_gap, local, overlaps, factor), min_score, best, percent)
+        rows = [(g["a"].iloc[0], g["b"].iloc[0], k, s, len(members), *(int(f(c[members])) for c, f in zip(cols, (np.min, np.max, np.min, np.max), strict=False))) for k, (s, members) in enumerate(found)]
         return pd.DataFrame(rows, columns=["a", "b", "chain", "score", "n", "a_start", "a_end", "b_start", "b_end"])
 
     return matches.groupBy("a", "b").applyInPandas(run, "a long, b long, chain int, score double, n long, a_start long, a_end long, b_start long, b_end long")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,28 @@ def test_exact_repeat_candidates(spark):
     assert [(r.seqnum, r.start, r.end, r.similarity) for r in found] == [(1, 4, 163, 100.0)]
     two = spark.createDataFrame([(1, 1, 9, 90.0), (1, 5, 12, 95.0), (1, 20, 30, 85.0)], "seqnum long, start long, end long, similarity double")
     assert sorted(r.start for r in L.best_of_overlapping(two).collect()) == [5, 20] and [r.start for r in L.best_of_overlapping(two, none=True).collect()] == [20]
+
+
+@pytest.mark.parametrize("overlaps", [False, True])
+def test_chains_equal_all_subsets(overlaps):
+    rng = random.Random(74)
+    for _ in range(120):
+        n = rng.randrange(1, 7)
+        f = [(x, x + rng.randrange(1, 9), y, y + rng.randrange(1, 9), rng.randrange(1, 30)) for x, y in ((rng.randrange(30), rng.randrange(30)) for _ in range(n))]
+        best = 0.0
+        for mask in range(1, 1 << n):
+            part = sorted((f[k] for k in range(n) if mask >> k & 1), key=lambda z: (z[0], z[2]))
+            total, ok = 2 * part[0][4], True
+            for p, q in zip(part, part[1:], strict=False):
+                g1, g2 = q[0] - p[1], q[2] - p[3]
+                ok &= (p[0] < q[0] and p[2] < q[2] and p[1] < q[1] and p[3] < q[3]) if overlaps else (g1 > 0 and g2 > 0)
+                total += 2 * q[4] - max(g1, 0) - max(g2, 0) - (max(1 - g1, 0) + max(1 - g2, 0) if overlaps else 0)
+            best = max(best, total) if ok else best
+        (score, members), *_ = L.chain_fragments(*(np.array(c) for c in zip(*f, strict=True)), overlaps=overlaps, factor=2.0)
+        assert score == best and members == sorted(members, key=lambda k: f[k][0])
+
+
+def test_selected_chains():
+    chains = [(9.0, [1]), (9.0, [2]), (7.0, [3]), (4.0, [4])]
+    assert L.select_chains(chains, best=2) == chains[:3] and L.select_chains(chains, min_score=8) == chains[:2]
+    assert L.select_chains(chains, percent=25) == chains[:3] and L.select_chains([], percent=25) == []
