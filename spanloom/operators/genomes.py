@@ -83,6 +83,25 @@ def unique_matches(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return spelled.join(once(a), "word", "left_semi").join(once(b), "word", "left_semi").select("a", "b", "a_start", "b_start", "length")
 
 
+def supermaximal_repeats(seqs: DataFrame, k: int) -> DataFrame:
+    """(word, places): repeats of k bases or more that no longer repeat holds, and at how many places they occur.
+
+    Every maximal match of two places is an interval at both. A word of which some place lies inside a
+    longer interval is part of a longer repeat; one running maximum over the intervals of a sequence tells.
+    """
+    from pyspark.sql import Window
+
+    from spanloom.functions import sequences as S
+    from spanloom.operators.alignments import repeats
+
+    m = repeats(seqs, k)
+    at = m.select(F.col("a").alias("seqnum"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionByName(m.select(F.col("b").alias("seqnum"), F.col("b_start").alias("start"), F.col("b_end").alias("end"))).distinct()
+    w = Window.partitionBy("seqnum").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    held = at.withColumn("held", F.coalesce(F.max("end").over(w) >= F.col("end"), F.lit(False)))
+    words = held.join(seqs.select("seqnum", S.ascii_lower("seq").alias("t")), "seqnum").select(F.expr("substring(t, int(start) + 1, int(end - start) + 1)").alias("word"), "held")
+    return words.groupBy("word").agg(F.count("*").alias("places"), F.max("held").alias("held")).where("NOT held").select("word", "places")
+
+
 def unique_prefixes(queries: DataFrame, target: DataFrame, longest: int) -> DataFrame:
     """(seqnum, pos, length): at each place of the queries the shortest prefix that occurs exactly once in the target, up to `longest`.
 

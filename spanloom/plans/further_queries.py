@@ -225,3 +225,8 @@ def tags_with_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Tags of 36 bases from every benchmark text, mapped onto all documents with up to two edits."""
     t = items(spark, d).where("length(seq) >= 36").select(F.col("seqnum").alias("tag"), F.substring("seq", 1, 36).alias("seq"))
     return L.best_maps(L.map_tags_with_gaps(t, dna(spark, d), 2, 12))
+
+
+@query()
+def supermaximal_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return G.supermaximal_repeats(items(spark, d), 12).select(F.md5("word").alias("md5"), F.length("word").alias("length"), "places")

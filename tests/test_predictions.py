@@ -214,3 +214,18 @@ def test_tags_with_gaps_equal_a_full_search(spark):
                     if d <= 2:
                         want.add((k, strand, n, -start, end, d))
     assert got == want and len(want) > 3
+
+
+def test_supermaximal_repeats(spark):
+    rng = random.Random(75)
+    core = bases(rng, 14)
+    seqs = [bases(rng, 20) + core + bases(rng, 9) + core[3:11] + bases(rng, 6), core + bases(rng, 12) + core[:9], "acacacacac"]
+    places = {}
+    for n, s in enumerate(seqs):
+        for i in range(len(s)):
+            for j in range(i + 4, len(s) + 1):
+                places.setdefault(s[i:j], []).append((n, i))
+    repeated = {w: p for w, p in places.items() if len(p) > 1}
+    want = {w: len(p) for w, p in repeated.items() if not any(w != x and w in x for x in repeated)}
+    got = {r.word: r.places for r in G.supermaximal_repeats(spark.createDataFrame(list(enumerate(seqs)), "seqnum long, seq string"), 4).collect()}
+    assert got == want
