@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle files of a write go as soon as it has ended: the table it wrote stands for them.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that goes to a Python worker: the default bounds rows only, and rows here are whole texts.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _written: list[str] = []
 _scopes: list[list[str]] = []
 
@@ -27,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound batches to Python workers by bytes, for this session from here on; a smaller bound that is set stays."""
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > _BATCH_BYTES:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet below the shared folder and read it back.
 
@@ -63,6 +72,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 def temporary(spark: SparkSession, paths: list[str]) -> Iterator[None]:
     """Delete the tables of an earlier scope listed in `paths`, whose results have been written, and list those of this one."""
     _delete(spark, paths)
+    bounded_batches(spark)
     _scopes.append(paths)
     try:
         yield
@@ -87,4 +97,5 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
