@@ -164,6 +164,44 @@ def test_chain_takes_the_colinear_fragments(spark):
     assert (r.score, r.n) == (50 + 40 - (2 + 3), 2)
 
 
+def test_chains_of_many_pairs(spark):
+    """Thousands of pairs, some over several batches, in seconds; each as its fragments alone give."""
+    import time
+
+    import numpy as np
+
+    rng = random.Random(31)
+    rows = []
+    for a in range(8000):
+        for _ in range(40 if a % 1000 == 7 else rng.randrange(1, 3)):
+            x, y, n = rng.randrange(200), rng.randrange(200), rng.randrange(20, 40)
+            rows.append((None if a == 5 else a, a % 3 or None, x, x + n, y, y + n, float(n)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "a long, b long, a_start long, a_end long, b_start long, b_end long, weight double").cache()
+    df.count()
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[4])):
+        groups.setdefault(r[:2], []).append(r[2:])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for how in ({}, {"max_gap": 60, "local": True, "min_score": 25}):
+            began = time.time()
+            got = {(r.a, r.b, r.chain): tuple(r)[3:] for r in L.chain(df, **how).collect()}
+            assert time.time() - began < 25
+            want = {}
+            for key, g in groups.items():
+                cols = [np.array(c) for c in zip(*g, strict=True)]
+                args = {k: v for k, v in how.items() if k != "min_score"}
+                for k, (score, members) in enumerate(L.select_chains(L.chain_fragments(*cols, **args), how.get("min_score"))):
+                    m = [g[i] for i in members]
+                    want[*key, k] = (score, len(m), min(x[0] for x in m), max(x[1] for x in m), min(x[2] for x in m), max(x[3] for x in m))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert L.chain(df.where("false")).count() == 0
+
+
 def test_single_linkage(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6)], "a long, b long")
     assert {tuple(r) for r in L.single_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (5, 5), (6, 5)}
