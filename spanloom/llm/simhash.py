@@ -253,7 +253,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Copies of a row meet as one, with their number, before any group is formed.
     pairs = named.groupBy("id", "k").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")
-    chosen = pairs.join(near, "k").groupBy("group").agg(F.min(rank).alias("x")).select("x.id", "x.k", "x.n")
+    # So do the rows of one text, with the best of them: a join by text moves one row for all its copies.
+    best = pairs.groupBy("k").agg(F.min(rank).alias("x"))
+    chosen = best.join(near, "k").groupBy("group").agg(F.min("x").alias("x")).select("x.id", "x.k", "x.n")
     chosen = materialize(chosen, "chosen")
     # The row travels as one column, so that no name of its own meets one of ours.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"))

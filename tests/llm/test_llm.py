@@ -264,6 +264,26 @@ def test_simhash(spark, odd, monkeypatch):
     assert simhash.near_components(odd.where("false"), "doc_id", "text").count() == 0
 
 
+def test_copies_meet_before_the_join_by_text(spark, monkeypatch):
+    """However many rows hold one text, the join that finds their group sees one of them."""
+    rng = random.Random(47)
+    texts = [prose(rng, 40) for _ in range(4)]
+    rows = [(None if k == 9 else k, texts[0]) for k in range(400)] + [(1000 + k, t) for k, t in enumerate(texts[1:])]
+    seen = {}
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (seen.update({name: df}), write(df, name))[1])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1000, 1001, 1002]
+    plan = seen["chosen"]._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    todo = [plan.executedPlan()]
+    while "Join" not in todo[0].nodeName():
+        node = todo.pop(0)
+        inner = node.plan() if "QueryStage" in node.nodeName() else None
+        todo = ([inner] if inner is not None else [node.children().apply(k) for k in range(node.children().size())]) + todo
+    assert todo[0].metrics().apply("numOutputRows").value() == len(texts)
+
+
 def test_majority_of_many_hashes():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 63, 1500, dtype=np.int64).astype(np.uint64)
