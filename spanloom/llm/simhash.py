@@ -100,6 +100,11 @@ DISTANCE = 4
 MASKS = [_signed(m) for m in _masks(range(64), 7, 3)]
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits; counted unsigned, as the count of a signed number is that of its absolute value."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def connect(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the graph of fingerprints at most DISTANCE bits apart, breadth first.
 
@@ -112,7 +117,7 @@ def connect(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             x = frontier.pop()
-            near = np.bitwise_count(left ^ x) <= DISTANCE
+            near = _apart(left, x) <= DISTANCE
             got = left[near]
             if len(got):
                 a.append(np.full(len(got), x))
@@ -140,7 +145,7 @@ def _sorted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         # Most buckets are pairs: one comparison for all of them.
         two = first[size == 2]
         x, y = fp[two], fp[two + 1]
-        near = (np.bitwise_count(x ^ y) <= DISTANCE) & (x != y)
+        near = (_apart(x, y) <= DISTANCE) & (x != y)
         a.append(x[near])
         b.append(y[near])
         for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
