@@ -99,3 +99,27 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """All rows of `left` with the columns of `right`, whose keys are unique; nulls where it has none.
+
+    Rows of `right` where `hot` holds must have a proven bound: they go out by broadcast, so a key that
+    holds much of `left` moves nothing; only the other rows of `left` are dealt out by key.
+    """
+    few, rest = right.where(hot), right.where(~hot)
+    met = left.join(F.broadcast(few), keys)
+    unmet = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    return met.unionByName(unmet)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside when the block ends; what is to stay is written after it, or to an outer scope's list."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        _delete(spark, paths)

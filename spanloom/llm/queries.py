@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import contamination, licenses, packing, paragraphs, quality, sharding, simhash, suffixes, token_files, topk
+from spanloom.llm import centroids, codebooks, contamination, licenses, packing, paragraphs, quality, sharding, simhash, suffixes, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_substrings": paragraphs.op9_substrings,
     "op10_topk_search": topk.op10_topk_search,
+    "op11_centroids": centroids.op11_centroids,
+    "op13_vector_codes": codebooks.op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
     "op10_topk_search": topk.OP10_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op13_vector_codes": codebooks.OP13_SQL,
 }
