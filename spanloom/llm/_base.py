@@ -17,6 +17,7 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _written: list[str] = []
 _scopes: list[list[str]] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +37,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(_BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet below the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read instead of a recomputation, and fixes
-    whatever was non-deterministic. The folder goes when the Python process ends.
+    whatever was non-deterministic. The folder goes when the Python process ends, or with the innermost
+    `scratch` block around it unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
@@ -55,6 +57,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     _written.append(path)
     for scope in _scopes:
         scope.append(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -115,11 +119,11 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) ->
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables written inside when the block ends; what is to stay is written after it, or to an outer scope's list."""
+    """Delete the tables written inside, but for those to be kept, when the block ends."""
     paths: list[str] = []
-    _scopes.append(paths)
+    _scratch.append(paths)
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scratch.pop()
         _delete(spark, paths)

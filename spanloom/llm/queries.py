@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import centroids, codebooks, contamination, licenses, packing, paragraphs, quality, sharding, simhash, suffixes, token_files, topk
+from spanloom.llm import centroids, class_lm, codebooks, contamination, licenses, packing, paragraphs, quality, sharding, simhash, suffixes, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substrings": paragraphs.op9_substrings,
     "op10_topk_search": topk.op10_topk_search,
     "op11_centroids": centroids.op11_centroids,
+    "op12_class_lm": class_lm.op12_class_lm,
     "op13_vector_codes": codebooks.op13_vector_codes,
 }
 
