@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,26 +50,27 @@ def expected_shulen(d: float, p: float, length: int) -> float:
     or because one of its bases has changed.
     """
 
-    # Logarithms throughout: the binomials and powers leave the range of floating point from about 50 bases on.
+    if d <= 0:
+        return float(length)
+    # The mean is the sum over x of the chance that a substring of x bases is not yet unique. Logarithms throughout: the
+    # binomials and powers leave the range of floating point from about 50 bases on.
     gc, at = (math.log(y) if y > 0 else -math.inf for y in (p, 0.5 - p))
-
-    def shorter(x: int) -> float:
-        chance = 0.0
-        for k in range(x + 1):
-            word = (k * gc if k else 0.0) + ((x - k) * at if x > k else 0.0)
-            if word == -math.inf:
-                continue
-            ways = math.lgamma(x + 1) - math.lgamma(k + 1) - math.lgamma(x - k + 1) + x * math.log(2)
-            chance += math.exp(ways + word + length * math.log1p(-min(math.exp(word), 1 - 1e-16)))
-        return chance * (1 - (1 - d) ** x)
-
-    total, before = 0.0, 0.0
-    for x in range(1, length + 1):
-        now = shorter(x)
-        total += x * (now - before)
-        before = now
-        if now > 1 - 1e-9:
+    total, factorials, log_kept, x = 0.0, np.zeros(1), math.log1p(-d) if d < 1 else -math.inf, 0
+    while x < length:
+        same = math.exp(x * log_kept) if x else 1.0
+        if len(factorials) <= x:
+            factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * x + 2)))])
+        k = np.arange(x + 1)
+        word = np.where(k > 0, k * max(gc, -1e300), 0) + np.where(k < x, (x - k) * max(at, -1e300), 0)
+        ways = factorials[x] - factorials[k] - factorials[x - k] + x * math.log(2)
+        chance = float(np.exp(ways + word + length * np.log1p(-np.minimum(np.exp(word), 1 - 1e-16))).sum())
+        if 1 - chance < 1e-12:
+            # Chance has nothing left to say: what follows is a geometric series.
+            return total + same * (1 - math.exp((length - x) * log_kept)) / d
+        total += 1 - chance * (1 - same)
+        if chance * (1 - same) > 1 - 1e-12:
             break
+        x += 1
     return total
 
 

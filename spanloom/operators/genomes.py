@@ -8,55 +8,45 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import stats
 from spanloom.operators import kmers as K
+from spanloom.operators import ranks as R
 
 
-def _unique_name(df: DataFrame) -> DataFrame:
-    return df.select("genome", "seq", F.monotonically_increasing_id().alias("seqnum"))
-
-
-def _words(genomes: DataFrame, k: int) -> DataFrame:
-    """(genome, word, n): k-mers of each genome, counted."""
-    p = K.positions(genomes.select(F.struct("genome", "seqnum").alias("seqnum"), "seq"), k, coded=k <= K.CODED)
-    return p.groupBy(F.col("seqnum.genome").alias("genome"), F.col(p.columns[0]).alias("word")).agg(F.count("*").alias("n"))
+def shustring_sums(genomes: DataFrame) -> DataFrame:
+    """(a, b, sum, whole, n): over all n places of genome a, the sum of the lengths of the longest substring there that b holds, of any length.
 
+    `whole` is what the sum would be if every place matched to its end. Genomes are few: their names and
+    a row for each pair of a partition and a genome come to the driver; suffixes are ranked as a table.
+    """
+    names = [r[0] for r in genomes.select("genome").where("genome IS NOT NULL").distinct().orderBy("genome").collect()]
+    kind = genomes.schema["genome"].dataType.simpleString()
+    known = genomes.sparkSession.createDataFrame(list(enumerate(names)), f"g int, genome {kind}")
+    numbered = genomes.join(F.broadcast(known), "genome").select("g", F.monotonically_increasing_id().alias("seqnum"), "seq")
+    sums = R.matched_sums(numbered, len(names))
+    side = lambda c: known.select(F.col("g").alias(c), F.col("genome").alias(f"{c}_"))
+    return sums.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "sum", "whole", "n")
 
-def shustring_sums(genomes: DataFrame, longest: int) -> DataFrame:
-    """(a, b, sum, n): over all n places of genome a, the sum of the lengths of the longest substring there that b holds, counted up to `longest`.
 
-    A place adds one for each length whose word there occurs in b, so the sum is a count of words:
-    for each length one aggregation of each genome's words and one join on the word. No suffix
-    index and no place is ever sorted.
-    """
-    g = _unique_name(genomes)
-    sums = None
-    for k in range(1, longest + 1):
-        w = _words(g, k)
-        a = w.select(F.col("genome").alias("a"), "word", "n")
-        met = a.join(w.select(F.col("genome").alias("b"), "word"), "word").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("sum"))
-        sums = met if sums is None else sums.unionByName(met)
-    places = _words(g, 1).groupBy(F.col("genome").alias("a")).agg(F.sum("n").alias("n"))
-    return sums.groupBy("a", "b").agg(F.sum("sum").alias("sum")).join(places, "a").select("a", "b", "sum", "n")
-
-
-def distances(genomes: DataFrame, longest: int) -> DataFrame:
+def distances(genomes: DataFrame) -> DataFrame:
     """(a, b, shulen, divergence, kr): mean length of shortest unique substrings both ways, and the distances they stand for.
 
     The mean is one more than the mean longest match. Divergence is the one whose expected mean that
-    is (the larger of both ways), kr the Jukes-Cantor distance of it. Pairs of genomes are few; each
-    is solved in an Arrow batch.
+    is (the larger of both ways), kr the Jukes-Cantor distance of it; where every place matches to its end it is 0. Pairs
+    of genomes are few; each is solved in an Arrow batch.
     """
     g = genomes.withColumn("gc", F.length("seq") - F.length(F.translate("seq", "GCgc", "")))
     shape = g.groupBy("genome").agg(F.sum(F.length("seq")).alias("length"), F.sum("gc").alias("gc"))
-    s = shustring_sums(genomes, longest).withColumn("shulen", F.col("sum") / F.col("n") + 1)
+    s = shustring_sums(genomes).withColumn("shulen", F.col("sum") / F.col("n") + 1)
     j = s.join(shape.withColumnRenamed("genome", "b"), "b")
     kind = genomes.schema["genome"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            d = [stats.divergence(x, g / (2 * n) if n else 0.25, int(n)) for x, n, g in zip(b["shulen"], b["length"], b["gc"], strict=True)]
+            cols = (b[c] for c in ("shulen", "length", "gc", "sum", "whole"))
+            d = [0.0 if same == whole else stats.divergence(x, g / (2 * n) if n else 0.25, int(n)) for x, n, g, same, whole in zip(*cols, strict=True)]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "shulen": b["shulen"], "d": d})
 
-    one = j.select("a", "b", "shulen", "length", "gc").mapInPandas(run, f"a {kind}, b {kind}, shulen double, d double")
+    one = j.select("a", "b", "shulen", "length", "gc", "sum", "whole").mapInPandas(run, f"a {kind}, b {kind}, shulen double, d double")
+    one = one.checkpoint()
     other = one.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("d").alias("back"))
     both = one.join(other, ["a", "b"]).withColumn("divergence", F.greatest("d", "back"))
     return both.select("a", "b", "shulen", "divergence", stats.jukes_cantor(F.col("divergence")).alias("kr"))
@@ -102,18 +92,9 @@ def supermaximal_repeats(seqs: DataFrame, k: int) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("places"), F.max("held").alias("held")).where("NOT held").select("word", "places")
 
 
-def unique_prefixes(queries: DataFrame, target: DataFrame, longest: int) -> DataFrame:
-    """(seqnum, pos, length): at each place of the queries the shortest prefix that occurs exactly once in the target, up to `longest`.
-
-    For each length the words of the target that occur once are joined with those query places
-    that have not found a shorter one.
-    """
-    out, q = None, queries.select("seqnum", "seq")
-    for k in range(1, longest + 1):
-        once = K.counts(target, k).where("n = 1").select("kmer")
-        hit = K.positions(q, k).join(once, "kmer", "left_semi").select("seqnum", "pos", F.lit(k).alias("length"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("seqnum", "pos").agg(F.min("length").alias("length"))
+def unique_prefixes(queries: DataFrame, target: DataFrame) -> DataFrame:
+    """(seqnum, pos, length): at each place of the queries the shortest prefix, of any length, that occurs exactly once in the target."""
+    return R.unique_prefixes(queries, target)
 
 
 def genome_of(seqs: DataFrame, genome: Column) -> DataFrame:

@@ -135,29 +135,11 @@ def spaced_seeds(seqs: DataFrame, mask: str) -> DataFrame:
     return p.select(F.concat(*[F.substring("kmer", i + 1, 1) for i in kept]).alias("kmer"), "seqnum", "pos")
 
 
-def longest_matches(queries: DataFrame, target: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
-    """Matching statistics (seqnum, pos, length): at each place the longest substring of plain bases, up to `longest`, that the target holds.
+def longest_matches(queries: DataFrame, target: DataFrame, shortest: int = 1) -> DataFrame:
+    """Matching statistics (seqnum, pos, length): at each place the longest substring of plain bases, of any length, that the target holds."""
+    from spanloom.operators.ranks import longest_matches as by_ranks
 
-    Each place's length is found by halving, in one left join for each step. The lengths that a step asks for
-    differ by twice the step, so all steps together cut the target into words of each length once.
-    """
-    q = queries.select("seqnum", S.ascii_lower("seq").alias("seq"))
-    at = q.where(F.length("seq") > 0).select("seqnum", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("p"))
-    at = at.select("seqnum", F.col("p").alias("pos"), F.substring("seq", F.col("p"), F.lit(longest)).alias("w"), F.lit(0).alias("len"))
-    step = 1
-    while step * 2 <= longest:
-        step *= 2
-    numbered = target.select(F.lit(0).alias("seqnum"), "seq")
-    while step:
-        words = None
-        for size in range(step, longest + 1, 2 * step):
-            w = (counts if size <= CODED else positions)(numbered, size).select(F.col("kmer").alias("x"))
-            words = w if words is None else words.unionByName(w)
-        hits = words.distinct().withColumn("hit", F.lit(True))
-        key = F.when(F.length("w") >= F.col("len") + step, F.substring("w", F.lit(1), F.col("len") + step))
-        at = at.withColumn("x", key).join(hits, "x", "left").select("seqnum", "pos", "w", (F.col("len") + F.when(F.col("hit"), step).otherwise(0)).alias("len"))
-        step //= 2
-    return at.where(F.col("len") >= shortest).select("seqnum", (F.col("pos") - 1).alias("pos"), F.col("len").alias("length"))
+    return by_ranks(queries, target, shortest)
 
 
 def suffix_prefix_matches(reads: DataFrame, min_length: int) -> DataFrame:

@@ -122,25 +122,41 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ITEMS = f"items AS (SELECT item_id AS seqnum, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_ALPHABET}', '{_BASES}') AS seq FROM benchmark)"
-_LONGEST = 16
-_SUMS = " UNION ALL ".join(f"SELECT x.seqnum % 4 AS a, y.g AS b, count(*) AS n FROM ({_kmers_sql(k, 'items')}) x JOIN (SELECT DISTINCT seqnum % 4 AS g, kmer FROM ({_kmers_sql(k, 'items')})) y ON x.kmer = y.kmer AND y.g <> x.seqnum % 4 GROUP BY ALL" for k in range(1, _LONGEST + 1))
+# Every place of every text against all suffixes in SQL would be quadratic, so SQL takes what sorting all suffixes gives: shared
+# bases with the nearest suffix of each genome before and after, from the text itself.
+_SUFFIXES = f"""{_ITEMS}, s AS MATERIALIZED (SELECT {{genome}} AS g, seqnum, pos, substring(seq, pos + 1) AS w FROM (SELECT seqnum, seq, unnest(range(0, length(seq))) AS pos FROM items)),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, seqnum, pos) AS o FROM s), gs AS (SELECT DISTINCT g AS b FROM s)"""
 
 
-@query(f"WITH {_ITEMS}, s AS ({_SUMS}), t AS (SELECT seqnum % 4 AS a, sum(length(seq)) AS n FROM items GROUP BY 1) SELECT a, b, CAST(sum(s.n) AS BIGINT) AS sum, CAST(any_value(t.n) AS BIGINT) AS n FROM s JOIN t USING (a) GROUP BY a, b")
+@query(f"""WITH {_SUFFIXES.format(genome="seqnum % 4")}, p AS (SELECT n.g AS a, gs.b, n.o, n.w, max(CASE WHEN n.g = gs.b THEN n.o END) OVER (PARTITION BY gs.b ORDER BY n.o) AS f, min(CASE WHEN n.g = gs.b THEN n.o END) OVER (PARTITION BY gs.b ORDER BY n.o DESC) AS r FROM n CROSS JOIN gs),
+m AS (SELECT p.a, p.b, p.o, p.w, x.w AS y FROM p JOIN n x ON x.o = p.f WHERE p.a <> p.b UNION ALL SELECT p.a, p.b, p.o, p.w, x.w FROM p JOIN n x ON x.o = p.r WHERE p.a <> p.b),
+k AS (SELECT a, b, o, max(CASE WHEN starts_with(w, y) THEN length(y) WHEN starts_with(y, w) THEN length(w) ELSE list_position(list_transform(range(1, least(length(w), length(y)) + 1), lambda i: w[i] <> y[i]), true) - 1 END) AS l FROM m GROUP BY a, b, o),
+t AS (SELECT g AS a, count(*) AS n FROM s GROUP BY 1)
+SELECT a, b, CAST(sum(l) AS BIGINT) AS sum, CAST(any_value(t.n) AS BIGINT) AS n FROM k JOIN t USING (a) GROUP BY a, b""")
 def shustring_sums(spark: SparkSession, d: str) -> DataFrame:
-    return G.shustring_sums(G.genome_of(items(spark, d), F.col("seqnum") % 4), _LONGEST)
+    return G.shustring_sums(G.genome_of(items(spark, d), F.col("seqnum") % 4)).drop("whole")
 
 
 @query()
 def genome_distances(spark: SparkSession, d: str) -> DataFrame:
-    return G.distances(G.genome_of(items(spark, d), F.col("seqnum") % 4), _LONGEST)
+    return G.distances(G.genome_of(items(spark, d), F.col("seqnum") % 4))
 
 
-@query(f"""WITH {_ITEMS}, u AS ({" UNION ALL ".join(f"SELECT x.seqnum, x.pos, {k} AS length FROM ({_kmers_sql(k, 'items')}) x JOIN (SELECT kmer FROM ({_kmers_sql(k, 'items')}) WHERE seqnum % 2 = 1 GROUP BY 1 HAVING count(*) = 1) y USING (kmer) WHERE x.seqnum % 2 = 0" for k in range(1, 13))})
-SELECT seqnum, CAST(pos AS INTEGER) AS pos, CAST(min(length) AS INTEGER) AS length FROM u GROUP BY ALL""")
+@query(f"""WITH {_SUFFIXES.format(genome="seqnum % 2")}, w AS (SELECT *, count(CASE WHEN g = 1 THEN 1 END) OVER (ORDER BY o) AS i FROM n), t AS MATERIALIZED (SELECT i, w FROM w WHERE g = 1),
+m AS (SELECT q.seqnum, q.pos, q.w, t.w AS y FROM w q JOIN t ON t.i BETWEEN q.i - 1 AND q.i + 2 WHERE q.g = 0),
+k AS (SELECT seqnum, pos, CASE WHEN starts_with(w, y) THEN length(y) WHEN starts_with(y, w) THEN length(w) ELSE list_position(list_transform(range(1, least(length(w), length(y)) + 1), lambda i: w[i] <> y[i]), true) - 1 END AS l FROM m),
+z AS (SELECT seqnum, pos, list_sort(list(l)) AS x FROM k GROUP BY 1, 2)
+SELECT seqnum, CAST(pos AS INTEGER) AS pos, CAST(coalesce(x[-2], 0) + 1 AS INTEGER) AS length FROM z WHERE x[-1] > coalesce(x[-2], 0)""")
 def unique_prefixes(spark: SparkSession, d: str) -> DataFrame:
     s = items(spark, d)
-    return G.unique_prefixes(s.where("seqnum % 2 = 0"), s.where("seqnum % 2 = 1"), 12)
+    return G.unique_prefixes(s.where("seqnum % 2 = 0"), s.where("seqnum % 2 = 1"))
+
+
+@query()
+def matching_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """For each benchmark text, the places and the sum and maximum of their longest matches in all documents."""
+    m = K.longest_matches(items(spark, d), dna(spark, d))
+    return m.groupBy("seqnum").agg(F.count("*").alias("places"), F.sum("length").alias("sum"), F.max("length").alias("longest"))
 
 
 @query(f"""WITH {_ITEMS}, a AS (SELECT * FROM ({_kmers_sql(12, 'items')}) WHERE seqnum % 2 = 0), b AS (SELECT * FROM ({_kmers_sql(12, 'items')}) WHERE seqnum % 2 = 1),

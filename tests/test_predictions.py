@@ -151,10 +151,10 @@ def test_genome_comparison(spark):
     rows = [("x", one[:200]), ("x", one[200:]), ("y", mutated(rng, one, 0.1)), ("z", bases(rng, 250))]
     df = spark.createDataFrame(rows, "genome string, seq string")
     texts = {g: [s for h, s in rows if h == g] for g in "xyz"}
-    for r in G.shustring_sums(df, 9).collect():
-        total = sum(max(k for k in range(10) if k <= len(s) - i and any(s[i : i + k] in t for t in texts[r.b])) for s in texts[r.a] for i in range(len(s)))
+    for r in G.shustring_sums(df).collect():
+        total = sum(max(k for k in range(301) if k <= len(s) - i and any(s[i : i + k] in t for t in texts[r.b])) for s in texts[r.a] for i in range(len(s)))
         assert (r.sum, r.n) == (total, sum(map(len, texts[r.a])))
-    kr = {(r.a, r.b): r.kr for r in G.distances(df, 20).collect()}
+    kr = {(r.a, r.b): r.kr for r in G.distances(df).collect()}
     assert kr["x", "y"] == kr["y", "x"] < kr["x", "z"]
 
 
@@ -177,8 +177,8 @@ def test_unique_matches_and_prefixes(spark):
                     if n >= 5 and count(s[p : p + n], a) == 1 == count(s[p : p + n], b):
                         want.add((i, j, p, q, n))
     assert {tuple(r) for r in G.unique_matches(frame(a), frame(b), 5).collect()} == want
-    short = {(i, p): next((k for k in range(1, 8) if p + k <= len(s) and count(s[p : p + k], b) == 1), None) for i, s in enumerate(a) for p in range(len(s))}
-    assert {(r.seqnum, r.pos): r.length for r in G.unique_prefixes(frame(a), frame(b), 7).collect()} == {k: v for k, v in short.items() if v}
+    short = {(i, p): next((k for k in range(1, 80) if p + k <= len(s) and count(s[p : p + k], b) == 1), None) for i, s in enumerate(a) for p in range(len(s))}
+    assert {(r.seqnum, r.pos): r.length for r in G.unique_prefixes(frame(a), frame(b)).collect()} == {k: v for k, v in short.items() if v}
 
 
 def test_descendants_and_cycles(spark):
