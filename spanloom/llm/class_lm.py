@@ -1,11 +1,11 @@
 """Language-model scores by class n-grams: exchange clustering puts words into classes, and a text is scored by
 class transitions times word emissions.
 
-Every count is over all training tokens and lives in tables keyed by word: words, pairs of neighbouring words, and for each word
-the classes of its neighbours. A round of exchange looks up the class of each pair's neighbour, so that every word
-knows its counts by class, and moves each word to the class that raises the likelihood of the class bigrams most, all
-words at once against the classes of the round before. Only class matrices, of a size that the number of classes fixes, and
-the most frequent words, of which there are HOT at most, reach the driver.
+Every count is over all training tokens. Exchange takes the frequent words first, of which there are HOT at most: they start in
+classes by hash, all other words in one class of their own, and for a number of rounds each frequent word moves to the class that
+raises the likelihood of the class bigrams most, all at once against the classes of the round before. Then all the other words,
+however many, move out of their common class in the same way, each by the classes of its own neighbours. Words, pairs and counts by class are
+tables keyed by word; the driver holds the frequent words and class matrices, both of fixed size.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from spanloom.llm import _flat
 from spanloom.llm._base import look_up, materialize, scratch, table
 
-#: A word with at least one in so many tokens is known to every task; there are no more than that many.
+#: A word with at least one in so many tokens is a frequent one, known to every task; there are no more than that many, and the end token.
 HOT = 1 << 17
 #: Key of the end token, whose word is empty as no other.
 END = 0
 #: Words whose moves are weighed at once.
 ROWS = 2048
+#: Distinct pairs that a task sums up before it hands them on.
+PAIRS = 1 << 20
 
 
 def _values(salt: int) -> np.ndarray:
@@ -42,7 +44,7 @@ def token_keys(buf: np.ndarray, off: np.ndarray, salt: int = 0) -> tuple[np.ndar
     at = np.arange(len(s)) + row
     keys, owner = np.zeros(len(s) + rows, np.int64), np.repeat(np.arange(rows), np.bincount(row, minlength=rows) + 1)
     start, end = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    keys[at], start[at], end[at] = _flat.signed(_flat.span_hashes(_values(salt)[buf], s, e)), s, e
+    keys[at], start[at], end[at] = _flat.signed(_flat.span_hashes(_values(salt)[buf], s, e) >> np.uint64(1)), s, e
     return keys, owner, start, end
 
 
@@ -72,19 +74,65 @@ def _count_words(salt: int):
     return run
 
 
-def _count_pairs(salt: int):
+def _flushed(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, n) with the counts of equal pairs summed up over some PAIRS pairs at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > PAIRS:
+            held = [_summed(held)]
+            size = len(held[0][0])
+            if size > PAIRS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b", "n"])
+                held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names=["a", "b", "n"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], hot: np.ndarray, salt: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, ids, keys of the tokens before, ids of those) of all tokens, block by block; the id of a word that is not frequent is len(hot)."""
+    for batch in batches:
+        buf, off = _flat.buffer_of(batch.column(0))
+        for _, _, b, o in _flat.blocks(buf, off, 1 << 20):
+            key = token_keys(b, o, salt)[0]
+            at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            ids = np.where(hot[at] == key, at, len(hot))
+            # Before the first token of a row stands the end token of the row before, which is where every row begins.
+            end = np.searchsorted(hot, END)
+            yield key, ids, np.append(END, key[:-1]), np.append(end, ids[:-1])
+
+
+def _count_pairs(hot: np.ndarray, salt: int):
+    """Pairs by id (a and b, below zero: -1 - id) of which one word is frequent at least, and by key of two others: (a, b, n)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = _flat.buffer_of(batch.column(0))
-            parts = []
-            for _, _, b, o in _flat.blocks(buf, off, 1 << 20):
-                keys = token_keys(b, o, salt)[0]
-                # Before the first token of a row stands the end token of the row before, which is where every row begins.
-                parts.append((np.append(END, keys[:-1]), keys, np.ones(len(keys), np.int64)))
-                if len(parts) == 4:
-                    parts = [_summed(parts)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(parts)], names=["v", "w", "n"])
+        def parts():
+            for key, ids, key0, ids0 in _neighbours(batches, hot, salt):
+                rare = (ids == len(hot)) & (ids0 == len(hot))
+                code, n = np.unique(ids0[~rare] * (len(hot) + 1) + ids[~rare], return_counts=True)
+                yield -1 - code // (len(hot) + 1), -1 - code % (len(hot) + 1), n
+                yield key0[rare], key[rare], np.ones(int(rare.sum()), np.int64)
+
+        yield from _flushed(parts())
+
+    return run
+
+
+def _count_classes(hot: np.ndarray, cls: np.ndarray, classes: int, salt: int):
+    """(a, b, n): how often each word a that is not frequent stands beside each class: codes b of `Profiles`."""
+    wide = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for key, ids, key0, ids0 in _neighbours(batches, hot, salt):
+                now, before = ids == len(hot), ids0 == len(hot)
+                same = now & before & (key == key0)
+                yield key[now], np.where(same, 2 * wide, cls[ids0])[now], np.ones(int(now.sum()), np.int64)
+                other = before & ~same
+                yield key0[other], wide + cls[ids][other], np.ones(int(other.sum()), np.int64)
+
+        yield from _flushed(parts())
 
     return run
 
@@ -96,50 +144,45 @@ def _gain(g: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Words of a batch: counts by class of the tokens before (`before`) and after (`after`), pairs of a word with itself apart."""
+    """Words of a batch: counts by class of the tokens before (`before`) and after (`after`), pairs of a word with itself apart.
+
+    Classes are 0 to k - 1, then that of the end token, then that of words that have not moved yet.
+    """
 
-    key: np.ndarray
-    n: np.ndarray
     own: np.ndarray
     before: np.ndarray
     after: np.ndarray
     same: np.ndarray
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch, classes: int) -> Profiles:
-        lists = batch.column("x")
-        flat = lists.flatten()
-        code, n = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
-        rows, wide = batch.num_rows, classes + 1
-        row = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
-        # Codes below zero name the word's own class; then come classes before, classes after, and the word itself.
-        counts = np.zeros((rows, 2 * wide + 1), np.int64)
-        mine = code < 0
-        counts[row[~mine], code[~mine]] = n[~mine]
-        own, total = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        own[row[mine]], total[row[mine]] = -1 - code[mine], n[mine]
-        return cls(batch.column("key").to_numpy(), total, own, counts[:, :wide], counts[:, wide : 2 * wide], counts[:, -1])
+    def of(cls, own: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, wide: int) -> Profiles:
+        """From counts n of (row, code): codes are classes before, classes after, and the word itself."""
+        counts = np.bincount(row * (2 * wide + 1) + code, n, len(own) * (2 * wide + 1)).astype(np.int64).reshape(len(own), -1)
+        return cls(own, counts[:, :wide], counts[:, wide : 2 * wide], counts[:, -1])
+
+    @property
+    def n(self) -> np.ndarray:
+        return self.before.sum(1) + self.same
 
     def part(self, some: np.ndarray | slice) -> Profiles:
-        return Profiles(self.key[some], self.n[some], self.own[some], self.before[some], self.after[some], self.same[some])
+        return Profiles(self.own[some], self.before[some], self.after[some], self.same[some])
 
 
-def transitions(p: Profiles, classes: int) -> np.ndarray:
-    """Counts of the class pairs whose second word is in `p`."""
-    out = np.zeros((classes + 1, classes + 1), np.int64)
-    np.add.at(out.T, p.own, p.before)
-    np.add.at(out, (p.own, p.own), p.same)
-    return out
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first field, second field) of a column of lists of pairs."""
+    a, b = (c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten())
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), a, b
 
 
 def exchanged(p: Profiles, g: np.ndarray) -> np.ndarray:
     """Class of each word of `p` after its best move, given the class pair counts `g`; all words are weighed against the same counts.
 
     The likelihood of class bigrams is the sum of x log x over the pair counts less twice that over the class counts. A word is
-    taken out of its class and weighed in each; ties go to the smaller class, and what gains nothing stays.
+    taken out of its class and weighed in each; ties go to the smaller class, and what gains nothing stays, unless its class is to be left.
     """
-    k, rows = len(g) - 1, len(p.key)
+    k, rows, total = len(g) - 2, len(p.own), p.n
     ii, a = np.arange(rows), p.own
+    inner = a < k
     alone = g[a, a] - p.before[ii, a] - p.after[ii, a] - p.same  # pairs inside its class, without it
     gain = np.zeros((rows, k))
     for near, other, cells in ((p.after, p.before, g[:k].T), (p.before, p.after, g[:, :k])):
@@ -148,20 +191,21 @@ def exchanged(p: Profiles, g: np.ndarray) -> np.ndarray:
         x = cells[c].copy()
         inside = c == a[r]
         x[inside] -= other[r[inside], :k]
-        jj = np.arange(len(r))
-        x[jj, a[r]] = np.where(inside, alone[r], cells[c, a[r]] - n)
+        jj = np.flatnonzero(inner[r])
+        home = a[r[jj]]
+        x[jj, home] = np.where(inside[jj], alone[r[jj]], cells[c[jj], home] - n[jj])
         if len(r):
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             gain[r[first]] += np.add.reduceat(_gain(x, n[:, None]), first, axis=0)
     x = np.broadcast_to(np.diag(g)[:k], (rows, k)).copy()
-    x[ii, a] = alone
+    x[ii[inner], a[inner]] = alone[inner]
     s, q = p.after[:, :k], p.before[:, :k]
     gain += _gain(x + s, q + p.same[:, None]) - _gain(x, q)
     x = np.broadcast_to(g.sum(1)[:k], (rows, k)).copy()
-    x[ii, a] -= p.n
-    gain -= 2 * _gain(x, p.n[:, None])
-    best = gain.argmax(1)
-    return np.where(gain[ii, best] > gain[ii, a] + 1e-9 * (1 + np.abs(gain[ii, a])), best, a)
+    x[ii[inner], a[inner]] -= total[inner]
+    gain -= 2 * _gain(x, total[:, None])
+    best, stay = gain.argmax(1), gain[ii, np.minimum(a, k - 1)]
+    return np.where(~inner | (gain[ii, best] > stay + 1e-9 * (1 + np.abs(stay))), best, a)
 
 
 def likelihood(g: np.ndarray) -> float:
@@ -175,48 +219,119 @@ def may_move(key: np.ndarray, drops: int) -> np.ndarray:
     return _flat.mix(key.view(np.uint64) + np.uint64(drops)) % np.uint64(2**drops) == 0
 
 
-def _side(pairs: DataFrame, words: DataFrame, of: str, near: str, classes: int, total: int) -> DataFrame:
-    """(key, code, n): how often word `of` stands beside each class of word `near`."""
-    left = pairs.select(F.col(of).alias("of"), F.col(near).alias("key"), "n")
-    wide = classes + 1
-    if near == "v":
-        code = F.when(F.col("of") == F.col("key"), 2 * wide).otherwise(F.col("cls"))
-    else:
-        left, code = left.where(F.col("of") != F.col("key")), F.col("cls") + wide
-    found = look_up(left, words.select("key", "cls", F.col("n").alias("all")), ["key"], F.col("all") * HOT >= total)
-    return found.select(F.col("of").alias("key"), code.alias("code"), "n").groupBy("key", "code").agg(F.sum("n").alias("n"))
+def _summed_matrix(rows: DataFrame, wide: int) -> np.ndarray:
+    """The matrix of rows (at, n), at = row * wide + column: wide**2 numbers at most come to the driver."""
+    g = np.zeros(wide * wide, np.int64)
+    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        g[r["at"]] = r.n
+    return g.reshape(wide, wide)
 
 
-def _profiles(sides: list[DataFrame], words: DataFrame) -> DataFrame:
-    rows = words.select("key", (-1 - F.col("cls")).alias("code"), "n")
-    for side in sides:
-        rows = rows.unionByName(side)
-    return rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("x"))
+def _matrix_rows(g: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(g)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(g.ravel()[at])], names=["at", "n"])
+
+
+def _frequent_profiles(batch: pa.RecordBatch, cls: np.ndarray, wide: int) -> tuple[np.ndarray, Profiles]:
+    """(ids, profiles) of rows (id, x); `cls` has the class of each id and, last, that of words without one."""
+    ids = batch.column("id").to_numpy()
+    row, near, n = _lists(batch.column("x"))
+    after = near >= len(cls)
+    word = near - len(cls) * after
+    same = word == ids[row]
+    n = np.where(same & after, 0, n)  # a word beside itself is in both lists
+    return ids, Profiles.of(cls[ids], row, np.where(same, 2 * wide, cls[word] + wide * after), n, wide)
+
+
+class _Frequent:
+    """Exchange among the frequent words: `near` has one row for each (id, x), x the words beside it as (id before, or count + id after; n)."""
+
+    def __init__(self, pairs: DataFrame, keys: np.ndarray, classes: int) -> None:
+        self.keys, self.m, self.k = keys, len(keys) + 1, classes
+        ids = pairs.where("a < 0").select((-1 - F.col("a")).cast("int").alias("v"), (-1 - F.col("b")).cast("int").alias("w"), "n")
+        both = ids.select(F.col("w").alias("id"), F.col("v").alias("near"), "n").unionByName(ids.select(F.col("v").alias("id"), (F.col("w") + self.m).alias("near"), "n"))
+        lists = both.where(F.col("id") < len(keys)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("near", "n"))).alias("x"))
+        self.near = materialize(lists, "near")
+
+    def matrix(self, cls: np.ndarray) -> np.ndarray:
+        """Class pair counts of all pairs with a frequent word."""
+        wide = self.k + 2
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros((wide, wide), np.int64)
+            for b in batches:
+                _, p = _frequent_profiles(b, cls, wide)
+                np.add.at(g.T, p.own, p.before)
+                np.add.at(g, (p.own, p.own), p.same)
+                # Pairs whose second word is not frequent are seen from the first one only.
+                np.add.at(g[:, -1], p.own, p.after[:, -1])
+            yield _matrix_rows(g)
+
+        return _summed_matrix(self.near.mapInArrow(run, "at long, n long"), wide)
+
+    def moved(self, cls: np.ndarray, g: np.ndarray, drops: int) -> np.ndarray:
+        """Classes after a round; no more than HOT rows come to the driver."""
+        k, keys = self.k, self.keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, ROWS):
+                    ids, p = _frequent_profiles(b.slice(i, ROWS), cls, k + 2)
+                    some = np.flatnonzero((p.own < k) & may_move(keys[ids], drops))
+                    new = p.own.copy()
+                    new[some] = exchanged(p.part(some), g)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(new.astype(np.int32))], names=["id", "cls"])
+
+        out = cls.copy()
+        t = self.near.mapInArrow(run, "id int, cls int").toArrow()
+        out[t.column("id").to_numpy()] = t.column("cls").to_numpy()
+        return out
 
 
-def _matrix(profiles: DataFrame, classes: int) -> np.ndarray:
-    """Class pair counts of all words: (classes + 1)**2 numbers at most come to the driver."""
-    wide = classes + 1
+def _others(text: DataFrame, pairs: DataFrame, keys: np.ndarray, cls: np.ndarray, g: np.ndarray, salt: int) -> tuple[DataFrame, np.ndarray]:
+    """((key, n, cls) of the words that are not frequent, class pair counts of all pairs that have one).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((wide, wide), np.int64)
+    Each moves out of the common class by the classes beside it, as `g` counts them.
+    """
+    wide = len(g)
+    beside = text.mapInArrow(_count_classes(keys, cls, wide - 2, salt), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    beside = beside.groupBy(F.col("a").alias("key")).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("x"))
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g += transitions(Profiles.read(b, classes), classes)
-        at = np.flatnonzero(g)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(g.ravel()[at])], names=["at", "n"])
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                p = Profiles.of(np.full(part.num_rows, wide - 1), *_lists(part.column("x")), wide)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p.n), pa.array(exchanged(p, g).astype(np.int32)), part.column("x")], names=["key", "n", "cls", "x"])
 
-    g = np.zeros(wide * wide, np.int64)
-    for r in profiles.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        g[r["at"]] = r.n
-    return g.reshape(wide, wide)
+    found = materialize(beside.mapInArrow(moved, "key long, n long, cls int, x array<struct<b: long, n: long>>"), "others", keep=True)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((wide, wide), np.int64)
+        for b in batches:
+            p = Profiles.of(b.column("cls").to_numpy().astype(np.int64), *_lists(b.column("x")), wide)
+            # Neighbours that are not frequent either come with their own classes, below.
+            np.add.at(out.T, p.own, np.append(p.before[:, :-1], np.zeros((len(p.own), 1), np.int64), axis=1))
+            np.add.at(out, p.own, np.append(p.after[:, :-1], np.zeros((len(p.own), 1), np.int64), axis=1))
+        yield _matrix_rows(out)
+
+    out = _summed_matrix(found.select("cls", "x").mapInArrow(counted, "at long, n long"), wide)
+    # No word here has more than one in HOT tokens, so no key of these joins is hot.
+    side = lambda c: found.select(F.col("key").alias(c), F.col("cls").alias(f"{c}_cls"))
+    both = pairs.where("a >= 0").join(side("a"), "a").groupBy("a_cls", "b").agg(F.sum("n").alias("n")).join(side("b"), "b")
+    out += _summed_matrix(both.select((F.col("a_cls").cast("long") * wide + F.col("b_cls")).alias("at"), "n"), wide)
+    return found.select("key", "n", "cls"), out
 
 
 @dataclass
 class Model:
-    """Words (key, word, n), their classes (key, n, cls), and what the driver holds: totals and class pair counts."""
+    """Words (key, word, n); keys, counts and classes of the frequent ones, and of all others as a table; totals and class pair counts."""
 
     words: DataFrame
-    classes: DataFrame
+    keys: np.ndarray
+    counts: np.ndarray
+    cls: np.ndarray
+    others: DataFrame
     tokens: int
     types: int
     singles: int
@@ -224,10 +339,16 @@ class Model:
     salt: int
     mix: float
 
+    @property
+    def classes(self) -> DataFrame:
+        """(key, n, cls) of all words."""
+        few = pa.table({"key": self.keys, "n": self.counts, "cls": self.cls.astype(np.int32)})
+        return self.others.sparkSession.createDataFrame(few).unionByName(self.others)
+
     def steps(self) -> np.ndarray:
         """log10 of what a word's count is multiplied by, for each class before it and its own; the last class is that of unseen words.
 
-        P(w | v) = (1 - u) (m T(c_w | c_v) n_w / n_c + (1 - m) n_w / n) for seen words, with half a count added to each transition, and
+        P(w | v) = (1 - u) (m T(c_w | c_v) n_w / n_c + (1 - m) n_w / n) for seen words, with half a count added to each transition to a class that has words, and
         u = (words seen once + 1) / (n + 2) for all unseen ones together, so the probabilities add up to one after any word.
         """
         wide = len(self.pairs)
@@ -235,20 +356,21 @@ class Model:
         if self.tokens:
             unseen = (self.singles + 1) / (self.tokens + 2)
             size = self.pairs.sum(1)
-            t = (self.pairs + 0.5) / (size[:, None] + 0.5 * wide)
+            used = size > 0
+            t = (self.pairs + 0.5 * used) / (size[:, None] + 0.5 * used.sum())
             out[:wide, :wide] = np.log10((1 - unseen) * (self.mix * t / np.maximum(size, 1) + (1 - self.mix) / self.tokens))
             out[wide, :wide] = np.log10((1 - unseen) / self.tokens)
             out[:, wide] = np.log10(unseen)
         return out
 
 
-def train(texts: DataFrame, text_col: str, classes: int = 32, rounds: int = 3, mix: float = 0.9) -> Model:
+def train(texts: DataFrame, text_col: str, classes: int = 32, rounds: int = 5, mix: float = 0.9) -> Model:
     """A class bigram model of all rows of `texts`.
 
     Null and empty texts hold only the end token; repeated rows count each time; no rows give a model that has seen nothing. Words
-    are runs of non-blank characters with A-Z lower-cased, the end token has a class of its own. Words start in classes
-    by hash; `rounds` rounds of exchange follow. As all words move at once they may move in step and lose likelihood: such a
-    round is undone, and from then on half as many words may move. Words are told apart by 64-bit hashes, which are checked: should two words share
+    are runs of non-blank characters with A-Z lower-cased, the end token has a class of its own. Frequent words start in classes
+    by hash and go through `rounds` rounds of exchange, then all others move once. As all words of a round move at once they may move in step and lose likelihood: such a
+    round is undone, and from then on half as many words may move. Words are told apart by 63-bit hashes, which are checked: should two words share
     one, all is counted again with another hash.
     """
     text = texts.select(F.col(f"`{text_col}`").alias("text"))
@@ -259,43 +381,33 @@ def train(texts: DataFrame, text_col: str, classes: int = 32, rounds: int = 3, m
             tokens, types, keys, singles = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_distinct("key"), F.count_if(F.col("n") == 1)).first()
             if types == keys:
                 break
-        pairs = materialize(text.mapInArrow(_count_pairs(salt), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "pairs")
-        cls = F.when(F.col("key") == END, classes).otherwise(F.pmod("key", F.lit(classes))).cast("int")
-        sizes = words.select("key", "n", cls.alias("cls"))
-
-        def counted_by_class(sizes: DataFrame, sides: tuple = (("w", "v"), ("v", "w"))) -> tuple[DataFrame, np.ndarray]:
-            found = [materialize(_side(pairs, sizes, of, near, classes, tokens), "side") for of, near in sides]
-            profiles = materialize(_profiles(found, sizes), "profiles")
-            return profiles, _matrix(profiles, classes)
-
-        best, best_sizes, g, drops = -np.inf, sizes, np.zeros((classes + 1, classes + 1), np.int64), 0
-        rounds = rounds if tokens else 0
+        if not tokens:
+            none = words.select("key", "n", F.lit(0).alias("cls"))
+            return Model(words, *[np.zeros(0, np.int64)] * 3, none, 0, 0, 0, np.zeros((classes + 1, classes + 1), np.int64), salt, mix)
+        few = words.where((F.col("n") * HOT >= tokens) | (F.col("key") == END)).select("key", "n").orderBy("key").toArrow()
+        keys, counts = few.column("key").to_numpy(), few.column("n").to_numpy()
+        counted = text.mapInArrow(_count_pairs(keys, salt), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        pairs = materialize(counted, "pairs")
+        # Ids are places in `keys`; the last class is that of all words without one.
+        cls = np.append(np.where(keys == END, classes, keys % classes), classes + 1)
+        frequent = _Frequent(pairs, keys, classes)
+        best, kept, g, drops = -np.inf, cls, None, 0
         for left in range(rounds, -1, -1):
-            with scratch(text.sparkSession):
-                # The last look needs the matrix only, which one side gives.
-                profiles, now = counted_by_class(sizes, sides=(("w", "v"), ("v", "w")) if left else (("w", "v"),))
-                if likelihood(now) > best:
-                    best, best_sizes, g = likelihood(now), sizes, now
-                elif left:
-                    drops += 1
-                    profiles, _ = counted_by_class(best_sizes)
-                if left:
-                    sizes = materialize(profiles.mapInArrow(_moved(g, drops), "key long, n long, cls int"), "classes", keep=True)
-        sizes = best_sizes
-    return Model(words, sizes, tokens, types, singles, g, salt, mix)
-
-
-def _moved(g: np.ndarray, drops: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = Profiles.read(b, len(g) - 1)
-            cls = p.own.copy()
-            for i in range(0, len(cls), ROWS):
-                some = i + np.flatnonzero((p.own[i : i + ROWS] < len(g) - 1) & may_move(p.key[i : i + ROWS], drops))
-                cls[some] = exchanged(p.part(some), g)
-            yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(p.n), pa.array(cls.astype(np.int32))], names=["key", "n", "cls"])
-
-    return run
+            now = frequent.matrix(cls)
+            if likelihood(now) > best:
+                best, kept, g = likelihood(now), cls, now
+            else:
+                drops += 1
+            if left:
+                cls = frequent.moved(kept, g, drops)
+        if types == len(keys):
+            others, more = words.where("false").select("key", "n", F.lit(0).alias("cls")), np.zeros_like(g)
+        else:
+            rest = g.copy()
+            rest[-1, -1] = tokens - g.sum()  # what no frequent word has seen are pairs of two others
+            others, more = _others(text, pairs, keys, kept, rest, salt)
+    g = g[:-1, :-1] + more[:-1, :-1]
+    return Model(words, keys, counts, kept[:-1], others, tokens, types, singles, g, salt, mix)
 
 
 def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
@@ -306,10 +418,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     """
     kind = docs.schema[id_col].dataType.simpleString()
     wide, steps = len(model.pairs), model.steps()
-    seen = model.classes
-    hot = F.col("n") * HOT >= model.tokens
-    few = seen.where(hot | (F.col("key") == END)).orderBy("key").toArrow()
-    keys, counts, cls = (few.column(c).to_numpy() for c in ("key", "n", "cls"))
+    keys, counts, cls = model.keys, model.counts, model.cls
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, emit = model_base(counts), np.log10(np.maximum(counts, 1))
@@ -364,7 +473,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     spread = part.select("row", F.posexplode(F.arrays_zip("keys", "before", "after")).alias("k", "x")).select("row", "k", F.col("x.keys").alias("key"), "x.before", "x.after")
     # A word that no training text holds may still be frequent here, so it is the asked words that are told apart.
     asked = spread.groupBy("key").agg(F.count("*").alias("asked"))
-    found = materialize(asked.join(seen.where(~hot), "key", "left"), "asked")
+    found = materialize(asked.join(model.others, "key", "left"), "asked")
     met = look_up(spread, found, ["key"], F.col("asked") * HOT >= rare)
     sums = met.repartition("row").sortWithinPartitions("row", "k").mapInArrow(settled, "row long, n_known long, base double, score double")
     every = whole.unionByName(sums, allowMissingColumns=True).groupBy("row")
