@@ -22,7 +22,7 @@ from spanloom.llm import _flat
 from spanloom.llm._base import look_up, materialize, scratch, table
 
 #: A word with at least one in so many tokens is a frequent one, known to every task; there are no more than that many, and the end token.
-HOT = 1 << 17
+HOT = 1 << 18
 #: Key of the end token, whose word is empty as no other.
 END = 0
 #: Words whose moves are weighed at once.
@@ -304,7 +304,7 @@ def _others(text: DataFrame, pairs: DataFrame, keys: np.ndarray, cls: np.ndarray
                 p = Profiles.of(np.full(part.num_rows, wide - 1), *_lists(part.column("x")), wide)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p.n), pa.array(exchanged(p, g).astype(np.int32)), part.column("x")], names=["key", "n", "cls", "x"])
 
-    found = materialize(beside.mapInArrow(moved, "key long, n long, cls int, x array<struct<b: long, n: long>>"), "others", keep=True)
+    found = materialize(beside.mapInArrow(moved, "key long, n long, cls int, x array<struct<b: long, n: long>>"), "beside")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((wide, wide), np.int64)
@@ -316,11 +316,12 @@ def _others(text: DataFrame, pairs: DataFrame, keys: np.ndarray, cls: np.ndarray
         yield _matrix_rows(out)
 
     out = _summed_matrix(found.select("cls", "x").mapInArrow(counted, "at long, n long"), wide)
+    found = materialize(found.select("key", "n", "cls"), "others", keep=True)
     # No word here has more than one in HOT tokens, so no key of these joins is hot.
     side = lambda c: found.select(F.col("key").alias(c), F.col("cls").alias(f"{c}_cls"))
     both = pairs.where("a >= 0").join(side("a"), "a").groupBy("a_cls", "b").agg(F.sum("n").alias("n")).join(side("b"), "b")
     out += _summed_matrix(both.select((F.col("a_cls").cast("long") * wide + F.col("b_cls")).alias("at"), "n"), wide)
-    return found.select("key", "n", "cls"), out
+    return found, out
 
 
 @dataclass
@@ -364,7 +365,7 @@ class Model:
         return out
 
 
-def train(texts: DataFrame, text_col: str, classes: int = 32, rounds: int = 5, mix: float = 0.9) -> Model:
+def train(texts: DataFrame, text_col: str, classes: int = 32, rounds: int = 4, mix: float = 0.9) -> Model:
     """A class bigram model of all rows of `texts`.
 
     Null and empty texts hold only the end token; repeated rows count each time; no rows give a model that has seen nothing. Words
@@ -474,7 +475,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     # A word that no training text holds may still be frequent here, so it is the asked words that are told apart.
     asked = spread.groupBy("key").agg(F.count("*").alias("asked"))
     found = materialize(asked.join(model.others, "key", "left"), "asked")
-    met = look_up(spread, found, ["key"], F.col("asked") * HOT >= rare)
+    met = look_up(spread, found, ["key"], F.col("asked") * HOT >= rare).select("row", "k", "before", "after", "n", "cls")
     sums = met.repartition("row").sortWithinPartitions("row", "k").mapInArrow(settled, "row long, n_known long, base double, score double")
     every = whole.unionByName(sums, allowMissingColumns=True).groupBy("row")
     return every.agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])

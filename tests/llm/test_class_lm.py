@@ -101,7 +101,7 @@ def plain_score(text, count, cls, g, mix=0.9):
     return known, base, score
 
 
-@pytest.mark.parametrize(("hot", "classes", "rounds", "undone"), [(1 << 17, 5, 3, True), (12, 5, 3, None), (50, 6, 2, None), (1 << 17, 12, 0, False)])
+@pytest.mark.parametrize(("hot", "classes", "rounds", "undone"), [(1 << 18, 5, 3, True), (12, 5, 3, None), (50, 6, 2, None), (1 << 18, 12, 0, False)])
 def test_model_and_scores(spark, monkeypatch, hot, classes, rounds, undone):
     monkeypatch.setattr(class_lm, "HOT", hot)
     rows = corpus(4, 60)
