@@ -33,6 +33,31 @@ def karlin_altschul_lambda(match: int, mismatch: int, p_match: float = 0.25) ->
     return (low + high) / 2
 
 
+def karlin_altschul(match: int, mismatch: int, p_match: float = 0.25, steps: int = 400) -> tuple[float, float, float]:
+    """(lambda, K, H) for ungapped match and mismatch scores whose mean is below zero (Karlin and Altschul, 1990).
+
+    H is the mean information of a column of chance alignments of high score; K sums up, over the number of columns, how likely random
+    scores are to be below zero, weighted, or not.
+    """
+    if p_match * match + (1 - p_match) * mismatch >= 0:
+        raise ValueError("the mean score must be below zero")
+    lam = karlin_altschul_lambda(match, mismatch, p_match)
+    step = math.gcd(match, mismatch)
+    high, low = match // step, mismatch // step
+    one = np.zeros(high - low + 1)
+    one[high - low], one[0] = p_match, 1 - p_match
+    entropy = lam * (p_match * match * math.exp(lam * match) + (1 - p_match) * mismatch * math.exp(lam * mismatch))
+    chances, sigma = np.ones(1), 0.0
+    for k in range(1, steps + 1):
+        chances = np.convolve(chances, one)
+        score = np.arange(len(chances)) + k * low
+        sigma += float((chances * np.exp(np.minimum(score, 0) * lam * step)).sum()) / k
+        # The chance of a score of zero or more falls by a fixed factor, so the rest soon adds nothing.
+        if chances[score >= 0].sum() < 1e-12 and (chances * np.exp(np.minimum(score, 0) * lam * step)).sum() < 1e-12:
+            break
+    return lam, step * lam * math.exp(-2 * sigma) / (entropy * (1 - math.exp(-lam * step))), entropy
+
+
 def log_sum(a: Column, b: Column) -> Column:
     """log(exp(a) + exp(b)) without overflow."""
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
