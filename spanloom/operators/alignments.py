@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -15,67 +16,148 @@ from spanloom.functions import sequences as S
 from spanloom.session import with_checkpoints
 
 
-def align_pair(u: str, v: str, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2, local: bool = False) -> tuple[int, str]:
-    """(score, operations) of the best global or local alignment with affine gaps; operations as runs of =, X, I and D.
+_LOW = -(1 << 40)
+#: Cells whose scores an alignment holds at once, and parts that a longer stretch of rows is cut into.
+CELLS, CUTS = 1 << 20, 8
+
+
+class _Rows:
+    """Scores of an alignment row by row: h best, f with a gap in v open, e with one in u; cells outside the band keep a very low score."""
+
+    def __init__(self, u: str, v: str, match: int, mismatch: int, gap_open: int, gap: int, local: bool, band: tuple[int, int] | None) -> None:
+        self.a, self.b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (u, v))
+        self.match, self.mismatch, self.open, self.gap, self.local = match, mismatch, gap_open, gap, local
+        n, m = len(self.a), len(self.b)
+        # Diagonals j - i of the band; both corners of a global alignment lie in it.
+        self.low, self.high = (-n, m) if band is None else band
+        if not local and not (self.low <= 0 <= self.high and self.low <= m - n <= self.high):
+            raise ValueError("the band must hold both corners")
+        self.steps = np.arange(m + 1) * gap
+
+    def window(self, i: int, last: int) -> tuple[int, int]:
+        """First column of row i in the band, and the one behind the last."""
+        return max(0, i + self.low), min(last, i + self.high) + 1
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        m = len(self.b)
+        h, f = np.full(m + 1, _LOW), np.full(m + 1, _LOW)
+        x, y = self.window(0, m)
+        h[x:y] = 0 if self.local else np.where(np.arange(x, y) > 0, self.open + self.steps[x:y], 0)
+        return h, f
+
+    def next(self, i: int, h: np.ndarray, f: np.ndarray, last: int) -> np.ndarray:
+        """Turn h and f of row i - 1 into those of row i up to column `last`; the row's e."""
+        x, y = self.window(i, last)
+        e = np.full(last + 1, _LOW)
+        if x >= y:
+            h[: last + 1] = _LOW
+            return e
+        new = np.full(y - x, _LOW)
+        f[x:y] = np.maximum(f[x:y] + self.gap, h[x:y] + self.open + self.gap)
+        begin = max(x, 1)
+        new[begin - x :] = h[begin - 1 : y - 1] + np.where(self.b[begin - 1 : y - 1] == self.a[i - 1], self.match, self.mismatch)
+        if x == 0 and self.local:
+            new[0] = 0
+        new = np.maximum(new, f[x:y])
+        if self.local:
+            new = np.maximum(new, 0)
+        # A gap along the row is a running maximum of where it may open.
+        run = np.maximum.accumulate(new - self.steps[x:y])
+        e[x + 1 : y] = run[:-1] + self.open + self.steps[x + 1 : y]
+        new[1:] = np.maximum(new[1:], e[x + 1 : y])
+        h[x:y] = new
+        if x:
+            h[x - 1] = f[x - 1] = _LOW
+        return e
+
+    def path(self, i0: int, i: int, j: int, state: str, h: np.ndarray, f: np.ndarray, ops: list[str]) -> tuple[int, int, str, bool]:
+        """Go back from (i, j) to row i0, whose h and f are given: (row, column, state there, whether a local alignment has begun).
+
+        Rows that are too many for one table are cut, and cut again: only the scores where the parts begin are held.
+        """
+        first = self.window(i0, j)[0]
+        if i - i0 > 1 and (i - i0 + 1) * (self.window(i, j)[1] - first) > CELLS:
+            starts = list(range(i0, i, -(-(i - i0) // CUTS)))
+            held, h, f = [], h[: j + 1].copy(), f[: j + 1].copy()
+            for k, z in zip(starts, [*starts[1:], None], strict=True):
+                held.append((h.copy(), f.copy()))
+                for r in range(k + 1, (z or k) + 1):
+                    self.next(r, h, f, j)
+            for k, (x, y) in zip(reversed(starts), reversed(held), strict=True):
+                i, j, state, done = self.path(k, i, j, state, x, y, ops)
+                if done:
+                    break
+            return i, j, state, done
+        h, f = h[: j + 1].copy(), f[: j + 1].copy()
+        tables = [(h[first:].copy(), np.full(j + 1 - first, _LOW), f[first:].copy())]
+        for r in range(i0 + 1, i + 1):
+            e = self.next(r, h, f, j)
+            tables.append((h[first:].copy(), e[first:], f[first:].copy()))
+        at = lambda t, r, c: int(tables[r - i0][t][c - first]) if c >= first else _LOW
+        while i > i0 or (i0 == 0 and j and not self.local):
+            if state == "h":
+                best = at(0, i, j)
+                if self.local and best == 0:
+                    return i, j, state, True
+                if i and j and best == at(0, i - 1, j - 1) + (self.match if self.a[i - 1] == self.b[j - 1] else self.mismatch):
+                    ops.append("=" if self.a[i - 1] == self.b[j - 1] else "X")
+                    i, j = i - 1, j - 1
+                else:
+                    state = "f" if i and best == at(2, i, j) else "e"
+            elif state == "f":
+                ops.append("D")
+                state = "h" if at(2, i, j) == at(0, i - 1, j) + self.open + self.gap else "f"
+                i -= 1
+            else:
+                ops.append("I")
+                state = "h" if i == 0 and j == 1 or i and at(1, i, j) == at(0, i, j - 1) + self.open + self.gap else "e"
+                j -= 1
+        return i, j, state, self.local and state == "h" and at(0, i, j) == 0
+
+
+def align_pair(u: str, v: str, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2, local: bool = False, band: tuple[int, int] | None = None) -> tuple[int, str]:
+    """(score, operations) of the best global or local alignment with affine gaps, see `align_places`."""
+    score, *_, cigar = align_places(u, v, match, mismatch, gap_open, gap, local, band)
+    return score, cigar
+
 
-    I is a base of v that u lacks, D one of u that v lacks. Equal choices go to replacement, then deletion.
+def align_places(
+    u: str, v: str, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2, local: bool = False, band: tuple[int, int] | None = None
+) -> tuple[int, int, int, int, int, str]:
+    """(score, start and end in u, start and end in v, operations as runs of =, X, I and D) of the best alignment.
+
+    I is a base of v that u lacks, D one of u that v lacks. Equal choices go to replacement, then deletion. With `band`, the least and
+    the largest of (place in v) - (place in u), it is the best one inside. One pass of rows gives the score and where the alignment ends; the way
+    back fills tables of CELLS cells at most, so memory grows with one text, not with the product of both.
     """
-    n, m = len(u), len(v)
-    low = -(1 << 40)
-    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (u, v))
-    h = np.zeros((n + 1, m + 1), np.int64)
-    e, f = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
-    if not local:
-        h[0, 1:] = gap_open + gap * np.arange(1, m + 1)
-        h[1:, 0] = gap_open + gap * np.arange(1, n + 1)
-        e[0, 1:], f[1:, 0] = h[0, 1:], h[1:, 0]
-    steps = np.arange(m + 1) * gap
-    for i in range(1, n + 1):
-        f[i] = np.maximum(f[i - 1] + gap, h[i - 1] + gap_open + gap)
-        row = np.maximum(f[i], h[i])
-        row[0] = h[i, 0]
-        row[1:] = np.maximum(f[i, 1:], h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch))
+    rows = _Rows(u, v, match, mismatch, gap_open, gap, local, band)
+    n, m = len(rows.a), len(rows.b)
+    h, f = rows.first()
+    begin = h.copy(), f.copy()
+    score, i, j = 0, 0, 0
+    for r in range(1, n + 1):
+        rows.next(r, h, f, m)
         if local:
-            row = np.maximum(row, 0)
-        # A gap along the row is a running maximum of where it may open.
-        run = np.maximum.accumulate(row - steps)
-        e[i, 1:] = run[:-1] + gap_open + steps[1:]
-        row[1:] = np.maximum(row[1:], e[i, 1:])
-        h[i] = row
-    i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape)) if local else (n, m)
-    score, ops, state = int(h[i, j]), [], "h"
-    while (i or j) and not (local and state == "h" and h[i, j] == 0):
-        if state == "h":
-            if i and j and h[i, j] == h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-                ops.append("=" if a[i - 1] == b[j - 1] else "X")
-                i, j = i - 1, j - 1
-            else:
-                state = "f" if i and h[i, j] == f[i, j] else "e"
-        elif state == "f":
-            ops.append("D")
-            state = "h" if f[i, j] == h[i - 1, j] + gap_open + gap else "f"
-            i -= 1
-        else:
-            ops.append("I")
-            state = "h" if e[i, j] == h[i, j - 1] + gap_open + gap else "e"
-            j -= 1
-    ops.reverse()
-    runs, k = [], 0
-    while k < len(ops):
-        z = k
-        while z < len(ops) and ops[z] == ops[k]:
-            z += 1
-        runs.append(f"{z - k}{ops[k]}")
-        k = z
-    return score, "".join(runs)
-
-
-def align(pairs: DataFrame, local: bool = False, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2) -> DataFrame:
-    """pairs (pair_id, u, v) with score and cigar."""
+            x, y = rows.window(r, m)
+            k = x + int(h[x:y].argmax()) if x < y else 0
+            if x < y and h[k] > score:
+                score, i, j = int(h[k]), r, k
+    if not local:
+        score, i, j = int(h[m]), n, m
+    ops: list[str] = []
+    i0, j0 = rows.path(0, i, j, "h", *begin, ops)[:2] if not local or score else (0, 0)
+    return score, i0, i, j0, j, re.sub(r"(.)\1*", lambda x: f"{len(x[0])}{x[1]}", "".join(reversed(ops)))
+
+
+def align(pairs: DataFrame, local: bool = False, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap: int = -2, band: int | None = None) -> DataFrame:
+    """pairs (pair_id, u, v) with score and cigar; with `band`, of alignments that stray at most so far from the diagonals of both corners."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [align_pair(u, v, match, mismatch, gap_open, gap, local) for u, v in zip(b["u"], b["v"], strict=True)]
+            done = []
+            for u, v in zip(b["u"], b["v"], strict=True):
+                off = len(v) - len(u)
+                done.append(align_pair(u, v, match, mismatch, gap_open, gap, local, None if band is None else (min(off, 0) - band, max(off, 0) + band)))
             yield pd.DataFrame({"pair_id": b["pair_id"], "score": [x[0] for x in done], "cigar": [x[1] for x in done]})
 
     return pairs.select("pair_id", "u", "v").mapInPandas(run, "pair_id long, score long, cigar string")
@@ -85,6 +167,85 @@ def edit_distance(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.levenshtein("u", "v").alias("distance"))
 
 
+class _Highest:
+    """A tree over n places that holds, for each range of them, the largest of the values put there; values compare as tuples."""
+
+    NONE = (-np.inf, 0)
+
+    def __init__(self, n: int) -> None:
+        self.half = 1 << max(n - 1, 0).bit_length()
+        self.best = [self.NONE] * (2 * self.half)
+
+    def put(self, at: int, value: tuple) -> None:
+        best, k = self.best, at + self.half
+        best[k] = value
+        while k > 1:
+            k >>= 1
+            best[k] = max(best[2 * k], best[2 * k + 1])
+
+    def over(self, first: int, end: int) -> tuple:
+        best, x, y, out = self.best, first + self.half, end + self.half, self.NONE
+        while x < y:
+            if x & 1:
+                out, x = max(out, best[x]), x + 1
+            if y & 1:
+                y -= 1
+                out = max(out, best[y])
+            x, y = x >> 1, y >> 1
+        return out
+
+
+def _sweep(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, own: np.ndarray, order: np.ndarray, gap_cost: bool, max_gap: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, fragment before) of the best chain that ends in each fragment, none overlapping.
+
+    Fragments are taken by their starts in the first sequence. Those that have ended before are in a tree over their ends in the
+    second; those that ended too long ago for max_gap leave it again. With gap costs what counts of a fragment is its score and both its
+    ends, whatever follows, so the best predecessor is the largest value of a range.
+    """
+    n = len(order)
+    score, before = own.astype(float).copy(), np.full(n, -1)
+    by_end2 = np.lexsort((order, e2))
+    leaf = np.empty(n, np.int64)
+    leaf[by_end2] = np.arange(n)
+    ends2 = e2[by_end2]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    tree, by_end1 = _Highest(n), np.argsort(e1, kind="stable")
+    ready = gone = 0
+    first = np.zeros(n, np.int64) if max_gap is None else np.searchsorted(ends2, s2 - max_gap, "left")
+    end = np.searchsorted(ends2, s2, "left")
+    for j in order.tolist():
+        while ready < n and e1[by_end1[ready]] < s1[j]:
+            i = int(by_end1[ready])
+            tree.put(int(leaf[i]), (score[i] + (float(e1[i] + e2[i]) if gap_cost else 0.0), -int(place[i])))
+            ready += 1
+        while max_gap is not None and gone < ready and e1[by_end1[gone]] < s1[j] - max_gap:
+            tree.put(int(leaf[by_end1[gone]]), tree.NONE)
+            gone += 1
+        value, i = tree.over(int(first[j]), int(end[j]))
+        value -= float(s1[j] + s2[j]) if gap_cost else 0.0
+        if value > 0:
+            score[j], before[j] = own[j] + value, order[-i]
+    return score, before
+
+
+def _overlapping(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, own: np.ndarray, order: np.ndarray, gap_cost: bool, max_gap: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """As `_sweep`, of chains whose fragments may overlap: each fragment is compared with all that start before it."""
+    score, before = own.astype(float).copy(), np.full(len(order), -1)
+    for place, j in enumerate(order):
+        prev = order[:place]
+        prev = prev[(s1[prev] < s1[j]) & (s2[prev] < s2[j]) & (e1[prev] < e1[j]) & (e2[prev] < e2[j])]
+        if max_gap is not None:
+            prev = prev[(s1[j] - e1[prev] <= max_gap) & (s2[j] - e2[prev] <= max_gap)]
+        if len(prev):
+            g1, g2 = s1[j] - e1[prev], s2[j] - e2[prev]
+            value = score[prev] - (np.maximum(g1, 0) + np.maximum(g2, 0) if gap_cost else 0) - np.maximum(1 - g1, 0) - np.maximum(1 - g2, 0)
+            k = int(value.argmax())
+            if value[k] > 0:
+                score[j], before[j] = own[j] + value[k], prev[k]
+    return score, before
+
+
 def chain_fragments(
     s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, weight: np.ndarray, gap_cost: bool = True, max_gap: int | None = None, local: bool = False, overlaps: bool = False, factor: float = 1.0
 ) -> list[tuple[float, list[int]]]:
@@ -93,29 +254,12 @@ def chain_fragments(
     i goes before j if it ends before j starts in both sequences; a link costs the gaps in both
     (L1), and none may be longer than max_gap. With `overlaps` it is enough that starts and ends grow in both
     sequences, and a link costs the letters that both fragments cover as well. Weights count `factor` times.
-    Among equal predecessors the first wins.
+    Among equal predecessors the first wins. Without `overlaps` n fragments take n log n steps.
     """
     order = np.lexsort((s2, s1))
-    own = weight * factor
-    score, before = own.astype(float).copy(), np.full(len(order), -1)
-    for place, j in enumerate(order):
-        prev = order[:place]
-        if overlaps:
-            prev = prev[(s1[prev] < s1[j]) & (s2[prev] < s2[j]) & (e1[prev] < e1[j]) & (e2[prev] < e2[j])]
-        else:
-            prev = prev[(e1[prev] < s1[j]) & (e2[prev] < s2[j])]
-        if max_gap is not None:
-            prev = prev[(s1[j] - e1[prev] <= max_gap) & (s2[j] - e2[prev] <= max_gap)]
-        if not len(prev):
-            continue
-        g1, g2 = s1[j] - e1[prev], s2[j] - e2[prev]
-        cost = (np.maximum(g1, 0) + np.maximum(g2, 0) if gap_cost else 0) + (np.maximum(1 - g1, 0) + np.maximum(1 - g2, 0) if overlaps else 0)
-        value = score[prev] - cost
-        k = int(value.argmax())
-        if value[k] > 0:
-            score[j], before[j] = own[j] + value[k], prev[k]
     if not len(order):
         return []
+    score, before = (_overlapping if overlaps else _sweep)(s1, e1, s2, e2, weight * factor, order, gap_cost, max_gap)
 
     def trace(j: int) -> list[int]:
         out = []
@@ -128,10 +272,13 @@ def chain_fragments(
         j = int(score.argmax())
         return [(float(score[j]), trace(j))]
     best: dict[int, tuple[float, int]] = {}
-    for j in order:
-        head = trace(j)[0]
-        if head not in best or score[j] > best[head][0]:
-            best[head] = (float(score[j]), int(j))
+    head = np.arange(len(order))
+    for j in order.tolist():
+        if before[j] >= 0:
+            head[j] = head[before[j]]
+        h = int(head[j])
+        if h not in best or score[j] > best[h][0]:
+            best[h] = (float(score[j]), j)
     return sorted(((s, trace(j)) for s, j in best.values()), key=lambda x: (-x[0], x[1]))
 
 
