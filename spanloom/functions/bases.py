@@ -57,6 +57,29 @@ def codes(flat: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: Base of the polynomials of `sums`, and its inverse modulo 2**64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial of all letters, lower-cased, and the powers that shift a stretch of it to its start."""
+    lower = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
+    values = (lower.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    up, down = np.full(len(flat) + 1, np.uint64(_FACTOR)), np.full(len(flat) + 1, np.uint64(_INVERSE))
+    up[0] = down[0] = 1
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(values * np.cumprod(up)[:-1], out=total[1:])
+    return total, np.cumprod(down)
+
+
+def hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches from `start` to `end`, equal for equal letters; others may share one, so compare what meets."""
+    h = (total[end] - total[start]) * down[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
 def strings(flat: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
     """The windows in lower case as a string column."""
     lower = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)

@@ -142,25 +142,66 @@ def longest_matches(queries: DataFrame, target: DataFrame, shortest: int = 1) ->
     return by_ranks(queries, target, shortest)
 
 
+def _ends(reads: DataFrame, min_length: int) -> DataFrame:
+    """(h, seqnum, n, side): a hash of each prefix (side 0) and suffix (side 1) of min_length letters or more, and its length."""
+    kind = reads.schema["seqnum"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = bases.letters(batch.column(1))
+            total, down = bases.sums(flat)
+            sizes = np.maximum(np.diff(off) - min_length + 1, 0)
+            cut = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 1 << 20), "right")
+            for i, j in zip(cut, np.append(cut[1:], len(sizes)) if len(cut) else cut, strict=True):
+                row = np.repeat(np.arange(i, j), sizes[i:j])
+                n = np.arange(len(row)) - np.repeat(np.cumsum(sizes[i:j]) - sizes[i:j], sizes[i:j]) + min_length
+                name = batch.column(0).take(pa.array(row))
+                for side, start, end in ((0, off[row], off[row] + n), (1, off[row + 1] - n, off[row + 1])):
+                    yield pa.RecordBatch.from_arrays([pa.array(bases.hashes(total, down, start, end)), name, pa.array(n.astype(np.int32)), pa.array(np.full(len(row), side, np.int8))], names=["h", "seqnum", "n", "side"])
+
+    return reads.select("seqnum", "seq").mapInArrow(run, f"h long, seqnum {kind}, n int, side byte")
+
+
 def suffix_prefix_matches(reads: DataFrame, min_length: int) -> DataFrame:
     """(a, b, length): the end of read a equals the start of read b over min_length bases or more, each length once.
 
-    The first min_length bases of a read are looked up in all others; the rest is verified.
+    Hashes of all ends meet by hash and length, so what is dealt out is a hash, a length and an id, and only ends that match come
+    together, however common their first letters are; the letters of what has met are then compared.
     """
-    r = reads.select("seqnum", S.ascii_lower("seq").alias("seq")).where(F.length("seq") >= min_length)
-    heads = r.select(F.col("seqnum").alias("b"), F.col("seq").alias("b_seq"), F.substring("seq", 1, min_length).alias("kmer"))
-    at = r.select(F.col("seqnum").alias("a"), F.col("seq").alias("a_seq"), F.posexplode(S.kmers("seq", min_length)).alias("pos", "kmer"))
-    j = at.join(heads, "kmer").withColumn("length", F.length("a_seq") - F.col("pos"))
-    whole = (F.col("pos") == 0) & (F.col("a") == F.col("b"))
-    return j.where(~whole & (F.col("length") <= F.length("b_seq")) & F.startswith("b_seq", F.substring("a_seq", F.col("pos") + 1, F.col("length")))).select("a", "b", "length")
+    e = _ends(reads, min_length)
+    x = e.where("side = 1").select("h", "n", F.col("seqnum").alias("a"))
+    y = e.where("side = 0").select("h", "n", F.col("seqnum").alias("b"))
+    met = x.join(y, ["h", "n"]).select("a", "b", F.col("n").alias("length"))
+    text = lambda c: reads.select(F.col("seqnum").alias(c), S.ascii_lower("seq").alias(f"{c}_seq"))
+    j = met.join(text("a"), "a").join(text("b"), "b")
+    whole = (F.col("a") == F.col("b")) & (F.col("length") == F.length("a_seq"))
+    return j.where(~whole & (F.right("a_seq", F.col("length")) == F.left("b_seq", F.col("length")))).select("a", "b", "length")
 
 
 def contained_reads(reads: DataFrame, k: int) -> DataFrame:
-    """Reads of k bases or more that another read holds, on either strand; of equal reads the first is not contained."""
+    """Reads of k bases or more that another read holds, on either strand; of equal reads the first is not contained.
+
+    Windows of k letters meet the starts of reads by hash; letters follow for what has met.
+    """
+    kind = reads.schema["seqnum"].dataType.simpleString()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = bases.letters(batch.column(1))
+            total, down = bases.sums(flat)
+            at = bases.inside(off, k)
+            for part in np.array_split(at, max(1, len(at) >> 20)):
+                row = np.searchsorted(off, part, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(bases.hashes(total, down, part, part + k)), batch.column(0).take(pa.array(row)), pa.array((part - off[row]).astype(np.int32))], names=["h", "seqnum", "pos"])
+
     r = reads.select("seqnum", S.ascii_lower("seq").alias("seq")).where(F.length("seq") >= k)
-    heads = r.select(F.col("seqnum").alias("b"), F.col("seq").alias("b_seq")).withColumn("x", F.explode(F.array("b_seq", S.reverse_complement("b_seq")))).select("b", F.col("x").alias("b_seq"), F.substring("x", 1, k).alias("kmer"))
-    at = r.select(F.col("seqnum").alias("a"), F.col("seq").alias("a_seq"), F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
-    j = at.join(heads, "kmer").where(F.col("a") != F.col("b"))
+    hashed = lambda df: df.select("seqnum", "seq").mapInArrow(windows, f"h long, seqnum {kind}, pos int")
+    turned = r.select("seqnum", S.reverse_complement("seq").alias("seq"))
+    heads = hashed(r.select("seqnum", F.left("seq", F.lit(k)).alias("seq"))).select("h", F.col("seqnum").alias("b"), F.lit("+").alias("strand"))
+    heads = heads.unionByName(hashed(turned.select("seqnum", F.left("seq", F.lit(k)).alias("seq"))).select("h", F.col("seqnum").alias("b"), F.lit("-").alias("strand")))
+    met = hashed(r).select("h", F.col("seqnum").alias("a"), "pos").join(heads, "h").where("a <> b").select("a", "pos", "b", "strand")
+    j = met.join(r.select(F.col("seqnum").alias("a"), F.col("seq").alias("a_seq")), "a").join(r.select(F.col("seqnum").alias("b"), F.col("seq").alias("b_seq")), "b")
+    j = j.withColumn("b_seq", F.when(F.col("strand") == "-", S.reverse_complement("b_seq")).otherwise(F.col("b_seq")))
     j = j.where(F.substring("a_seq", F.col("pos") + 1, F.length("b_seq")) == F.col("b_seq"))
     return j.where((F.length("a_seq") > F.length("b_seq")) | (F.col("a") < F.col("b"))).select(F.col("b").alias("seqnum")).distinct()
 
