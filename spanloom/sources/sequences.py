@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as S
@@ -92,6 +92,85 @@ def read_fastq(spark: SparkSession, *paths: str) -> dict[str, DataFrame]:
     return {"records": rows.where("reason IS NULL").drop("reason"), "problems": rows.where("reason IS NOT NULL").select("file", "description", "reason")}
 
 
+def read_fastq_splits(spark: SparkSession, *paths: str) -> dict[str, DataFrame]:
+    """As `read_fastq`, for records of four lines in files of any size: each is read by as many tasks as its bytes make splits.
+
+    Spark cuts the files where a line begins with @, wherever a split starts. A quality may begin so too: what follows is then a
+    single line, which goes back to the piece before it, over the border of two splits by a join of the pieces at their ends.
+    """
+    at = F.col("_metadata")
+    pieces = spark.read.option("lineSep", "\n@").text(list(paths)).select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None  # the split in work, and its piece that may lack a quality
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["file", "block", "head", "text"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != key:
+                    if held is not None:
+                        rows.append((*key, False, held))
+                    key, held = (file, block), None
+                    if block > 0 and "\n" not in value.rstrip("\n"):
+                        rows.append((file, block, True, value))
+                        continue
+                    held = value.removeprefix("@") if block == 0 else value
+                elif held is not None and "\n" not in value.rstrip("\n") and held.count("\n") == 2:
+                    held += "\n@" + value
+                else:
+                    if held is not None:
+                        rows.append((*key, None, held))
+                    held = value
+            yield out(rows)
+        if held is not None:
+            yield out([(*key, False, held)])
+
+    cut = pieces.mapInArrow(run, "file string, block long, head boolean, text string")
+    # Of each split only the last record, and a piece before its first, may belong together with a neighbour.
+    ends = cut.where("head IS NOT NULL")
+    w = Window.partitionBy("file").orderBy("block", F.desc("head"))
+    after = ends.withColumn("next", F.when(F.lead("head").over(w), F.lead("text").over(w))).where("NOT head")
+    whole = cut.where("head IS NULL").select("file", "text").unionByName(after.select("file", F.when(F.col("next").isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\n@"), "next")).alias("text")))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(file, *r) for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text.strip() for r in fastq_records("@" + text)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["file", "description", "seq", "qual", "reason"])
+
+    rows = whole.mapInArrow(parsed, "file string, description string, seq string, qual string, reason string")
+    return {"records": rows.where("reason IS NULL").drop("reason"), "problems": rows.where("reason IS NOT NULL").select("file", "description", "reason")}
+
+
+def read_plain(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, seq): the letters of each file as one sequence, without white space."""
+    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s", "").alias("seq"))
+
+
+def guess_format(spark: SparkSession, path: str) -> str:
+    """fasta, fastq, genbank, embl or plain, by the first line of a file that is not blank."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    line = first[0].value if first else ""
+    starts = {">": "fasta", "@": "fastq", "LOCUS": "genbank", "ID   ": "embl"}
+    return next((kind for head, kind in starts.items() if line.startswith(head)), "plain")
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(description, seq) of a file in any of these formats."""
+    kind = guess_format(spark, path)
+    if kind == "fasta":
+        return read_fasta(spark, path).select("description", "seq")
+    if kind == "fastq":
+        return read_fastq_splits(spark, path)["records"].select("description", "seq")
+    if kind == "plain":
+        return read_plain(spark, path).select(F.col("file").alias("description"), "seq")
+    return {"genbank": read_genbank, "embl": read_embl}[kind](spark, path)
+
+
 def read_genbank(spark: SparkSession, *paths: str) -> DataFrame:
     t = spark.read.option("lineSep", "\n//").text(list(paths)).where(F.col("value").contains("ORIGIN"))
     return t.select(F.trim(F.regexp_replace(F.regexp_extract("value", r"(?s)DEFINITION\s+(.*?)\n\S", 1), r"\s+", " ")).alias("description"), F.regexp_replace(F.regexp_extract("value", r"(?s)ORIGIN[^\n]*\n(.*)$", 1), r"[\s0-9]", "").alias("seq"))
