@@ -238,8 +238,8 @@ def corrected_reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tags_with_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Tags of 36 bases from every benchmark text, mapped onto all documents with up to two edits."""
-    t = items(spark, d).where("length(seq) >= 36").select(F.col("seqnum").alias("tag"), F.substring("seq", 1, 36).alias("seq"))
+    """Every benchmark text of 36 bases or more, whole, mapped onto all documents with up to two edits."""
+    t = items(spark, d).where("length(seq) >= 36").select(F.col("seqnum").alias("tag"), "seq")
     return L.best_maps(L.map_tags_with_gaps(t, dna(spark, d), 2, 12))
 
 

@@ -125,7 +125,7 @@ def test_coding_parts_map_back(spark):
 
 
 def test_consensus_of_spliced_alignments(spark):
-    # The published example of two alignments of one gene: the second is held by the first.
+    # Re-created rows of a known case, two alignments of one gene: the second is held by the first.
     one, two = [(5414975, 5415294), (5415423, 5415589), (5415672, 5415790)], [(5415008, 5415294), (5415423, 5415564)]
     assert P.compatible(one, two) and P.compatible(two, one) and P.splice_forms([one, two]) == [[0, 1]]
     other = [(5415008, 5415290), (5415423, 5415564)]
