@@ -23,6 +23,8 @@ from spanloom.llm._base import look_up, materialize, scratch, table
 
 #: A word with at least one in so many tokens is a frequent one, known to every task; there are no more than that many, and the end token.
 HOT = 1 << 18
+#: As HOT, for words whose counts and classes tasks know when they score texts.
+KNOWN = 1 << 20
 #: Key of the end token, whose word is empty as no other.
 END = 0
 #: Words whose moves are weighed at once.
@@ -288,36 +290,53 @@ class _Frequent:
         return out
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of batches that come sorted by the first one, cut where a value of it ends."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut or (held and held[-1][0][-1] != cols[0][0]):
+            done = [*held, tuple(c[:cut] for c in cols)]
+            yield tuple(np.concatenate(x) for x in zip(*done, strict=True))
+            held = []
+        held.append(tuple(c[cut:] for c in cols))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _others(text: DataFrame, pairs: DataFrame, keys: np.ndarray, cls: np.ndarray, g: np.ndarray, salt: int) -> tuple[DataFrame, np.ndarray]:
     """((key, n, cls) of the words that are not frequent, class pair counts of all pairs that have one).
 
     Each moves out of the common class by the classes beside it, as `g` counts them.
     """
     wide = len(g)
-    beside = text.mapInArrow(_count_classes(keys, cls, wide - 2, salt), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    beside = beside.groupBy(F.col("a").alias("key")).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("x"))
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                p = Profiles.of(np.full(part.num_rows, wide - 1), *_lists(part.column("x")), wide)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p.n), pa.array(exchanged(p, g).astype(np.int32)), part.column("x")], names=["key", "n", "cls", "x"])
-
-    found = materialize(beside.mapInArrow(moved, "key long, n long, cls int, x array<struct<b: long, n: long>>"), "beside")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((wide, wide), np.int64)
-        for b in batches:
-            p = Profiles.of(b.column("cls").to_numpy().astype(np.int64), *_lists(b.column("x")), wide)
-            # Neighbours that are not frequent either come with their own classes, below.
-            np.add.at(out.T, p.own, np.append(p.before[:, :-1], np.zeros((len(p.own), 1), np.int64), axis=1))
-            np.add.at(out, p.own, np.append(p.after[:, :-1], np.zeros((len(p.own), 1), np.int64), axis=1))
-        yield _matrix_rows(out)
-
-    out = _summed_matrix(found.select("cls", "x").mapInArrow(counted, "at long, n long"), wide)
-    found = materialize(found.select("key", "n", "cls"), "others", keep=True)
-    # No word here has more than one in HOT tokens, so no key of these joins is hot.
+        pairs = np.zeros((wide, wide), np.int64)
+        for key, b, n in _whole_runs(batches):
+            new = np.append(True, key[1:] != key[:-1])
+            row = np.cumsum(new) - 1
+            first = np.append(np.flatnonzero(new), len(key))
+            for i in range(0, len(first) - 1, ROWS):
+                x, y = first[i], first[min(i + ROWS, len(first) - 1)]
+                p = Profiles.of(np.full(min(ROWS, len(first) - 1 - i), wide - 1), row[x:y] - i, b[x:y], n[x:y], wide)
+                cls = exchanged(p, g)
+                # Neighbours that are not frequent either come with their own classes, below.
+                np.add.at(pairs.T, cls, np.append(p.before[:, :-1], np.zeros((len(cls), 1), np.int64), axis=1))
+                np.add.at(pairs, cls, np.append(p.after[:, :-1], np.zeros((len(cls), 1), np.int64), axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first[i : i + len(cls)]]), pa.array(p.n), pa.array(cls.astype(np.int32))], names=["key", "n", "cls"])
+        # What a task has seen of class pairs goes along, at keys below zero.
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(pairs.ravel()[at]), pa.array(np.zeros(len(at), np.int32))], names=["key", "n", "cls"])
+
+    # No word here has more than one in HOT tokens, so none is hot where words are dealt out, here and in the joins.
+    beside = text.mapInArrow(_count_classes(keys, cls, wide - 2, salt), "a long, b long, n long").repartition("a").sortWithinPartitions("a")
+    found = materialize(beside.mapInArrow(moved, "key long, n long, cls int"), "others", keep=True)
+    out = _summed_matrix(found.where("key < 0").select((-1 - F.col("key")).alias("at"), "n"), wide)
+    found = found.where("key >= 0")
     side = lambda c: found.select(F.col("key").alias(c), F.col("cls").alias(f"{c}_cls"))
     both = pairs.where("a >= 0").join(side("a"), "a").groupBy("a_cls", "b").agg(F.sum("n").alias("n")).join(side("b"), "b")
     out += _summed_matrix(both.select((F.col("a_cls").cast("long") * wide + F.col("b_cls")).alias("at"), "n"), wide)
@@ -419,7 +438,11 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     """
     kind = docs.schema[id_col].dataType.simpleString()
     wide, steps = len(model.pairs), model.steps()
-    keys, counts, cls = model.keys, model.counts, model.cls
+    # More words than exchange goes through by itself, but so many at most.
+    more = model.others.where(F.col("n") * KNOWN >= model.tokens).select("key", "n", "cls").toArrow()
+    keys, counts, cls = (np.concatenate([x, more.column(c).to_numpy()]) for x, c in ((model.keys, "key"), (model.counts, "n"), (model.cls, "cls")))
+    order = np.argsort(keys)
+    keys, counts, cls = keys[order], counts[order], cls[order].astype(np.int16)
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, emit = model_base(counts), np.log10(np.maximum(counts, 1))
@@ -448,14 +471,11 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n_tokens", "n_known", "base", "score", "keys", "before", "after"])
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = 0  # class of the rare word before, which may have come with another batch
-        for b in batches:
-            n = b.column("n").fill_null(0).to_numpy()
-            own = b.column("cls").fill_null(wide).to_numpy()
-            row, before, after = (b.column(c).to_numpy() for c in ("row", "before", "after"))
-            before = np.where(before >= 0, before, np.append(ahead, own[:-1]))
+        for row, k, before, after, n, own in _whole_runs(batches):
+            order = np.lexsort((k, row))
+            row, before, after, n, own = (x[order] for x in (row, before, after, n, own))
+            before = np.where(before >= 0, before, np.append(0, own[:-1]))
             worth = steps[before, own] + np.log10(np.maximum(n, 1)) + np.where(after >= 0, steps[own, after], 0)
-            ahead = own[-1] if len(own) else ahead
             r, which = np.unique(row, return_inverse=True)
             cols = [r, np.bincount(which, n > 0).astype(np.int64), np.bincount(which, model_base(n)), np.bincount(which, worth)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "n_known", "base", "score"])
@@ -474,9 +494,11 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     spread = part.select("row", F.posexplode(F.arrays_zip("keys", "before", "after")).alias("k", "x")).select("row", "k", F.col("x.keys").alias("key"), "x.before", "x.after")
     # A word that no training text holds may still be frequent here, so it is the asked words that are told apart.
     asked = spread.groupBy("key").agg(F.count("*").alias("asked"))
-    found = materialize(asked.join(model.others, "key", "left"), "asked")
-    met = look_up(spread, found, ["key"], F.col("asked") * HOT >= rare).select("row", "k", "before", "after", "n", "cls")
-    sums = met.repartition("row").sortWithinPartitions("row", "k").mapInArrow(settled, "row long, n_known long, base double, score double")
+    found = materialize(asked.join(model.others.where(F.col("n") * KNOWN < model.tokens), "key", "left"), "asked")
+    met = look_up(spread, found, ["key"], F.col("asked") * HOT >= rare)
+    met = met.select("row", "k", "before", "after", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(wide)).alias("cls"))
+    # A document's rows meet in one batch, which puts them in order: sorting by one number is cheap, by two is not.
+    sums = met.repartition("row").sortWithinPartitions("row").mapInArrow(settled, "row long, n_known long, base double, score double")
     every = whole.unionByName(sums, allowMissingColumns=True).groupBy("row")
     return every.agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
 

@@ -104,6 +104,7 @@ def plain_score(text, count, cls, g, mix=0.9):
 @pytest.mark.parametrize(("hot", "classes", "rounds", "undone"), [(1 << 18, 5, 3, True), (12, 5, 3, None), (50, 6, 2, None), (1 << 18, 12, 0, False)])
 def test_model_and_scores(spark, monkeypatch, hot, classes, rounds, undone):
     monkeypatch.setattr(class_lm, "HOT", hot)
+    monkeypatch.setattr(class_lm, "KNOWN", 2 * hot)
     rows = corpus(4, 60)
     learned = [(i, t) for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
     docs = table(spark, rows)
