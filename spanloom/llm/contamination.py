@@ -22,7 +22,7 @@ from spanloom.llm._base import table
 
 N = 5
 MIN_SCORE = 0.5
-#: Seeds that go to the executors at once (8 bytes each); larger benchmarks take several passes.
+#: Seeds that go to the executors at once, with the items that own each: some 150 bytes a seed; larger benchmarks take several passes.
 SEEDS_AT_ONCE = 1_000_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 

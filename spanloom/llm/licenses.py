@@ -283,7 +283,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     detections: all matches of all rules as structs (first and last word, priority, rule, label,
     weight); spans: those that no containing detection of higher priority suppresses; base: for
     each base phrase its label, number of places, first and last place. A null text is empty;
-    null and repeated ids are rows like others; an empty table gives no rows; other columns are
+    null and repeated ids are rows like others; of equal intervals the higher priority, then the earlier rule wins; an empty table gives no rows; other columns are
     ignored. Whole texts of any length are scanned.
     """
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -304,6 +304,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base places, labels and a score of every document; null texts are empty, rows of no words have null places and no labels.
+
+    Repeated and null ids are rows like others, equal places of one label count once; an empty table gives no rows. See `scan`.
+    """
     d = scan(table(spark, sf_dir, "documents"))
     return d.selectExpr(
         "id AS doc_id", "n_words", "aggregate(base, 0L, (s, b) -> s + b.n) AS n_base",

@@ -193,4 +193,8 @@ def packed_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFr
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; null and empty texts are a piece of the closing id alone.
+
+    Repeated and null ids are rows like others, which of equal pieces goes where is any of them; an empty table gives no rows.
+    """
     return packed_documents(table(spark, sf_dir, "documents"), default_path())

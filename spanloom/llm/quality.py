@@ -229,6 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null and empty texts are scored, null and repeated ids are rows like others, see `classify`."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 

@@ -242,6 +242,7 @@ def near_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and one component, see `near_components`."""
     r = near_components(table(spark, sf_dir, "documents"), "doc_id", "text")
     return r.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

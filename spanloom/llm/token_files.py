@@ -31,7 +31,8 @@ def token_files(docs: DataFrame, path: str, separator: int = SEPARATOR, block: i
     Kind 't' holds blocks of `block` ids of `width` bytes; kind 'd' holds the doc_ids in file
     order and which of them are null, kept beside the files and never read by the scan. A separator
     written out in a text is text like any other, so ids of texts never hold one by that name. Ids that
-    do not fit `width` bytes are refused.
+    do not fit `width` bytes are refused. A null or empty text is a separator alone; repeated rows are written as often
+    as they occur, null ids are marked; an empty table gives no rows; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

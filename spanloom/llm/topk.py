@@ -74,7 +74,7 @@ def top_pairs(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, block: int = 32768) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, block: int = 32768, integers: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k other rows with the largest inner product for each row where `is_query` holds.
 
     Rows are cut into blocks of about `block`; a task holds one block of candidates and one of
@@ -83,15 +83,19 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_c
     scores. Shorter vectors count as padded with zeros. A query is a row: it never answers itself,
     but rows that share its id or its vector do, and each of several query rows with one id has its
     own ranks. Null ids, null vectors and vectors with null or non-finite components take no part;
-    empty tables give no rows; other columns are ignored.
+    empty tables give no rows; other columns are ignored. Scores are sums of doubles: with `integers`, components must be whole
+    numbers, and a table whose sums could pass 2**53 is refused with a ValueError, as they would not be exact.
     """
     whole = "{i} IS NOT NULL AND {v} IS NOT NULL AND NOT exists({v}, c -> c IS NULL OR isnan(c) OR abs(c) = double('Infinity'))"
     x = vectors.where(whole.format(i=f"`{id_col}`", v=f"`{vec_col}`"))
     x = x.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda c: c.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     # The number of a row is fixed by writing it.
     x = materialize(x.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n, m, dim = x.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))
+    n, m, dim, top = x.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v")), F.coalesce(largest, F.lit(0.0))).first()
     dim = dim or 1
+    if integers and dim * top * top >= 2.0**53:
+        raise ValueError(f"components up to {top:g} in vectors of {dim}: sums of products would not be exact")
     xb, qb = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
     mine = lambda blocks, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).cast("int")
     x = x.withColumn("xb", mine(xb, 0))
@@ -125,11 +129,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_c
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five best inner products, on floor(256 * x), of every 50th vector against all others."""
+    """Five best inner products, on floor(256 * x), of every 50th vector against all others; vectors too large for exact sums are refused."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     # Null and non-finite components stay as they are, for the operator to leave those vectors out.
     scaled = e.select("vec_id", F.transform("embedding", lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("double")).otherwise(F.floor(c.cast("double") * 256).cast("double"))).alias("v"))
-    r = exact_top_k(scaled, F.col("vec_id") % 50 == 0, 5, "vec_id", "v")
+    r = exact_top_k(scaled, F.col("vec_id") % 50 == 0, 5, "vec_id", "v", integers=True)
     return r.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 

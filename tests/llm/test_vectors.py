@@ -106,3 +106,16 @@ def test_codes(spark, monkeypatch, n, dim, hot):
     assert found.tolist() == books
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[1] is None, r[1] or 0)
     assert sorted(((r.id, r.label, r.codes, r.error) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_products_that_would_not_be_exact_are_refused(spark, tmp_path):
+    from spanloom.llm import topk
+
+    def query(value):
+        path = tmp_path / str(value)
+        table(spark, [(0, [value] * 4, 1), (1, [1.0] * 4, 1)]).write.parquet(f"{path}/embeddings.parquet")
+        return topk.op10_topk_search(spark, str(path))
+
+    assert [r.score for r in query(2.0**17).collect()] == [4 * 2**17 * 2**16]
+    with pytest.raises(ValueError, match="not be exact"):
+        query(2.0**20)
