@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import ranges as R
+from spanloom.session import with_checkpoints
 
 
 def select(
@@ -184,12 +185,15 @@ def type_counts(features: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, value: Column) -> DataFrame:
     """value, n, share and running share, in order of value.
 
-    The number of different values is small beside the data, and only they reach the window.
+    Different values are sorted over all machines and summed up partition by partition: there may be as many as rows.
     """
-    counts = df.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", "n", (F.col("n") / total).alias("prob"), (F.sum("n").over(w) / total).alias("cumulative"))
+    from spanloom.operators.ranks import counted_before
+
+    with_checkpoints(df.sparkSession)
+    counts = df.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n")).checkpoint()
+    total = counts.agg(F.sum("n").alias("total"))
+    summed = counted_before(counts, None, ["value"], 0).crossJoin(F.broadcast(total))
+    return summed.select("value", "n", (F.col("n") / F.col("total")).alias("prob"), ((F.col("before") + F.col("n")) / F.col("total")).alias("cumulative"))
 
 
 def tree_signature(features: DataFrame, digest: bool = False) -> DataFrame:

@@ -133,14 +133,14 @@ def extended(u: np.ndarray, v: np.ndarray, x: int, y: int, size: int, min_identi
 
 
 def front_extensions(
-    a: DataFrame, b: DataFrame, k: int, max_frequency: int, min_length: int, min_identity: float = 80.0, band_log2: int = 4, min_coverage: int | None = None, reverse: bool = False, **limits
+    a: DataFrame, b: DataFrame, k: int, max_frequency: int, min_length: int, min_identity: float = 80.0, band_log2: int = 4, min_coverage: int | None = None, reverse: bool = False, only: Column | None = None, **limits
 ) -> DataFrame:
     """(a, b, strand, COLUMNS..., bit_score, evalue): greedy extensions of exact seeds between sequences of two tables.
 
     Shared k-mers of limited frequency, in diagonal bands that they cover well, become maximal matches, and each, the longest
     first, is extended unless an earlier extension of the pair holds it. A score is 2 for a match, -1 for a replacement and -2 for a gap letter.
     Starts are 0-based, ends closed; with `reverse` the reverse complements of b are searched as well, and their places count from
-    their own start. The expected number is over all letters of both tables.
+    their own start. With `only`, a condition on a and b, other pairs are left out. The expected number is over all letters of both tables.
     """
     text = lambda df, side, name, x: df.select(F.col("seqnum").alias(side), x.alias(name))
     parts = []
@@ -148,6 +148,7 @@ def front_extensions(
         seq = S.ascii_lower("seq") if strand == "+" else S.reverse_complement(S.ascii_lower("seq"))
         other = b.select("seqnum", seq.alias("seq"))
         found = K.seeds(a, other, k, max_frequency)
+        found = found if only is None else found.where(only)
         bands = K.diagonal_bands(found, k, band_log2, k if min_coverage is None else min_coverage).select("a", "b", "band").distinct()
         near = bands.select("a", "b", F.explode(F.array("band", F.col("band") + 1)).alias("band")).distinct()
         kept = found.withColumn("band", F.shiftright(F.col("a_pos") - F.col("b_pos"), band_log2)).join(near, ["a", "b", "band"], "left_semi")

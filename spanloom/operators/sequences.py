@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -313,57 +314,63 @@ def homopolymers(seqs: DataFrame, min_length: int = 3) -> DataFrame:
 def dust_mask(seqs: DataFrame, window: int = 64, threshold: float = 2.0, linker: int = 1) -> DataFrame:
     """(seqnum, seq): stretches of low complexity in lower case, all else in upper case.
 
-    The score of a stretch of n triplets is the number of pairs of equal triplets in it over n - 1. In each
-    window the stretch with the highest score is masked if it exceeds `threshold` (first start, then
-    shortest, of equal ones); masked stretches at most `linker` apart become one. Triplets with
-    a wildcard count for nothing. Null sequences stay null.
+    The score of a stretch of n triplets is the number of pairs of equal triplets in it over n - 1. Masked are all stretches of at most
+    `window` letters that score more than `threshold` and of which no part scores more than the whole; masked stretches at
+    most `linker` letters apart become one. Triplets with a wildcard equal nothing. Null sequences stay null.
     """
     kind = seqs.schema["seqnum"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if s is None else _masked(s, window, threshold, linker) for s in batch.column(1).to_pylist()]
+            texts = batch.column(1)
+            flat, off = bases.letters(texts)
+            # Letters of other scripts are one byte here, and no letters to turn: such texts are spelled out by themselves.
+            low = low_complexity(flat, off, window, threshold, linker)
+            upper = np.where((flat >= 97) & (flat <= 122), flat - 32, flat)
+            upper = np.where(low & (upper >= 65) & (upper <= 90), upper + 32, upper).astype(np.uint8)
+            whole = upper.tobytes().decode("ascii")
+            out = [None if s is None else whole[x:y] if s.isascii() else "".join(c if ord(c) > 127 else z for c, z in zip(s, whole[x:y], strict=True)) for s, x, y in zip(texts.to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["seqnum", "seq"])
 
     return seqs.select("seqnum", "seq").mapInArrow(run, f"seqnum {kind}, seq string")
 
 
-def _masked(seq: str, window: int, threshold: float, linker: int) -> str:
-    upper = "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in seq)
-    digit = {c: k for k, c in enumerate("ACGT")} | {"U": 3}
-    triplet = [16 * digit[a] + 4 * digit[b] + digit[c] if a in digit and b in digit and c in digit else -1 for a, b, c in zip(upper, upper[1:], upper[2:], strict=False)]
-    spans: list[list[int]] = []
-    # Windows go by half their length, so any stretch of up to half a window lies in one of them whole.
-    for begin in range(0, max(len(triplet), 1), max(window // 2, 1)):
-        part = triplet[begin : begin + window - 2]
-        best, span = threshold, None
-        for i in range(len(part)):
-            seen, pairs = [0] * 64, 0
-            for j in range(i, len(part)):
-                if part[j] >= 0:
-                    pairs += seen[part[j]]
-                    seen[part[j]] += 1
-                if j > i and pairs > best * (j - i):
-                    best, span = pairs / (j - i), (begin + i, begin + j + 3)
-        if span:
-            spans.append(list(span))
-    merged: list[list[int]] = []
-    for s, e in sorted(spans):
-        if merged and s <= merged[-1][1] + linker:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    out = list(upper)
-    for s, e in merged:
-        out[s:e] = [chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in out[s:e]]
-    return "".join(out)
+def low_complexity(flat: np.ndarray, off: np.ndarray, window: int, threshold: float, linker: int) -> np.ndarray:
+    """Which letters of a block of texts lie in stretches of low complexity: one pass over the block for each length of a stretch."""
+    n = len(flat)
+    marks = np.zeros(n + 1, np.int64)
+    if n >= 3:
+        forward, _ = bases.codon_numbers(flat)
+        row_end = off[np.searchsorted(off, np.arange(n - 2), "right")]
+        triplet = np.where((forward < 64) & (np.arange(n - 2) + 3 <= row_end), forward, -1 - np.arange(n - 2))
+        m = len(triplet)
+        before, pairs, best = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+        for size in range(2, min(window - 2, m) + 1):
+            # `before` counts equal triplets among the size - 1 that stand before each one.
+            before[size - 1 :] += triplet[size - 1 :] == triplet[: m - size + 1]
+            k = m - size + 1
+            pairs = pairs[:k] + before[size - 1 :]
+            inside = np.arange(k) + size + 2 <= row_end[:k]
+            score = np.where(inside, pairs / (size - 1), 0)
+            parts = np.maximum(best[:k], best[1 : k + 1] if len(best) > k else 0)
+            at = np.flatnonzero((score > threshold) & (score >= parts))
+            marks[at] += 1
+            marks[at + size + 2] -= 1
+            best = np.maximum(score, parts)
+    low = np.cumsum(marks)[:n] > 0
+    # Close gaps between stretches of one text that are short enough.
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], low.astype(np.int8), [0]])))
+    start, end = edge[::2], edge[1::2]
+    for x, y in zip(end[:-1].tolist(), start[1:].tolist(), strict=True):
+        if y - x <= linker and np.searchsorted(off, x - 1, "right") == np.searchsorted(off, y, "right"):
+            low[x:y] = True
+    return low
 
 
 def correct_homopolymers(reads: DataFrame, reference: DataFrame, max_change: int = 2, max_quality: float = 30.0, min_length: int = 3) -> DataFrame:
     """(seqnum, seq, qual, edits): homopolymer runs of aligned reads set to the length that the reference has.
 
-    reads (seqnum, ref, ref_start 0-based, seq, qual) are aligned without gaps but for homopolymer
-    lengths. A run of min_length or more in the reference changes a read's run of the same base
+    reads (seqnum, ref, ref_start 0-based, seq, qual) are aligned run by run, replaced, missing and added runs included. A run of min_length or more in the reference changes a read's run of the same base
     if the lengths differ by at most max_change and the mean quality of the read's run is max_quality or less;
     added bases take the mean quality of the run.
     """
@@ -392,18 +399,21 @@ def _base_runs(s: str) -> list[tuple[str, int]]:
 
 
 def _corrected(seq: str, qual: str, near: str, max_change: int, max_quality: float, min_length: int) -> tuple[str, str, int]:
-    """Runs of read and reference pair off while their bases agree; from the first that do not, the read stays as it is."""
+    """Read and reference are aligned with each run as one letter, so a run has its partner however long either is."""
+    from spanloom.operators.alignments import align_places
+
+    runs, wanted = _base_runs(seq), _base_runs(near)
+    _, i, _, j, _, cigar = align_places("".join(b for b, _ in runs), "".join(b for b, _ in wanted), local=True)
+    partner: dict[int, int] = {}
+    for n, op in re.findall(r"(\d+)([=XID])", cigar):
+        if op == "=":
+            partner |= {i + k: j + k for k in range(int(n))}
+        i, j = i + int(n) * (op != "I"), j + int(n) * (op != "D")
     at, out, marks, edits = 0, [], [], 0
-    wanted = _base_runs(near)
-    runs = _base_runs(seq)
-    for k, (base, n) in enumerate(runs):
+    for k, (_, n) in enumerate(runs):
         letters, scores = seq[at : at + n], qual[at : at + n]
         at += n
-        if k >= len(wanted) or wanted[k][0] != base:
-            out.append(letters + seq[at:])
-            marks.append(scores + qual[at:])
-            break
-        size = wanted[k][1]
+        size = wanted[partner[k]][1] if k in partner else n
         mean = sum(ord(c) - 33 for c in scores) / n
         # The last run of a read may go on in the reference: its length says nothing.
         if k + 1 < len(runs) and size != n and size >= min_length and abs(size - n) <= max_change and mean <= max_quality:

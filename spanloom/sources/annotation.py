@@ -203,12 +203,13 @@ def undefined_parents(features: DataFrame) -> DataFrame:
     return named.join(features.select(F.col("feature_id").alias("parent")).distinct(), "parent", "left_anti")
 
 
-def gff3_lines(features: DataFrame) -> DataFrame:
-    """Features as GFF3 lines, in order of ord."""
+def gff3_lines(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features as GFF3 lines, in order of ord; with `keep` these columns beside the lines, in any order."""
     pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), F.when(e["key"].isin("Parent", "Dbxref", "Alias", "Note", "Ontology_term"), F.array_join(F.transform(F.split(e["value"], ","), S.escape_gff3), ",")).otherwise(S.escape_gff3(e["value"]))))
     text = F.coalesce(F.nullif(F.array_join(pairs, ";"), F.lit("")), F.lit("."))
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    return features.orderBy("ord").select(F.concat_ws("\t", "seqid", dot("source"), "type", F.col("start").cast("string"), F.col("end").cast("string"), dot("score"), dot("strand"), dot("phase"), text).alias("line"))
+    line = F.concat_ws("\t", "seqid", dot("source"), "type", F.col("start").cast("string"), F.col("end").cast("string"), dot("score"), dot("strand"), dot("phase"), text).alias("line")
+    return features.select(*keep, line) if keep else features.orderBy("ord").select(line)
 
 
 def write_gff3(features: DataFrame, regions: DataFrame, path: str) -> None:

@@ -46,10 +46,12 @@ def test_wildcards_and_masks(spark):
 
 
 def test_homopolymer_correction(spark):
-    reads = spark.createDataFrame([(1, 9, 0, "acaaaagtccg", "+" * 11), (2, 9, 0, "acaaaagtccg", "I" * 11), (3, 9, 2, "aagtccc", "+" * 7), (4, 9, 0, "ttt", "+++")], "seqnum long, ref long, ref_start long, seq string, qual string")
+    reads = spark.createDataFrame([(1, 9, 0, "acaaaagtccg", "+" * 11), (2, 9, 0, "acaaaagtccg", "I" * 11), (3, 9, 2, "aagtccc", "+" * 7), (4, 9, 0, "ttt", "+++"), (5, 9, 0, "agaaaagatccg", "+" * 12)], "seqnum long, ref long, ref_start long, seq string, qual string")
     ref = spark.createDataFrame([(9, "acaaagtcccg")], "seqnum long, seq string")
     got = {r.seqnum: (r.seq, r.edits, len(r.qual)) for r in Q.correct_homopolymers(reads, ref).collect()}
     assert got[1] == ("acaaagtcccg", 2, 11) and got[2] == ("acaaaagtccg", 0, 11) and got[3] == ("aaagtccc", 1, 8) and got[4] == ("ttt", 0, 3)
+    # A replaced and an added base leave the runs behind them with their partners.
+    assert got[5] == ("agaaagatcccg", 2, 12)
 
 
 def test_flat_file_formats(spark, tmp_path):
@@ -110,3 +112,31 @@ def test_selected_chains():
     chains = [(9.0, [1]), (9.0, [2]), (7.0, [3]), (4.0, [4])]
     assert L.select_chains(chains, best=2) == chains[:3] and L.select_chains(chains, min_score=8) == chains[:2]
     assert L.select_chains(chains, percent=25) == chains[:3] and L.select_chains([], percent=25) == []
+
+
+def test_low_complexity_by_its_definition():
+    import pyarrow as pa
+
+    from spanloom.functions import bases
+
+    rng = random.Random(91)
+    texts = ["".join(rng.choice(rng.choice(["acgt", "ac", "a", "acgtn"])) for _ in range(rng.randrange(0, 40))) for _ in range(25)] + ["a" * 30, "ac" * 20, "", "at"]
+    flat, off = bases.letters(pa.array(texts))
+    got = Q.low_complexity(flat, off, 20, 1.5, 1)
+    for t, x, y in zip(texts, off[:-1], off[1:], strict=True):
+        triplets = [t[i : i + 3] for i in range(len(t) - 2)]
+
+        def score(i, j, triplets=triplets):
+            part = [w for w in triplets[i:j] if "n" not in w]
+            return sum(part[p] == part[q] for q in range(len(part)) for p in range(q)) / (j - i - 1) if j - i > 1 else 0
+
+        low = [False] * len(t)
+        for i in range(len(triplets)):
+            for j in range(i + 2, min(i + 18, len(triplets)) + 1):
+                s = score(i, j)
+                if s > 1.5 and all(score(p, q) <= s for p in range(i, j) for q in range(p + 2, j + 1)):
+                    low[i : j + 2] = [True] * (j + 2 - i)
+        for k in range(1, len(t) - 1):
+            if low[k - 1] and not low[k] and low[k + 1]:
+                low[k] = True
+        assert np.array_equal(got[x:y], low), t
