@@ -399,12 +399,18 @@ def _base_runs(s: str) -> list[tuple[str, int]]:
 
 
 def _corrected(seq: str, qual: str, near: str, max_change: int, max_quality: float, min_length: int) -> tuple[str, str, int]:
-    """Read and reference are aligned with each run as one letter, so a run has its partner however long either is."""
+    """Read and reference are aligned with each run as one letter, so a run has its partner however long either is.
+
+    Runs pair off one by one as long as their bases agree; what follows is aligned.
+    """
     from spanloom.operators.alignments import align_places
 
     runs, wanted = _base_runs(seq), _base_runs(near)
-    _, i, _, j, _, cigar = align_places("".join(b for b, _ in runs), "".join(b for b, _ in wanted), local=True)
-    partner: dict[int, int] = {}
+    same = next((k for k, (x, y) in enumerate(zip(runs, wanted, strict=False)) if x[0] != y[0]), min(len(runs), len(wanted)))
+    partner, i, j, cigar = {k: k for k in range(same)}, same, same, ""
+    if same < min(len(runs), len(wanted)):
+        _, x, _, y, _, cigar = align_places("".join(b for b, _ in runs[same:]), "".join(b for b, _ in wanted[same:]), local=True)
+        i, j = i + x, j + y
     for n, op in re.findall(r"(\d+)([=XID])", cigar):
         if op == "=":
             partner |= {i + k: j + k for k in range(int(n))}
