@@ -149,10 +149,8 @@ def front_extensions(
         other = b.select("seqnum", seq.alias("seq"))
         found = K.seeds(a, other, k, max_frequency)
         found = found if only is None else found.where(only)
-        bands = K.diagonal_bands(found, k, band_log2, k if min_coverage is None else min_coverage).select("a", "b", "band").distinct()
-        near = bands.select("a", "b", F.explode(F.array("band", F.col("band") + 1)).alias("band")).distinct()
-        kept = found.withColumn("band", F.shiftright(F.col("a_pos") - F.col("b_pos"), band_log2)).join(near, ["a", "b", "band"], "left_semi")
-        m = maximal_matches(kept.select("a", "a_pos", "b", "b_pos"), k)
+        kept = K.in_bands(found, k, band_log2, k if min_coverage is None else min_coverage)
+        m = maximal_matches(kept, k)
         per = m.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).cast("long").alias("w"), F.col("a_start").cast("long").alias("x"), F.col("b_start").cast("long").alias("y")))).alias("matches"))
         parts.append(per.join(text(a, "a", "u", S.ascii_lower("seq")), "a").join(text(other, "b", "v", F.col("seq")), "b").select("a", "b", F.lit(strand).alias("strand"), "u", "v", "matches"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
