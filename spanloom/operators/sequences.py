@@ -145,7 +145,7 @@ def six_frames(seqs: DataFrame, code: int = 1) -> DataFrame:
     amino = np.frombuffer(("".join(S.codon_map(code)[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG") + "X").encode(), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bases.few_letters(batches, 1):
             flat, off = bases.letters(batch.column(1))
             ahead, back = (amino[x] for x in bases.codon_numbers(flat)) if len(flat) > 2 else (flat[:0], flat[:0])
             out = []
@@ -266,7 +266,7 @@ def find_pattern(seqs: DataFrame, pattern: str) -> DataFrame:
     wanted = np.frombuffer(pattern.encode(), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bases.few_letters(batches, 1):
             column = batch.column(1).cast(pa.large_string()).fill_null("")
             _, off, data = column.buffers()
             off = np.frombuffer(off, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
