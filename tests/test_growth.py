@@ -1,8 +1,10 @@
 """What is dealt out, and what meets, where inputs grow."""
 
 import random
+import tracemalloc
 
 from spanloom.operators import assembly as M
+from spanloom.operators import predictions as P
 
 
 def _bases(rng, n):
@@ -15,3 +17,54 @@ def test_rare_windows_leave_as_stretches(spark):
     rows = M.rare_windows(spark.createDataFrame(list(seqs.items()), "seqnum long, seq string"), 15, 2).collect()
     assert sorted((r.seqnum, p) for r in rows for p in range(r.first, r.last + 1)) == [(i, p) for i in range(5) for p in range(386)]
     assert len(rows) < 5 * 386 / 2
+
+
+def _alignments(rng, n, reach):
+    out = []
+    for _ in range(n):
+        at, exons = rng.randrange(reach), []
+        for _ in range(rng.randrange(1, 4)):
+            size = rng.choice((10, 20, 30))
+            exons.append((at, at + size))
+            at += size + rng.choice((5, 10))
+        out.append(exons)
+    return sorted(out, key=lambda x: (x[0][0], x[-1][1]))
+
+
+def _plain_forms(al):
+    """Splice forms by sets, one pair after the other."""
+    n = len(al)
+    span = [(x[0][0], x[-1][1]) for x in al]
+    fits = [[i == j or P.compatible(al[i], al[j]) for j in range(n)] for i in range(n)]
+    held = [frozenset(j for j in range(n) if fits[i][j] and span[i][0] <= span[j][0] and span[j][1] <= span[i][1]) for i in range(n)]
+
+    def reach(order, sign):
+        sets = {}
+        for i in order:
+            near = [j for j in range(n) if j in sets and fits[i][j] and sign * span[j][0] < sign * span[i][0] and sign * span[j][1] < sign * span[i][1]]
+            sets[i] = max((sets[j] | held[i] for j in near), key=len, default=held[i])
+        return sets
+
+    left, right = reach(range(n), 1), reach(range(n - 1, -1, -1), -1)
+    left_out, forms = set(range(n)), []
+    while left_out:
+        i = max(sorted(left_out), key=lambda i: len(left[i] | right[i]))
+        forms.append(sorted(left[i] | right[i]))
+        left_out -= left[i] | right[i]
+    return forms
+
+
+def test_splice_forms_are_those_of_plain_sets():
+    rng = random.Random(2)
+    for n, reach in ((1, 5), (7, 40), (40, 60), (70, 300), (130, 400)):
+        al = _alignments(rng, n, reach)
+        assert P.splice_forms(al) == _plain_forms(al)
+
+
+def test_splice_forms_of_a_large_cluster_take_bits():
+    al = [[(3 * i, 3 * i + 4000)] for i in range(1500)]
+    tracemalloc.start()
+    assert P.splice_forms(al) == [list(range(1500))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
