@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 from spanloom.operators import assembly as M
+from spanloom.operators import joins as J
 from spanloom.operators import predictions as P
 
 
@@ -68,3 +69,18 @@ def test_splice_forms_of_a_large_cluster_take_bits():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20
+
+
+def test_overlap_totals_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    rows = lambda n: [("k%d" % rng.randrange(3), s, s + rng.randrange(40)) for s in (rng.randrange(-30, 300) for _ in range(n))]
+    x, y = rows(80), [*rows(70), ("other", 1, 2)]
+    a, b = spark.createDataFrame(x, "k string, start long, end long"), spark.createDataFrame(y, "k string, start2 long, end2 long")
+    want = {}
+    for k, s, e in x:
+        for k2, s2, e2 in y:
+            if k == k2 and s <= e2 and e >= s2:
+                n, c = want.get(k, (0, 0))
+                want[k] = (n + 1, c + min(e, e2) - max(s, s2) + 1)
+    for block in (7, 1 << 20):
+        assert {r.k: (r.pairs, r.common) for r in J.overlap_totals(a, b, ["k"], block).collect()} == want
