@@ -5,6 +5,7 @@ import tracemalloc
 
 from spanloom.operators import assembly as M
 from spanloom.operators import joins as J
+from spanloom.operators import kmers as K
 from spanloom.operators import predictions as P
 
 
@@ -84,3 +85,10 @@ def test_overlap_totals_are_those_of_all_pairs(spark):
                 want[k] = (n + 1, c + min(e, e2) - max(s, s2) + 1)
     for block in (7, 1 << 20):
         assert {r.k: (r.pairs, r.common) for r in J.overlap_totals(a, b, ["k"], block).collect()} == want
+
+
+def test_spaced_counts_are_those_of_all_places(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, _bases(rng, 60)) for i in range(9)] + [(10, "acgtnacgtacgtaACGTA"), (11, None)], "seqnum long, seq string")
+    want = {r.kmer: r["count"] for r in K.spaced_seeds(df, "110101").groupBy("kmer").count().collect()}
+    assert {r.kmer: r.n for r in K.spaced_counts(df, "110101").collect()} == want
