@@ -300,12 +300,15 @@ def shift(features: DataFrame, offsets: DataFrame) -> DataFrame:
     return features.join(offsets, "seqid", "left").withColumn("start", F.col("start") + o).withColumn("end", F.col("end") + o).drop("offset")
 
 
-def add_ids(features: DataFrame, id_col: str = "id", block: int = 1_000_000) -> DataFrame:
+def add_ids(features: DataFrame, id_col: str = "id", rows: int = 100_000) -> DataFrame:
     """An id of type and place in the type's input order where there is none.
 
-    Features are counted by blocks of `ord` first, so a window holds a block of one type, not the type.
+    Features are counted by blocks of `ord` first, so a window holds a block of one type, not the type. Blocks are so
+    wide that `rows` features are in one on average: their number grows with the features, whatever the numbers in `ord`.
     """
-    cut = features.withColumn("__block", F.floor(F.col("ord") / block))
+    low, high, n = features.agg(F.min("ord"), F.max("ord"), F.count("*")).first()
+    block = max(1, (high - low + 1) * rows // n) if low is not None else 1
+    cut = features.withColumn("__block", F.expr(f"(ord - {low or 0}) div {block}"))
     before = Window.partitionBy("type").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     begin = cut.groupBy("type", "__block").agg(F.count("*").alias("__n")).select("type", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
     nth = F.row_number().over(Window.partitionBy("type", "__block").orderBy("ord"))

@@ -3,6 +3,9 @@
 import random
 import tracemalloc
 
+from pyspark.sql import functions as F
+
+from spanloom.operators import annotation as A
 from spanloom.operators import assembly as M
 from spanloom.operators import joins as J
 from spanloom.operators import kmers as K
@@ -92,3 +95,26 @@ def test_spaced_counts_are_those_of_all_places(spark):
     df = spark.createDataFrame([(i, _bases(rng, 60)) for i in range(9)] + [(10, "acgtnacgtacgtaACGTA"), (11, None)], "seqnum long, seq string")
     want = {r.kmer: r["count"] for r in K.spaced_seeds(df, "110101").groupBy("kmer").count().collect()}
     assert {r.kmer: r.n for r in K.spaced_counts(df, "110101").collect()} == want
+
+
+def test_ids_are_made_in_blocks_of_many_features(spark):
+    """Numbers far apart, as those of the tables are: blocks of fixed width would hold one feature each."""
+    rows = [("exon" if i % 3 else "CDS", i * 7_000_000 + i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "type string, ord long").withColumn("id", F.lit(None).cast("string"))
+    want, n = {}, {}
+    for kind, at in rows:
+        n[kind] = n.get(kind, 0) + 1
+        want[at] = f"{kind}{n[kind]}"
+    for size in (7, 100_000):
+        assert {r.ord: r.id for r in A.add_ids(df, rows=size).collect()} == want
+    assert A.add_ids(df.where("false")).count() == 0
+
+
+def test_delta_join_is_that_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows = lambda n: [("k%d" % rng.randrange(2), i, s, s + rng.randrange(9)) for i, s in enumerate(rng.randrange(-20, 60) for _ in range(n))]
+    x, y = rows(60), rows(60)
+    a, b = spark.createDataFrame(x, "k string, i long, start long, end long"), spark.createDataFrame(y, "k string, j long, start2 long, end2 long")
+    for delta in (0, 2):
+        want = sorted((i, j) for k, i, s, e in x for k2, j, s2, e2 in y if k == k2 and abs(s - s2) <= delta and abs(e - e2) <= delta)
+        assert sorted((r.i, r.j) for r in J.delta_join(a, b, ["k"], delta).collect()) == want
