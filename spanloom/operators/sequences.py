@@ -238,8 +238,10 @@ def mutate(seqs: DataFrame, percent: float, seed: int) -> DataFrame:
     roll = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("seqnum"), i), F.lit(1_000_000))
     base = lambda i: F.substring(F.lit("acgt"), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("seqnum"), i), F.lit(4)) + 1).cast("int"), F.lit(1))
     third = percent / 100 * 1_000_000 / 3
-    one = lambda c, i: F.when(roll(i) < third, base(i)).when(roll(i) < 2 * third, F.lit("")).when(roll(i) < 3 * third, F.concat(c, base(i))).otherwise(c)
-    return seqs.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), one), ""))
+    # Few bases change: they are found first, by one draw a base, and put in from the last to the first.
+    put = lambda c, i: F.when(roll(i) < third, base(i)).when(roll(i) < 2 * third, F.lit("")).otherwise(F.concat(c, base(i)))
+    places = F.when(F.length("seq") > 0, F.filter(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: roll(i) < 3 * third)).otherwise(F.array().cast("array<int>"))
+    return seqs.withColumn("seq", F.aggregate(F.reverse(places), F.col("seq"), lambda s, i: F.overlay(s, put(F.substring(s, i + 1, F.lit(1)), i), i + 1, F.lit(1))))
 
 
 def sample_total_length(seqs: DataFrame, total: int, seed: int, bins: int = 4096) -> DataFrame:

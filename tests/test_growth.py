@@ -10,6 +10,7 @@ from spanloom.operators import assembly as M
 from spanloom.operators import joins as J
 from spanloom.operators import kmers as K
 from spanloom.operators import predictions as P
+from spanloom.operators import sequences as Q
 
 
 def _bases(rng, n):
@@ -118,3 +119,8 @@ def test_delta_join_is_that_of_all_pairs(spark):
     for delta in (0, 2):
         want = sorted((i, j) for k, i, s, e in x for k2, j, s2, e2 in y if k == k2 and abs(s - s2) <= delta and abs(e - e2) <= delta)
         assert sorted((r.i, r.j) for r in J.delta_join(a, b, ["k"], delta).collect()) == want
+
+
+def test_sequences_without_bases_do_not_mutate(spark):
+    df = spark.createDataFrame([(i, "") for i in range(30)] + [(99, None)], "seqnum long, seq string")
+    assert {r.seq for r in Q.mutate(df, 100.0, 5).collect()} == {"", None}
