@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,18 +197,56 @@ def longest_orf_cds(transcripts: DataFrame, min_codons: int = 64, code: int = 1)
 
 def variant_effects(snps: DataFrame, cds: DataFrame, code: int = 1) -> DataFrame:
     """Effect of single-base changes on codons: snps (cds_id, pos 0-based in the coding sequence, alt), cds (cds_id, seq)."""
-    j = snps.join(cds, "cds_id").where(F.col("pos") < 3 * F.floor(F.length("seq") / 3))
-    at = (F.floor(F.col("pos") / 3) * 3 + 1).cast("int")
-    codon = S.ascii_upper(F.substring("seq", at, F.lit(3)))
-    k = F.col("pos") % 3
-    new = F.concat(F.substring(codon, F.lit(1), k), S.ascii_upper("alt"), F.substring(codon, k + 2, F.lit(3)))
-    j = j.withColumn("codon", codon).withColumn("new_codon", new)
-    j = j.withColumn("aa", S.translate_dna("codon", 0, code)).withColumn("new_aa", S.translate_dna("new_codon", 0, code))
-    effect = (
-        F.when((F.col("aa") == "*") & (F.col("new_aa") == "*"), "stop_retained_variant").when(F.col("aa") == "*", "stop_lost").when(F.col("new_aa") == "*", "stop_gained")
-        .when(F.col("aa") == F.col("new_aa"), "synonymous_variant").otherwise("missense_variant")
-    )
-    return j.select("cds_id", "pos", "alt", "codon", "new_codon", "aa", "new_aa", effect.alias("effect"))
+    changes = snps.groupBy("cds_id").agg(F.collect_list(F.struct("pos", "alt")).alias("changes"))
+    return effects_of_changes(cds.join(changes, "cds_id"), code)
+
+
+def effects_of_changes(cds: DataFrame, code: int = 1) -> DataFrame:
+    """As `variant_effects`, from cds (cds_id, seq, changes): the changes, an array of (pos, alt), lie beside the sequence that they change.
+
+    A sequence is taken apart once, however many changes it has. Further fields of `changes` come behind the columns of `variant_effects`.
+    """
+    fields = cds.schema["changes"].dataType.elementType.fields
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    more = [f.name for f in fields if f.name not in ("pos", "alt")]
+    kind = cds.schema["cds_id"].dataType.simpleString()
+    names = ["cds_id", "pos", "alt", "codon", "new_codon", "aa", "new_aa", "effect", *more]
+    amino = S.codon_map(code)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bases.few_letters(batches, 1):
+            flat, off = bases.points(batch.column(1))
+            lists = batch.column(2)
+            row, each = pc.list_parent_indices(lists).to_numpy().astype(np.int64), lists.flatten()
+            pos = pc.fill_null(each.field("pos").cast(pa.int64()), -1).to_numpy()
+            inside = np.flatnonzero((pos >= 0) & (pos < np.diff(off)[row] // 3 * 3))
+            row, pos, each = row[inside], pos[inside], each.take(pa.array(inside))
+            at = off[row] + pos // 3 * 3
+            # Three code points of 21 bits are one number; few numbers, places and bases go together, and each such case is worked out once.
+            codon = sum(flat[at + k].astype(np.int64) << 21 * (2 - k) for k in range(3)) if len(at) else at
+            codon, alt = pa.array(codon).dictionary_encode(), each.field("alt").dictionary_encode(null_encoding="encode")
+            case = (codon.indices.to_numpy().astype(np.int64) * 3 + pos % 3) * max(len(alt.dictionary), 1) + alt.indices.to_numpy()
+            case = pa.array(case).dictionary_encode()
+            known = codon.dictionary.to_pylist(), alt.dictionary.to_pylist()
+            rows = [_effect(known[0][x // len(known[1]) // 3], x // len(known[1]) % 3, known[1][x % len(known[1])], amino) for x in case.dictionary.to_pylist()]
+            columns = [pa.array([r[k] for r in rows], pa.string()).take(case.indices) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), each.field("pos"), each.field("alt"), *columns, *(each.field(c) for c in more)], names=names)
+
+    types = [kind, kinds["pos"], kinds["alt"], *["string"] * 5, *(kinds[c] for c in more)]
+    return cds.select("cds_id", "seq", "changes").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+
+
+_ASCII_UPPER = {x: x - 32 for x in range(97, 123)}
+
+
+def _effect(codon: int, k: int, alt: str | None, amino: dict[str, str]) -> tuple[str, str | None, str, str | None, str]:
+    """(codon, new codon, amino acids of both, effect) of base k of a codon, three code points in one number, replaced by `alt`."""
+    old = "".join(chr(codon >> x & 0x1FFFFF) for x in (42, 21, 0)).translate(_ASCII_UPPER)
+    new = None if alt is None else old[:k] + alt.translate(_ASCII_UPPER) + old[k + 1 :]
+    aa, new_aa = (None if s is None else "".join(amino.get(s[i : i + 3].replace("U", "T"), "X") for i in range(0, len(s) - 2, 3)) for s in (old, new))
+    if aa == "*":
+        return old, new, aa, new_aa, "stop_retained_variant" if new_aa == "*" else "stop_lost"
+    return old, new, aa, new_aa, "stop_gained" if new_aa == "*" else "synonymous_variant" if aa == new_aa else "missense_variant"
 
 
 def splice_sites(introns: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What is dealt out, and what meets, where inputs grow."""
 
 import random
+import time
 import tracemalloc
 
 from pyspark.sql import functions as F
@@ -124,3 +125,25 @@ def test_delta_join_is_that_of_all_pairs(spark):
 def test_sequences_without_bases_do_not_mutate(spark):
     df = spark.createDataFrame([(i, "") for i in range(30)] + [(99, None)], "seqnum long, seq string")
     assert {r.seq for r in Q.mutate(df, 100.0, 5).collect()} == {"", None}
+
+
+def test_changes_meet_their_sequence_once(spark):
+    # Every change looked for its codon from the first base on: a million bases with a change at every seventh did not end.
+    s = _bases(random.Random(27), 1_000) * 1_000
+    cds = spark.createDataFrame([(1, s)], "cds_id long, seq string")
+    snps = spark.range(0, len(s), 7).select(F.lit(1).cast("long").alias("cds_id"), F.col("id").alias("pos"), F.lit("G").alias("alt"))
+    began = time.time()
+    rows = Q.variant_effects(snps, cds).where("codon <> upper(codon) OR length(new_codon) <> 3").count(), Q.variant_effects(snps, cds).count()
+    assert rows == (0, len(range(0, len(s) // 3 * 3, 7))) and time.time() - began < 60
+
+
+def test_effects_of_odd_changes(spark):
+    cds = spark.createDataFrame([(1, "atgtaaAUGnéac"), (2, None), (3, ""), (4, "tga")], "cds_id int, seq string")
+    snps = [(1, 0, "c"), (1, 4, "G"), (1, 5, "c"), (1, 8, "a"), (1, 9, "a"), (1, 10, "a"), (1, 12, "a"), (1, 2, None), (1, 3, None), (1, None, "a"), (2, 0, "a"), (3, 0, "a"), (4, 1, "A"), (4, 0, "C"), (5, 0, "a"), (4, 2, "é"), (1, 6, "u")]
+    got = Q.variant_effects(spark.createDataFrame(snps, "cds_id int, pos int, alt string"), cds).collect()
+    assert sorted(((r.cds_id, r.pos, r.codon, r.new_codon, r.aa, r.new_aa, r.effect) for r in got), key=str) == sorted([
+        (1, 0, "ATG", "CTG", "M", "L", "missense_variant"), (1, 2, "ATG", None, "M", None, "missense_variant"), (1, 3, "TAA", None, "*", None, "stop_lost"),
+        (1, 4, "TAA", "TGA", "*", "*", "stop_retained_variant"), (1, 5, "TAA", "TAC", "*", "Y", "stop_lost"), (1, 6, "AUG", "UUG", "M", "L", "missense_variant"),
+        (1, 8, "AUG", "AUA", "M", "I", "missense_variant"), (1, 9, "NéA", "AéA", "X", "X", "synonymous_variant"), (1, 10, "NéA", "NAA", "X", "X", "synonymous_variant"),
+        (4, 0, "TGA", "CGA", "*", "R", "stop_lost"), (4, 1, "TGA", "TAA", "*", "*", "stop_retained_variant"), (4, 2, "TGA", "TGé", "*", "X", "stop_lost"),
+    ], key=str)
