@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +181,28 @@ def open_frames(seqs: DataFrame, min_codons: int = 30, longest: bool = False, co
 
 
 def spliced(features: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(parent, strand, seq): the parts of each parent (parent, seqnum, start, end, strand) joined in reading direction."""
-    part = F.substring("seq", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    parts = features.join(seqs, "seqnum").select("parent", "seqnum", "strand", F.struct("start", "end", part.alias("s")).alias("p"))
-    joined = parts.groupBy("parent", "seqnum", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("s"))
+    """(parent, strand, seq): the parts of each parent (parent, seqnum, start, end, strand) joined in reading direction.
+
+    The parts are gathered first, so that a sequence meets each parent once and is cut in one pass.
+    """
+    parts = features.groupBy("parent", "seqnum", "strand").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("parts"))
+    rows = parts.join(seqs.select("seqnum", "seq"), "seqnum").select("parent", "seqnum", "strand", "seq", "parts")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bases.few_letters(batches, 3):
+            flat, off = bases.points(batch.column(3))
+            lists = batch.column(4)
+            row, each = pc.list_parent_indices(lists).to_numpy().astype(np.int64), lists.flatten()
+            start, end = (pc.fill_null(each.field(c), v).to_numpy() for c, v in (("start", 1), ("end", 0)))
+            start, end = (off[row] + np.clip(x, 0, np.diff(off)[row]) for x in (start - 1, end))
+            size = np.maximum(end - start, 0)
+            whole = flat[bases.spans(start, size)]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(row, np.arange(batch.num_rows + 1))].tolist()
+            told = whole.tobytes().decode("ascii") if whole.dtype == np.uint8 else whole.astype("<u4").tobytes().decode("utf-32-le")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([told[x:y] for x, y in pairwise(ends)], pa.string())], names=["parent", "seqnum", "strand", "s"])
+
+    joined = rows.mapInArrow(run, f"{kinds}, s string")
     return joined.select("parent", "seqnum", "strand", F.when(F.col("strand") == "-", S.reverse_complement("s")).otherwise(F.col("s")).alias("seq"))
 
 

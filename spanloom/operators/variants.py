@@ -37,15 +37,18 @@ def annotate(snps: DataFrame, genes: DataFrame, cds: DataFrame, seqs: DataFrame,
     minus = F.col("strand") == "-"
     place = F.col("before") + F.when(minus, F.col("end") - F.col("point")).otherwise(F.col("point") - F.col("start"))
     turned = lambda c: F.when(minus, S.complement(c)).otherwise(F.col(c))
-    at = at.select("snp_id", "seqid", F.col("point").alias("pos"), "alt", F.col("parent").alias("cds_id"), place.alias("cds_pos"), turned("alt").alias("read"), turned("ref").alias("expected"))
+    fields = [place.cast("long").alias("pos"), turned("alt").alias("alt"), "snp_id", F.col("point").alias("at"), F.col("alt").alias("base"), turned("ref").alias("expected")]
+    # All changes of a transcript travel as one row, so sequences and owners meet transcripts, not variants.
+    changes = at.where("alt IS NOT NULL").groupBy(F.col("parent").alias("cds_id"), "seqid").agg(F.collect_list(F.struct(*fields)).alias("changes"))
     spliced = Q.spliced(cds.select("parent", F.col("seqid").alias("seqnum"), "start", "end", "strand"), seqs).select(F.col("parent").alias("cds_id"), "seq")
-    wanted = at.select("cds_id", F.col("cds_pos").alias("pos"), F.col("read").alias("alt")).distinct()
-    effects = Q.variant_effects(wanted, spliced, code)
-    found = at.join(effects.select("cds_id", F.col("pos").alias("cds_pos"), F.col("alt").alias("read"), "codon", "new_codon", "aa", "new_aa", "effect"), ["cds_id", "cds_pos", "read"])
-    base = F.substring("codon", (F.col("cds_pos") % 3 + 1).cast("int"), F.lit(1))
     owner = cds.select(F.col("parent").alias("cds_id"), "seqid", "gene_id").distinct().join(gene_clusters(genes), ["seqid", "gene_id"])
-    found = found.join(owner, ["cds_id", "seqid"])
-    return found.select("snp_id", "seqid", "pos", "alt", "cluster", "gene_id", F.col("cds_id").alias("parent"), "cds_pos", "codon", "new_codon", "aa", "new_aa", "effect", (F.lower(base) == F.lower("expected")).alias("ref_ok"))
+    of = changes.join(owner, ["cds_id", "seqid"]).join(spliced, "cds_id").select(F.struct("cds_id", "seqid", "gene_id", "cluster").alias("cds_id"), "seq", "changes")
+    found = Q.effects_of_changes(of, code)
+    base = F.substring("codon", (F.col("pos") % 3 + 1).cast("int"), F.lit(1))
+    return found.select(
+        "snp_id", "cds_id.seqid", F.col("at").alias("pos"), F.col("base").alias("alt"), "cds_id.cluster", "cds_id.gene_id", F.col("cds_id.cds_id").alias("parent"), F.col("pos").alias("cds_pos"),
+        "codon", "new_codon", "aa", "new_aa", "effect", (F.lower(base) == F.lower("expected")).alias("ref_ok"),
+    )
 
 
 def effect_attributes(annotated: DataFrame) -> DataFrame:

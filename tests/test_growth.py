@@ -12,6 +12,7 @@ from spanloom.operators import joins as J
 from spanloom.operators import kmers as K
 from spanloom.operators import predictions as P
 from spanloom.operators import sequences as Q
+from spanloom.plans.assembly_queries import QUERIES
 
 
 def _bases(rng, n):
@@ -147,3 +148,17 @@ def test_effects_of_odd_changes(spark):
         (1, 8, "AUG", "AUA", "M", "I", "missense_variant"), (1, 9, "NéA", "AéA", "X", "X", "synonymous_variant"), (1, 10, "NéA", "NAA", "X", "X", "synonymous_variant"),
         (4, 0, "TGA", "CGA", "*", "R", "stop_lost"), (4, 1, "TGA", "TAA", "*", "*", "stop_retained_variant"), (4, 2, "TGA", "TGé", "*", "X", "stop_lost"),
     ], key=str)
+
+
+def test_annotated_variants_read_texts_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "check"))
+    spark.createDataFrame([(i, "Some text, " * 20 * i) for i in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["variant_annotations"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_replace") <= 2
+
+
+def test_spliced_odd_parts(spark):
+    seqs = spark.createDataFrame([(1, "acgtacgtéacgTN"), (2, None), (3, ""), (4, "ggcc")], "seqnum int, seq string")
+    parts = [("a", 1, 7, 10, "+"), ("a", 1, 1, 2, "+"), ("a", 1, 13, 40, "+"), ("a", 1, 90, 95, "+"), ("b", 1, 12, 14, "-"), ("b", 1, 1, 3, "-"), ("c", 2, 1, 5, "+"), ("d", 3, 1, 5, "-"), ("e", 4, 3, 2, "+"), ("f", 4, 2, 3, "."), ("g", 5, 1, 2, "+")]
+    got = Q.spliced(spark.createDataFrame(parts, "parent string, seqnum int, start long, end long, strand string"), seqs).collect()
+    assert {(r.parent, r.strand, r.seq) for r in got} == {("a", "+", "acgtéaTN"), ("b", "-", "NAccgt"), ("c", "+", ""), ("d", "-", ""), ("e", "+", ""), ("f", ".", "gc")} and len(got) == 6
