@@ -440,14 +440,76 @@ def correct_homopolymers(reads: DataFrame, reference: DataFrame, max_change: int
     rows = rows.select("seqnum", "seq", "qual", piece.alias("near"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_corrected(*x, max_change, max_quality, min_length) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-            seq, qual, edits = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.string()), pa.array(qual, pa.string()), pa.array(edits, pa.int32())], names=["seqnum", "seq", "qual", "edits"])
+        for large in batches:
+            for batch in bases.few_letters([large], 1):
+                out, plain = _corrected_runs(batch, max_change, max_quality, min_length)
+                # Reads whose runs and those of the reference differ in their bases are aligned one by one.
+                other = np.flatnonzero(~plain)
+                if len(other):
+                    done = [_corrected(*x, max_change, max_quality, min_length) for x in zip(*(batch.column(k).take(pa.array(other)).to_pylist() for k in (1, 2, 3)), strict=True)]
+                    mask = pa.array(~plain)
+                    out = [pc.replace_with_mask(c, mask, pa.array(v, c.type)) for c, v in zip(out, zip(*done, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["seqnum", "seq", "qual", "edits"])
 
     return rows.mapInArrow(run, f"seqnum {kind}, seq string, qual string, edits int")
 
 
+def _flat_runs(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, first) of the runs of equal letters of a block of texts, none over two texts; `first` is the number of each text's first run."""
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[off[:-1][off[:-1] < len(flat)]] = True
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(flat))), np.searchsorted(start, off)
+
+
+def _corrected_runs(batch: pa.RecordBatch, max_change: int, max_quality: float, min_length: int) -> tuple[list[pa.Array], np.ndarray]:
+    """(seq, qual, edits) as `_corrected` gives them, and for which rows they hold: those whose runs agree in their bases as far as both go."""
+    (flat, off), (marks, marks_off), (near, near_off) = (bases.letters(batch.column(k)) for k in (1, 2, 3))
+    lower = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
+    low_near = np.where((near >= 65) & (near <= 90), near + np.uint8(32), near)
+    plain = np.diff(off) == np.diff(marks_off)
+    for k, x in ((1, flat), (2, marks), (3, near)):
+        plain &= ~pc.is_null(batch.column(k)).to_numpy(zero_copy_only=False)
+        if (x == 63).any():  # perhaps a letter beyond ASCII
+            plain &= pc.string_is_ascii(batch.column(k)).fill_null(False).to_numpy(zero_copy_only=False)
+    start, size, first = _flat_runs(lower, off)
+    start2, size2, first2 = _flat_runs(low_near, near_off)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    k = np.arange(len(start)) - first[row]
+    partner = first2[row] + k
+    both = partner < first2[row + 1]
+    at = np.flatnonzero(both)
+    plain[row[at[lower[start[at]] != low_near[start2[partner[at]]]]]] = False
+    wanted = size.copy()
+    wanted[at] = size2[partner[at]]
+    last = np.arange(len(start)) + 1 == first[row + 1]
+    change = ~last & (wanted != size) & (wanted >= min_length) & (np.abs(wanted - size) <= max_change) & plain[row]
+    if change.any():  # qualities lie beside their bases from here on, as both texts are of one length
+        at = np.flatnonzero(change)
+        total = np.concatenate([[0], np.cumsum(marks.astype(np.int64) - 33)])
+        begin = marks_off[row[at]] + start[at] - off[row[at]]
+        mean = (total[begin + size[at]] - total[begin]) / size[at]
+        change[at[mean > max_quality]] = False
+        mean = mean[mean <= max_quality]
+    else:
+        mean = np.zeros(0)
+    # Every letter of the result comes from a place of the read: the run's own, and its last one again where bases are added.
+    new = np.where(change, wanted, size)
+    run = np.repeat(np.arange(len(start)), new)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(new) - new, new)
+    source = start[run] + np.minimum(inner, size[run] - 1)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, new, batch.num_rows).astype(np.int64))])
+    scores = marks[np.minimum(source - off[row[run]] + marks_off[row[run]], max(len(marks) - 1, 0))] if len(marks) else np.zeros(len(run), np.uint8)
+    added = np.flatnonzero(inner >= size[run])
+    of = np.zeros(len(start), np.uint8)
+    of[np.flatnonzero(change)] = 33 + np.rint(mean).astype(np.int64)
+    scores[added] = of[run[added]]
+    text = lambda x: pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.string())
+    edits = np.bincount(row[change], minlength=batch.num_rows).astype(np.int32)
+    return [text(flat[source]), text(scores), pa.array(edits)], plain
+
+
 def _base_runs(s: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     for c in s.lower():
