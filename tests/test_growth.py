@@ -184,3 +184,16 @@ def test_runs_of_reads_are_corrected_by_batches():
     began = time.time()
     out, plain = Q._corrected_runs(block(many), 2, 30.0, 3)
     assert plain.all() and set(out[2].to_pylist()) == {18} and time.time() - began < 6
+
+
+def test_levels_are_counted_by_ids(spark, monkeypatch):
+    # Each question for a further level joined the pairs of all levels again.
+    rows = [(f"o{i}", [f"c{i % 50}"]) for i in range(500)] + [(f"p{i % 90}", [f"o{i % 500}"]) for i in range(2000)]
+    df, asked = spark.createDataFrame(rows, "id string, parent_ids array<string>"), []
+    kind, empty = type(df), type(df).isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda self: asked.append(self._jdf.queryExecution().optimizedPlan().toString()) or empty(self))
+    got = J.descendants(df)
+    pairs = {(p[0], i) for i, p in rows} | {(f"c{j % 500 % 50}", f"p{j % 90}") for j in range(2000)}
+    assert {(r.ancestor, r.descendant, r.depth) for r in got.collect()} == {(a, b, 2 if a[0] == "c" and b[0] == "p" else 1) for a, b in pairs}
+    assert asked and not any("Join Inner" in plan for plan in asked)
+    assert J.descendants(df.where("false")).count() == 0
