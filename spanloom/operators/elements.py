@@ -6,7 +6,6 @@ is judged by the few hundred letters around its borders, which travel with it in
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import lockstep
 from spanloom.functions import sequences as S
 from spanloom.operators import kmers as K
-from spanloom.operators.alignments import align_places
 
 #: States of a tract decoder, and the chance of leaving one for another at each letter.
 OUTSIDE, TRACT, BOX = range(3)
@@ -181,15 +180,14 @@ def binding_sites(candidates: DataFrame, seqs: DataFrame, trnas: DataFrame, radi
     rows = met.join(windows.select(F.col("seqnum").alias("k"), "at", F.col("seq").alias("w")), "k").join(ends.select(F.col("seqnum").alias("trna"), F.col("seq").alias("v")), "trna")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for name, s, e, strand, trna, at, w, v in b.itertuples(index=False):
-                score, i, j, p, _, cigar = align_places(w, v, 5, -10, 0, -20, local=True)
-                edits = sum(int(n) for n in re.findall(r"(\d+)[XID]", cigar))
-                if j - i >= min_length and edits <= max_edits and i <= max_offset and p <= max_end:
-                    x, y = (at + i, at + j - 1) if strand == "+" else (at - j + 1, at - i)
-                    out.append((name, s, e, strand, trna, x, y, i, p, edits, score))
-            yield pd.DataFrame(out, columns=["seqnum", "start", "end", "strand", "trna", "pbs_start", "pbs_end", "offset", "trna_offset", "edits", "score"])
+        for whole in batches:
+            for first in range(0, len(whole), lockstep.PAIRS):
+                b = whole.iloc[first : first + lockstep.PAIRS].reset_index(drop=True)
+                (w, nw), (v, nv) = lockstep.rows(b["w"].tolist()), lockstep.rows(b["v"].tolist())
+                score, i, j, p, edits = lockstep.local_places(w, nw, v, nv, 5, -10, -20)
+                good = (j - i >= min_length) & (edits <= max_edits) & (i <= max_offset) & (p <= max_end)
+                out = b[["seqnum", "start", "end", "strand", "trna"]].assign(pbs_start=np.where(b["strand"] == "+", b["at"] + i, b["at"] - j + 1), pbs_end=np.where(b["strand"] == "+", b["at"] + j - 1, b["at"] - i))
+                yield out.assign(offset=i, trna_offset=p, edits=edits, score=score.astype(np.int64))[good]
 
     kind = candidates.schema["seqnum"].dataType.simpleString()
     flat = rows.select("k.c.seqnum", "k.c.start", "k.c.end", "k.strand", F.col("trna").cast("string").alias("trna"), "at", "w", "v")
